@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .bpe import op2_bpe_merge_replay
+from .digests import op3_quartile_digest
+from .mixing import op6_pivotal_mixing
+from .sharding import op10_hilbert_shards
 from .simhash import op1_simhash_vptree
+from .urls import op9_path_templates
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_vptree, op2_bpe_merge_replay)}
+    return {f.__name__: f for f in (op1_simhash_vptree, op2_bpe_merge_replay, op3_quartile_digest, op6_pivotal_mixing, op9_path_templates, op10_hilbert_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
