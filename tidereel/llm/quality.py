@@ -78,8 +78,7 @@ def measure(docs: DataFrame, text_col: str = "text", window: int = 5, **keep: Co
     t = t.select(*names, "__t", "__l", n.cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), hashes.alias("__h"), worded.alias("__d"), F.transform("__l", lambda x: fails_line(x, F.col("__m"), F.col("__b"))).alias("__f"), "__m")
     h, lines, fails = F.col("__h"), F.col("__l"), F.col("__f")
     removed = F.aggregate(F.filter(lines, lambda x, i: F.get(fails, i)), F.lit(0), lambda a, x: a + F.size(words_of(x)))
-    return t.select(
-        *names,
+    measures = F.struct(
         "n_words",
         "word_chars",
         F.when(F.col("__m"), F.regexp_count(F.col("__t"), F.lit(SYMBOL))).otherwise(0).cast("long").alias("n_symbols"),
@@ -88,6 +87,8 @@ def measure(docs: DataFrame, text_col: str = "text", window: int = 5, **keep: Co
         removed.cast("long").alias("n_removed"),
         F.array_join(F.filter(lines, lambda x, i: ~F.get(fails, i)), "\n").alias("kept_text"),
     )
+    # a generator, so that a later filter isn't pushed below with all of these expressions copied into it
+    return t.select(*names, F.explode(F.array(measures)).alias("__x")).select(*names, "__x.*")
 
 
 def verdict(measured: DataFrame, most_removed: float = MOST_REMOVED) -> DataFrame:

@@ -33,30 +33,58 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _rolled(h: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
-    """A polynomial hash of each run of ``width`` word hashes."""
+    """A polynomial hash of each run of ``width`` word hashes, by doubling."""
     n = len(h) - width + 1
-    out = np.zeros(n, np.uint64)
-    for k in range(width):
-        out = out * base + h[k : k + n]
+    out, done, part, size, power = None, 0, h, 1, base
+    while size <= width:
+        if width & size:
+            piece = part[done : done + n]
+            out = piece if out is None else out * power + piece
+            done += size
+        size <<= 1
+        if size <= width:
+            part = part[: len(part) - size // 2] * power + part[size // 2 :]
+            power = power * power
     return _mix(out)
 
 
+def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
+    """``pick`` (minimum or maximum) over each run of ``width`` values, by doubling."""
+    n, size = len(x) - width + 1, 1
+    while 2 * size <= width:
+        x = pick(x[: len(x) - size], x[size:])
+        size *= 2
+    return pick(x[:n], x[width - size : width - size + n])
+
+
+class _Hashes(dict):
+    """Word to its XXH64; a worker remembers a bounded number."""
+
+    def __missing__(self, w: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        h = self[w] = xxhash.xxh64_intdigest(w)
+        return h
+
+
+_HASHES = _Hashes()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
 def anchors(h: np.ndarray, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """For each window the place of its anchor, and the hashes of all short runs."""
+    """The anchor of each window, and the anchors at all places where one stands.
+
+    A short run is an anchor if its hash is the least of some window over it:
+    if it equals the greatest of the least hashes of the windows over it.
+    """
     g = _rolled(h, run, _BASES[0])
     span = window - run + 1
-    if span <= 1:
-        return np.arange(len(g)), g
-    at = np.empty(len(h) - window + 1, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(g, span)
-    for i in range(0, len(at), 8192):
-        part = view[i : i + 8192]
-        at[i : i + len(part)] = part.argmin(axis=1) + np.arange(i, i + len(part))
-    return at, g
+    least = _sliding(g, span, np.minimum)
+    edge = np.zeros(span - 1, np.uint64)
+    return least, g[_sliding(np.concatenate([edge, least, edge]), span, np.maximum) == g]
 
 
 def _slots(g: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -77,8 +105,7 @@ def sketch(rows: DataFrame, bits: int, window: int, run: int) -> list:
         found = []
         for _, words in _documents(batches):
             if len(words) >= window:
-                at, g = anchors(word_hashes(words), window, run)
-                found.append(g[np.unique(at)])
+                found.append(anchors(word_hashes(words), window, run)[1])
         if not found:
             return
         for r, s in enumerate(_slots(np.concatenate(found), bits)):
@@ -99,23 +126,23 @@ def sketch(rows: DataFrame, bits: int, window: int, run: int) -> list:
     return parts.groupBy("row", "segment").applyInPandas(merge, "row int, segment int, bitmap binary").collect()
 
 
+def _suspects(h: np.ndarray, bitmaps: np.ndarray, bits: int, window: int, run: int) -> np.ndarray:
+    """Starts of the windows whose estimated count is two or more."""
+    least, _ = anchors(h, window, run)
+    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])  # neighbours share an anchor
+    hit = np.ones(len(first), bool)
+    for r, s in enumerate(_slots(least[first], bits)):
+        hit &= (bitmaps[r][s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8) & 1) > 0
+    return np.flatnonzero(np.repeat(hit, np.diff(np.r_[first, len(least)])))
+
+
 def _keys(words: list[bytes], bitmaps: np.ndarray, bits: int, window: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and both halves of the key of each window whose estimated count is two or more."""
+    """Start and both halves of the key of each suspect window."""
     h = word_hashes(words)
-    at, g = anchors(h, window, run)
-    spots = np.unique(at)
-    hit = np.ones(len(spots), bool)
-    for r, s in enumerate(_slots(g[spots], bits)):
-        hit &= (bitmaps[r][s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8) & 1) > 0
-    start = np.flatnonzero(hit[np.searchsorted(spots, at)])
+    start = _suspects(h, bitmaps, bits, window, run)
     if not len(start):
         return start, start, start
-    need = np.unique(start // 4096)  # roll only blocks that have such windows
-    one, two = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-    for b in need.tolist():
-        piece = h[b * 4096 : b * 4096 + 4096 + window - 1]
-        one[b * 4096 : b * 4096 + 4096], two[b * 4096 : b * 4096 + 4096] = _rolled(piece, window, _BASES[0]), _rolled(piece, window, _BASES[1])
-    return start, one[start].view(np.int64), two[start].view(np.int64)
+    return start, *(_rolled(h, window, b)[start].view(np.int64) for b in _BASES)
 
 
 def repeated_starts(rows: DataFrame, window: int = WINDOW, run: int = RUN, most_bits: int = MOST_BITS):
@@ -151,7 +178,7 @@ def repeated_starts(rows: DataFrame, window: int = WINDOW, run: int = RUN, most_
     starts = hits.groupBy("id").agg(F.sort_array(F.collect_list("start")).alias("starts"))
 
     def candidate(words: list[bytes]) -> bool:
-        return len(words) >= window and len(_keys(words, shared.value, bits, window, run)[0]) > 0
+        return len(words) >= window and len(_suspects(word_hashes(words), shared.value, bits, window, run)) > 0
 
     return starts, candidate
 
@@ -169,35 +196,40 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, most_bit
     rows = docs.select(F.col(id_col).alias("doc"), text_bytes(text_col).alias("t"))
     starts, candidate = repeated_starts(rows.select(F.coalesce(F.col("doc").cast("long"), F.lit(-(2**63))).alias("id"), "t"), window, run, most_bits)
 
-    def split(batches):
+    def free(batches):
+        for batch in batches:
+            at, size, text = [], [], []
+            for k, (_, words) in enumerate(_documents([batch])):
+                if not candidate(words):
+                    at.append(k), size.append(len(words)), text.append(b" ".join(words))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(size, pa.int64()), pa.array([0] * len(at), pa.int64()), pa.array(text, pa.binary())], names=["id", "n_words", "n_removed", "kept"])
+
+    def suspect(batches):
         for batch in batches:
-            size, sure, text = [], [], []
-            for _, words in _documents([batch]):
-                size.append(len(words))
-                free = not candidate(words)
-                sure.append(b" ".join(words) if free else None)
-                text.append(None if free else b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sure, pa.binary()), pa.array(text, pa.binary())], names=["id", "n_words", "kept", "t"])
+            at, text = [], []
+            for k, (_, words) in enumerate(_documents([batch])):
+                if candidate(words):
+                    at.append(k), text.append(b" ".join(words))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(text, pa.binary())], names=["id", "t"])
 
     def cut(batches):
         for batch in batches:
-            removed, kept = [], []
-            for k, t, s in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
-                if not t.is_valid:
-                    removed.append(0), kept.append(k.as_py())
-                    continue
+            size, removed, kept = [], [], []
+            for t, s in zip(batch.column(1), batch.column(2), strict=True):
                 words = t.as_py().split()
                 edge = np.zeros(len(words) + 1, np.int64)
                 at = np.array(s.as_py() or [], np.int64)
                 at = at[at + window <= len(words)]
                 np.add.at(edge, at, 1), np.add.at(edge, at + window, -1)
                 stay = np.cumsum(edge)[:-1] == 0
-                removed.append(int(len(words) - stay.sum())), kept.append(b" ".join(w for w, x in zip(words, stay.tolist(), strict=True) if x))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["id", "n_words", "n_removed", "kept"])
-
-    parts = rows.select(F.col("doc").alias("id"), "t").mapInArrow(split, f"id {kind}, n_words long, kept binary, t binary")
-    joined = parts.join(starts.withColumnRenamed("id", "k"), F.coalesce(F.col("id").cast("long"), F.lit(-(2**63))) == F.col("k"), "left").select("id", "n_words", "kept", "t", "starts")
-    return joined.mapInArrow(cut, f"id {kind}, n_words long, n_removed long, kept binary")
+                size.append(len(words)), removed.append(int(len(words) - stay.sum())), kept.append(b" ".join(w for w, x in zip(words, stay.tolist(), strict=True) if x))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["id", "n_words", "n_removed", "kept"])
+
+    schema = f"id {kind}, n_words long, n_removed long, kept binary"
+    rows = rows.withColumnRenamed("doc", "id")
+    open_rows = rows.mapInArrow(suspect, f"id {kind}, t binary")  # only these texts are shuffled
+    joined = open_rows.join(starts.withColumnRenamed("id", "k"), F.coalesce(F.col("id").cast("long"), F.lit(-(2**63))) == F.col("k"), "left").select("id", "t", "starts")
+    return rows.mapInArrow(free, schema).unionByName(joined.mapInArrow(cut, schema))
 
 
 def op7_count_min_substrings(spark, sf_dir: str) -> DataFrame:
