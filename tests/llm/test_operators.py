@@ -141,7 +141,7 @@ def test_secrets(docs, empty):
 def test_brown(spark, docs, empty):
     base = [f"w{k % 7} the w{k % 5} of q{k % 3}." for k in range(300)]
     d = spark.createDataFrame([(k, t) for k, t in enumerate(base)], "doc_id long, text string")
-    got = brown.score_corpus(d, top=10, clustered=5, classes=4, rounds=2).collect()
+    got = brown.score_corpus(d, top=12, clustered=6, classes=4, rounds=2).collect()
     tok = {k: words(t.lower()) + [b""] for k, t in enumerate(base)}
     count = collections.Counter(w for k, ws in tok.items() if zlib.crc32(str(k).encode()) % 10 for w in ws)
     n, v = sum(count.values()), len(count)
