@@ -13,8 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_bytes
@@ -24,6 +23,11 @@ WINDOW, RUN = 35, 8
 ROWS, LEAST_BITS, MOST_BITS, SEGMENT_BITS = 4, 16, 26, 16
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _BASES = (np.uint64(0x9E3779B185EBCA87), np.uint64(0xD6E8FEB86659FD93))
+#: A random number for each byte; which bytes are blanks.
+_BYTE = np.random.default_rng(35).integers(1, 2**63, 256, dtype=np.uint64)
+_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+#: Bytes of text that are worked on at once, and windows that a task adds up before it hands them on.
+BLOCK_BYTES, MOST_WINDOWS = 1 << 20, 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -44,7 +48,7 @@ def _rolled(h: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
         size <<= 1
         if size <= width:
             part = part[: len(part) - size // 2] * power + part[size // 2 :]
-            power = power * power
+            power = np.multiply(*np.atleast_1d(power, power))[0]
     return _mix(out)
 
 
@@ -57,59 +61,90 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[:n], x[width - size : width - size + n])
 
 
-class _Hashes(dict):
-    """Word to its XXH64; a worker remembers a bounded number."""
-
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[w] = xxhash.xxh64_intdigest(w)
-        return h
-
-
-_HASHES = _Hashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-
-
-def anchors(h: np.ndarray, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """The anchor of each window, and the anchors at all places where one stands.
+def _blocks(batches):
+    """``(rows, offsets, data)``: as many rows as fit in a block, and the bytes of their texts."""
+    for batch in batches:
+        texts = batch.column(1).cast(pa.large_binary())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK_BYTES, "right")) - 1)
+            yield batch.slice(at, to - at), ends[at : to + 1] - ends[at], data[ends[at] : ends[to]]
+            at = to
+
+
+class Words:
+    """The words of a block of texts: first byte, byte beyond the last, text, and a 64-bit hash each."""
+
+    def __init__(self, offsets: np.ndarray, data: np.ndarray):
+        self.data, self.texts = data, len(offsets) - 1
+        filled = np.r_[False, ~_BLANK[data], False]
+        starts, ends = filled[1:-1] & ~filled[:-2], filled[1:-1] & ~filled[2:]
+        edge = np.unique(offsets[1:-1])
+        edge = edge[(edge > 0) & (edge < len(data))]
+        edge = edge[filled[edge] & filled[edge + 1]]  # a text that ends in a word meets one that begins with a word
+        starts[edge], ends[edge - 1] = True, True
+        self.start, self.end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+        self.text = np.searchsorted(offsets, self.start, "right") - 1
+        self.count = np.bincount(self.text, minlength=self.texts)
+
+    def hashes(self) -> np.ndarray:
+        size = self.end - self.start
+        if not len(size):
+            return np.zeros(0, np.uint64)
+        power = np.ones(int(size.max()), np.uint64)
+        np.cumprod(np.full(len(power) - 1, _BASES[0]), out=power[1:])
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        parts = _BYTE[self.data[np.repeat(self.start, size) + at]] * power[at]
+        return _mix(np.add.reduceat(parts, np.cumsum(size) - size) + size.astype(np.uint64))
+
+    def joined(self, stay: np.ndarray) -> pa.Array:
+        """The words of each text that stay, joined by single blanks."""
+        kept = np.flatnonzero(stay)
+        text = self.text[kept]
+        gap = self.end[kept[:-1][text[1:] == text[:-1]]]  # a word that isn't a text's last is followed by a blank
+        data, edge = self.data.copy(), np.zeros(len(self.data) + 1, np.int8)
+        data[gap] = 32
+        edge[self.start[kept]] += 1
+        np.add.at(edge, self.end[kept], -1)
+        take = np.cumsum(edge[:-1], dtype=np.int8) > 0
+        take[gap] = True
+        size = np.bincount(text, (self.end - self.start)[kept], self.texts) + np.maximum(np.bincount(text, minlength=self.texts) - 1, 0)
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), self.texts, [None, pa.py_buffer(offsets), pa.py_buffer(data[take])])
+
+
+def anchors(h: np.ndarray, text: np.ndarray, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the windows within one text, the anchor of each, and the anchors at all places where one stands.
 
     A short run is an anchor if its hash is the least of some window over it:
     if it equals the greatest of the least hashes of the windows over it.
     """
+    if len(h) < window:
+        return np.zeros(0, np.int64), h[:0], h[:0]
     g = _rolled(h, run, _BASES[0])
     span = window - run + 1
     least = _sliding(g, span, np.minimum)
+    inside = text[: len(least)] == text[window - 1 :]
     edge = np.zeros(span - 1, np.uint64)
-    return least, g[_sliding(np.concatenate([edge, least, edge]), span, np.maximum) == g]
+    top = _sliding(np.concatenate([edge, np.where(inside, least, 0).astype(np.uint64), edge]), span, np.maximum)
+    start = np.flatnonzero(inside)
+    return start, least[start], g[(top == g) & (top > 0)]
 
 
 def _slots(g: np.ndarray, bits: int) -> list[np.ndarray]:
     return [_mix(g ^ m) >> np.uint64(64 - bits) for m in _MIX[:ROWS]]
 
 
-def _documents(batches):
-    for batch in batches:
-        for i, t in zip(batch.column(0), batch.column(1), strict=True):
-            yield i, t.as_buffer().to_pybytes().split()
-
-
 def sketch(rows: DataFrame, bits: int, window: int, run: int) -> list:
     """``(row, segment, bitmap)`` of counters that reach two over all partitions; ``rows(id, t)``."""
     seg = min(bits, SEGMENT_BITS)
 
-    def count(batches):
-        found = []
-        for _, words in _documents(batches):
-            if len(words) >= window:
-                found.append(anchors(word_hashes(words), window, run)[1])
-        if not found:
-            return
+    def give(found: list):
         for r, s in enumerate(_slots(np.concatenate(found), bits)):
             s = np.sort(s)
+            s = s[np.r_[True, True, s[2:] != s[:-2]][: len(s)]]  # counters stop at two
             part, low = (s >> np.uint64(seg)).astype(np.int64), (s & np.uint64((1 << seg) - 1)).astype(np.uint16)
             cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             ends = np.r_[cut[1:], len(part)]
@@ -118,6 +153,20 @@ def sketch(rows: DataFrame, bits: int, window: int, run: int) -> list:
                 names=["row", "segment", "slots"],
             )
 
+    def count(batches):
+        found, size = [], 0
+        for _, offsets, data in _blocks(batches):
+            words = Words(offsets, data)
+            a = anchors(words.hashes(), words.text, window, run)[2]
+            if len(a):
+                found.append(a)
+                size += len(a)
+            if size > 4_000_000:
+                yield from give(found)
+                found, size = [], 0
+        if found:
+            yield from give(found)
+
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         c = np.bincount(np.frombuffer(b"".join(pdf["slots"]), np.uint16), minlength=1 << seg)
         return pd.DataFrame({"row": pdf["row"].iloc[:1], "segment": pdf["segment"].iloc[:1], "bitmap": [np.packbits(c >= 2, bitorder="little").tobytes()]})
@@ -126,29 +175,50 @@ def sketch(rows: DataFrame, bits: int, window: int, run: int) -> list:
     return parts.groupBy("row", "segment").applyInPandas(merge, "row int, segment int, bitmap binary").collect()
 
 
-def _suspects(h: np.ndarray, bitmaps: np.ndarray, bits: int, window: int, run: int) -> np.ndarray:
+def _suspects(h: np.ndarray, text: np.ndarray, bitmaps: np.ndarray, bits: int, window: int, run: int) -> np.ndarray:
     """Starts of the windows whose estimated count is two or more."""
-    least, _ = anchors(h, window, run)
+    start, least, _ = anchors(h, text, window, run)
+    if not len(start):
+        return start
     first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])  # neighbours share an anchor
     hit = np.ones(len(first), bool)
     for r, s in enumerate(_slots(least[first], bits)):
         hit &= (bitmaps[r][s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8) & 1) > 0
-    return np.flatnonzero(np.repeat(hit, np.diff(np.r_[first, len(least)])))
-
-
-def _keys(words: list[bytes], bitmaps: np.ndarray, bits: int, window: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and both halves of the key of each suspect window."""
-    h = word_hashes(words)
-    start = _suspects(h, bitmaps, bits, window, run)
-    if not len(start):
-        return start, start, start
-    return start, *(_rolled(h, window, b)[start].view(np.int64) for b in _BASES)
+    return start[np.repeat(hit, np.diff(np.r_[first, len(least)]))]
+
+
+def _filed(ids: pa.Array, row: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """One row for each window key of a batch of documents, and one for each document with windows that repeat within the batch."""
+    order = np.argsort(a, kind="stable")
+    row, at, a, b = row[order], at[order], a[order], b[order]
+    head = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    many = np.diff(np.r_[np.flatnonzero(head), len(a)]) > 1
+    again = np.repeat(many, np.diff(np.r_[np.flatnonzero(head), len(a)]))
+    known = np.lexsort((at[again], row[again]))
+    doc, start = row[again][known], at[again][known].astype("<i4")
+    cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    pieces = [start[x:y].tobytes() for x, y in zip(cut, np.r_[cut[1:], len(doc)], strict=True)] if len(doc) else []
+    alone, lines = ~many, int(head.sum())
+    none = pa.nulls(len(pieces), pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.concat_arrays([ids.take(pa.array(row[head], mask=many)), ids.take(pa.array(doc[cut]))]),
+            pa.concat_arrays([pa.array(at[head].astype(np.int32), mask=many), none]),
+            pa.concat_arrays([pa.nulls(lines, pa.binary()), pa.array(pieces, pa.binary())]),
+            pa.concat_arrays([pa.array(a[head]), pa.array(_mix(doc[cut].astype(np.uint64)).view(np.int64))]),
+            pa.concat_arrays([pa.array(b[head]), pa.array(np.arange(len(pieces), dtype=np.int64))]),
+            pa.concat_arrays([pa.array(np.where(alone, 1, 2).astype(np.int32)), pa.array(np.zeros(len(pieces), np.int32))]),
+        ],
+        names=["id", "start", "starts", "a", "b", "n"],
+    )
 
 
 def repeated_starts(rows: DataFrame, window: int = WINDOW, run: int = RUN, most_bits: int = MOST_BITS):
-    """``(id, starts)`` of the windows that start at two or more places, and a function that tells if a document has windows estimated so.
+    """``(id, start, starts)``, lists of the windows that start at two or more places, and a function that finds windows estimated so.
 
-    ``rows(id, t)``: ids are not null, texts are bytes.
+    ``rows(id, t)``: ids are not null, texts are bytes. A task adds up equal
+    windows of a batch before they are shuffled, so a passage that stands
+    everywhere sends one row for each batch; each text is shuffled at most once.
     """
     spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -160,27 +230,39 @@ def repeated_starts(rows: DataFrame, window: int = WINDOW, run: int = RUN, most_
     shared = spark.sparkContext.broadcast(maps)
 
     def flagged(batches):
-        for batch in batches:
-            ids, starts, ones, twos = [], [], [], []
-            for k, (i, words) in enumerate(_documents([batch])):
-                if len(words) >= window:
-                    s, a, b = _keys(words, shared.value, bits, window, run)
-                    ids.append(np.full(len(s), k)), starts.append(s), ones.append(a), twos.append(b)
-            if sum(map(len, starts)):
-                at = pa.array(np.concatenate(ids))
-                for o in range(0, len(at), 1 << 16):
-                    p = slice(o, o + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at[p]), pa.array(np.concatenate(starts)[p].astype(np.int32)), pa.array(np.concatenate(ones)[p].astype(np.int64)), pa.array(np.concatenate(twos)[p].astype(np.int64))], names=["id", "start", "a", "b"])
-
-    windows = rows.mapInArrow(flagged, f"id {rows.schema['id'].dataType.simpleString()}, start int, a long, b long")
-    again = windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    hits = windows.join(again, ["a", "b"], "left_semi")
-    starts = hits.groupBy("id").agg(F.sort_array(F.collect_list("start")).alias("starts"))
-
-    def candidate(words: list[bytes]) -> bool:
-        return len(words) >= window and len(_suspects(word_hashes(words), shared.value, bits, window, run)) > 0
-
-    return starts, candidate
+        held, size = [], 0
+
+        def give():
+            base = np.cumsum([0, *(len(x[0]) for x in held[:-1])])
+            parts = [np.concatenate([x[k] + (o if k == 1 else 0) for x, o in zip(held, base, strict=True)]) for k in range(1, 5)]
+            return _filed(pa.concat_arrays([x[0] for x in held]), *parts)
+
+        for batch, offsets, data in _blocks(batches):
+            words = Words(offsets, data)
+            h = words.hashes()
+            s = _suspects(h, words.text, shared.value, bits, window, run)
+            if len(s):
+                text, before = words.text[s], np.cumsum(words.count) - words.count
+                held.append((batch.column(0), text, s - before[text], *(_rolled(h, window, b)[s].view(np.int64) for b in _BASES)))
+                size += len(s)
+            if size > MOST_WINDOWS:
+                yield give()
+                held, size = [], 0
+        if held:
+            yield give()
+
+    windows = rows.mapInArrow(flagged, f"id {rows.schema['id'].dataType.simpleString()}, start int, starts binary, a long, b long, n int")
+    total = F.sum("n").over(Window.partitionBy("a", "b"))
+    hits = windows.withColumn("total", total).where("starts is not null or (start is not null and total > 1)")
+    starts = hits.groupBy("id").agg(F.collect_list("start").alias("start"), F.collect_list("starts").alias("starts"))
+
+    def candidates(words: Words) -> np.ndarray:
+        """For each text whether it has such windows."""
+        out = np.zeros(words.texts, bool)
+        out[words.text[_suspects(words.hashes(), words.text, shared.value, bits, window, run)]] = True
+        return out
+
+    return starts, candidates
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, most_bits: int = MOST_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,41 +276,37 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, most_bit
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc"), text_bytes(text_col).alias("t"))
-    starts, candidate = repeated_starts(rows.select(F.coalesce(F.col("doc").cast("long"), F.lit(-(2**63))).alias("id"), "t"), window, run, most_bits)
+    starts, candidates = repeated_starts(rows.select(F.coalesce(F.col("doc").cast("long"), F.lit(-(2**63))).alias("id"), "t"), window, run, most_bits)
+
+    def result(ids: pa.Array, words: Words, stay: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        gone = np.bincount(words.text[~stay], minlength=words.texts)
+        pick = pa.array(rows)
+        return pa.RecordBatch.from_arrays([ids.take(pick), pa.array(words.count[rows]), pa.array(gone[rows]), words.joined(stay).take(pick)], names=["id", "n_words", "n_removed", "kept"])
 
     def free(batches):
-        for batch in batches:
-            at, size, text = [], [], []
-            for k, (_, words) in enumerate(_documents([batch])):
-                if not candidate(words):
-                    at.append(k), size.append(len(words)), text.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(size, pa.int64()), pa.array([0] * len(at), pa.int64()), pa.array(text, pa.binary())], names=["id", "n_words", "n_removed", "kept"])
+        for batch, offsets, data in _blocks(batches):
+            words = Words(offsets, data)
+            yield result(batch.column(0), words, np.ones(len(words.start), bool), np.flatnonzero(~candidates(words)))
 
     def suspect(batches):
-        for batch in batches:
-            at, text = [], []
-            for k, (_, words) in enumerate(_documents([batch])):
-                if candidate(words):
-                    at.append(k), text.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(text, pa.binary())], names=["id", "t"])
+        for batch, offsets, data in _blocks(batches):
+            yield batch.take(pa.array(np.flatnonzero(candidates(Words(offsets, data)))))
 
     def cut(batches):
-        for batch in batches:
-            size, removed, kept = [], [], []
-            for t, s in zip(batch.column(1), batch.column(2), strict=True):
-                words = t.as_py().split()
-                edge = np.zeros(len(words) + 1, np.int64)
-                at = np.array(s.as_py() or [], np.int64)
-                at = at[at + window <= len(words)]
-                np.add.at(edge, at, 1), np.add.at(edge, at + window, -1)
-                stay = np.cumsum(edge)[:-1] == 0
-                size.append(len(words)), removed.append(int(len(words) - stay.sum())), kept.append(b" ".join(w for w, x in zip(words, stay.tolist(), strict=True) if x))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["id", "n_words", "n_removed", "kept"])
+        for batch, offsets, data in _blocks(batches):
+            words = Words(offsets, data)
+            edge, before = np.zeros(len(words.start) + 1, np.int64), np.cumsum(words.count) - words.count
+            for k, (one, more) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                at = np.concatenate([np.array(one or [], np.int64), *(np.frombuffer(x, "<i4").astype(np.int64) for x in more or [])])
+                at = np.unique(at[at + window <= words.count[k]]) + before[k]
+                edge[at] += 1
+                edge[at + window] -= 1
+            yield result(batch.column(0), words, np.cumsum(edge)[:-1] == 0, np.arange(words.texts))
 
     schema = f"id {kind}, n_words long, n_removed long, kept binary"
     rows = rows.withColumnRenamed("doc", "id")
     open_rows = rows.mapInArrow(suspect, f"id {kind}, t binary")  # only these texts are shuffled
-    joined = open_rows.join(starts.withColumnRenamed("id", "k"), F.coalesce(F.col("id").cast("long"), F.lit(-(2**63))) == F.col("k"), "left").select("id", "t", "starts")
+    joined = open_rows.join(starts.withColumnRenamed("id", "k"), F.coalesce(F.col("id").cast("long"), F.lit(-(2**63))) == F.col("k"), "left").select("id", "t", "start", "starts")
     return rows.mapInArrow(free, schema).unionByName(joined.mapInArrow(cut, schema))
 
 
