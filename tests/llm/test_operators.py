@@ -154,7 +154,9 @@ def test_brown(spark, docs, empty):
     assert brown.score_corpus(empty).count() == 0
 
 
-def test_mixing(spark, docs, empty):
+@pytest.mark.parametrize("small", [mixing.BROADCAST_BYTES, 0])
+def test_mixing(spark, docs, empty, monkeypatch, small):
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", small)
     d = spark.createDataFrame([(k, "abc"[k % 3], 1 + k % 40) for k in range(3000)], "id long, source string, size long")
     a = sorted(map(tuple, mixing.mix(d, bucket_rows=50).collect()))
     assert a == sorted(map(tuple, mixing.mix(d.repartition(7), bucket_rows=50).collect()))

@@ -22,6 +22,8 @@ from .common import WORD, durable
 WEIGHTS, CAP = (5, 2, 1), 3
 #: Documents that a bucket holds on average, and residuals that meet at a node of the tree.
 BUCKET_ROWS, FAN_IN = 20_000, 64
+#: The table of targets is broadcast up to so many bytes; beyond them a source's rows are joined in so many parts.
+BROADCAST_BYTES, SALTS = 8 << 20, 64
 _TINY = 1e-12
 
 
@@ -70,6 +72,14 @@ def round_pairs(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> tuple[np.n
     return p, left
 
 
+def _with_targets(rows: DataFrame, targets: DataFrame, small: bool) -> DataFrame:
+    """Joins the targets by ``key``; the rows of one source never meet in one task for that."""
+    if small:
+        return rows.join(F.broadcast(targets), "key")
+    salted = targets.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id", "size"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+
+
 def mix(sizes: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, bucket_rows: int = BUCKET_ROWS, seed: int = 7) -> DataFrame:
     """``sizes(id, source, size)`` to ``(id, source, size, source_size, target, copies)``.
 
@@ -80,11 +90,12 @@ def mix(sizes: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, bucket_row
     """
     sizes = durable(sizes.select("id", "source", "size"))
     targets = durable(source_targets(sizes, weights, cap).select("*", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key")))
-    keyed = sizes.select("id", "size", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key")).join(targets, "key")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     buckets = F.ceil(F.col("n_rows") / bucket_rows)
-    rows = keyed.select("key", "id", "size", F.floor(rate + 1e-9).cast("int").alias("whole"), F.greatest(rate - F.floor(rate + 1e-9), F.lit(0.0)).alias("p"), F.pmod(F.xxhash64(F.lit(seed), "id"), buckets).alias("bucket"))
-    widest = targets.agg(F.max(buckets)).first()[0] or 1
+    seen = targets.agg(F.max(buckets).alias("widest"), F.sum(2 * F.octet_length("key") + 64).alias("bytes")).first()
+    small, widest = (seen.bytes or 0) <= BROADCAST_BYTES, seen.widest or 1
+    keyed = _with_targets(sizes.select("id", "size", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key")), targets, small)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rows = keyed.select("key", "id", "size", F.floor(rate + 1e-9).cast("int").alias("whole"), F.greatest(rate - F.floor(rate + 1e-9), F.lit(0.0)).alias("p"), F.pmod(F.xxhash64(F.lit(seed), "id", "size"), buckets).alias("bucket"))
     kind = sizes.schema["id"].dataType.simpleString()
     out_schema = f"key string, id {kind}, size long, whole int, p double, bucket long"
 
@@ -114,7 +125,7 @@ def mix(sizes: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, bucket_row
     taken = done[0]
     for d in done[1:]:
         taken = taken.unionByName(d)
-    return taken.join(targets, "key").select("id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("copies")).otherwise(0).cast("int").alias("copies"))
+    return _with_targets(taken, targets, small).select("id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("copies")).otherwise(0).cast("int").alias("copies"))
 
 
 def n_words(text: str = "text") -> Column:
