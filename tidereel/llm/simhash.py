@@ -132,23 +132,37 @@ def near_links(x: np.ndarray, resident: np.ndarray, k: int, leaf: int = 512) ->
     """A spanning forest of all links at ``k`` or fewer bits between residents, and between visitors and residents."""
     forest = _Forest(len(x))
 
-    def brute(a: np.ndarray, b: np.ndarray) -> None:
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
         for s in range(0, len(a), 256):
             for t in range(0, len(b), 8192):
                 p, q = np.nonzero(np.bitwise_count(x[a[s : s + 256], None] ^ x[None, b[t : t + 8192]]) <= k)
                 forest.add(a[s + p], b[t + q])
 
+    def brute(a: np.ndarray, b: np.ndarray) -> None:
+        """All pairs but those of two points that the links found so far have joined to the largest group here."""
+        name, size = np.unique(np.concatenate([forest.label[a], forest.label[b]]), return_counts=True)
+        group = name[size.argmax()]
+        ina, inb = forest.label[a] == group, forest.label[b] == group
+        compare(a[ina], b[~inb])
+        compare(a[~ina], b)
+
     work = [(np.flatnonzero(resident), None), (np.flatnonzero(~resident), np.flatnonzero(resident))]
     while work:
         a, b = work.pop()
         if not len(a) or (b is not None and not len(b)):
             continue
+        first = forest.label[a[0]]
+        if (forest.label[a] == first).all() and (b is None or (forest.label[b] == first).all()):
+            continue  # joined already
         pool = a if b is None or len(a) >= len(b) else b
         if len(pool) <= leaf:
             brute(a, a if b is None else b)
             continue
-        p = x[pool[len(pool) // 2]]
+        pivot = pool[len(pool) // 2]
+        p = x[pivot]
         da, db = _far(x[a], p), None if b is None else _far(x[b], p)
+        close = np.concatenate([a[da <= k], *([] if b is None else [b[db <= k]])])
+        forest.add(np.full(len(close), pivot), close)
         r = int(np.median(_far(x[pool], p)))
         if b is None:
             parts = [(a[da <= r], None), (a[da > r], None), (a[(da <= r) & (da + k > r)], a[(da > r) & (da - k <= r)])]
