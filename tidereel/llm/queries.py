@@ -6,6 +6,7 @@ from .bpe import op2_bpe_merge_replay
 from .brown import op5_brown_classes
 from .digests import op3_quartile_digest
 from .mixing import op6_pivotal_mixing
+from .oracles import oracle_sql
 from .quality import op8_line_quality
 from .secrets import op4_markov_secrets
 from .sharding import op10_hilbert_shards
@@ -13,6 +14,8 @@ from .simhash import op1_simhash_vptree
 from .substrings import op7_count_min_substrings
 from .urls import op9_path_templates
 
+__all__ = ["ALL", "oracle_sql", "queries"]
+
 ALL = (
     op1_simhash_vptree, op2_bpe_merge_replay, op3_quartile_digest, op4_markov_secrets, op5_brown_classes,
     op6_pivotal_mixing, op7_count_min_substrings, op8_line_quality, op9_path_templates, op10_hilbert_shards,
@@ -23,7 +26,3 @@ def queries() -> dict:
     import corpus_pipeline
 
     return {f.__name__: f for f in ALL} | {"pipeline": corpus_pipeline.run}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
