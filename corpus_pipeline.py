@@ -14,11 +14,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidereel.llm import bpe, mixing, quality, secrets, simhash
+from tidereel.llm import bpe, mixing, nearcopies, quality, secrets
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Five-word shingles; so many differing bits of 64 stand for a Jaccard similarity of about 0.89 and more, and keep chance links out.
-SHINGLE, MAX_DISTANCE = 5, 7
+#: Words of a shingle, and tenths of Jaccard similarity from which two documents are near copies.
+SHINGLE, TENTHS = 5, 8
 
 
 def _key() -> Column:
@@ -26,6 +26,12 @@ def _key() -> Column:
     return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.xxhash64("text").cast("string")))
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """Id and digest of the text, without nulls; rows without an id come last."""
+    none = F.lit("0").cast(docs.schema["doc_id"].dataType)
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", none).alias("doc_id"), F.md5(F.coalesce(F.concat(F.lit("t"), "text"), F.lit(""))).alias("text"))
+
+
 def _one_row_each(docs: DataFrame) -> DataFrame:
     """Drops rows that repeat a key, if there are any: the usual table isn't shuffled for that."""
     repeated = docs.select(_key().alias("k")).groupBy("k").count().where("count > 1").limit(1)
@@ -41,11 +47,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id stays of each near-duplicate group; documents without an id stay once for each text."""
-    groups = simhash.near_duplicates(docs, SHINGLE, MAX_DISTANCE)
-    copies = groups.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    left = docs.select(*COLUMNS).join(copies, "doc_id", "left_anti")
-    return _one_row_each(left).select(*COLUMNS)
+    """The document with the smallest id stays of each near-duplicate group; one without an id only where none has one."""
+    keyed = docs.select(*COLUMNS, _row_key(docs).alias("id"))
+    kept = nearcopies.near_copies(keyed, SHINGLE, TENTHS).select("id")
+    return _one_row_each(keyed.join(kept, "id", "left_semi").select(*COLUMNS)).select(*COLUMNS)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +82,7 @@ STAGES = [
     ("bpe", bpe_stage),
 ]
 
-#: Fingerprint trees, random draws and merges have no SQL; tests hold the stages against brute force.
+#: MinHash bands, random draws and merges have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -235,3 +235,32 @@ def test_pipeline_stages(spark, docs, empty, tmp_path):
             if k < 4:
                 assert tuple(table.columns) == corpus_pipeline.COLUMNS
         assert (table.count() > 0) == (name == "full")
+
+
+def jaccard_groups(texts, bar):
+    """Groups of texts that links of five-word shingles at ``bar`` or more join, by brute force."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().encode().split()) else set() for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or same >= bar * (len(sets[i]) + len(sets[j]) - same):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+def test_near_dedup_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(60):
+        base = [f"g{k}w{x}" for x in rng.integers(0, 500, 300)]
+        texts.append(" ".join(base))
+        for cut in rng.integers(5, 60, 4):  # n changed words change n + 4 shingles of 296: similarities from 0.65 to 0.94
+            at = int(rng.integers(5, 200))
+            texts.append(" ".join(base[:at] + [f"n{x}" for x in rng.integers(0, 10**9, cut)] + base[at + cut :]))
+    texts += ["", None, "two words", "Two  words"]
+    d = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = jaccard_groups(texts, 0.8)
+    assert 60 < len(set(want)) < 260
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, d, "").collect()) == sorted(set(want))
