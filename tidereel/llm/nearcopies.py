@@ -3,10 +3,13 @@
 1. Texts with the same set of shingles become one node.
 2. MinHash bands name candidate buckets. At similarity J two nodes share one
    with probability ``1 - (1 - J ** ROWS) ** BANDS``: 0.9999 at J 0.8, more above.
-3. In the first rounds each bucket compares its members with one of them only;
-   what that joins needs no comparison of its own. All pairs of a bucket that
-   are still apart are compared at the end, so a dense group costs few pairs
-   and no candidate is left out.
+3. In the first rounds each bucket compares its members with a few of them
+   only; what that joins needs no comparison of its own. All pairs of a bucket
+   that are still apart are compared at the end, each in the first bucket that
+   it shares, so a dense group costs few pairs and no candidate is left out.
+   Pairs are passed over whose sizes or parity bits can't have the similarity:
+   each shingle that only one of two sets has changes one bit, so the bits that
+   differ are never more than those shingles.
 4. A pair links only if its shingle sets have the similarity; star contraction
    joins the links.
 """
@@ -16,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, text_bytes
@@ -24,8 +27,10 @@ from .components import connected_components
 
 SEED = 42
 BANDS, ROWS = 30, 6
-#: Rounds with one comparison for each member of a bucket.
-STARS = 2
+#: Members that all others of a bucket are compared with, for each of the first rounds.
+STARS = (4, 16)
+#: Longs of parity bits for each set.
+LONGS = 8
 _DRAWN = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS, 1), dtype=np.uint64)
 _XOR, _ODD = _DRAWN[0], _DRAWN[1] * np.uint64(2) + np.uint64(1)
 #: Shingles that are permuted at once.
@@ -51,6 +56,19 @@ def bands(h: np.ndarray) -> list[int]:
     return np.array(digests, np.uint64).view(np.int64).tolist()
 
 
+def parity(h: np.ndarray) -> np.ndarray:
+    """Whether the set has an odd number of shingles, for each value of their low bits."""
+    odd = np.bincount((h & np.uint64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(a: str, b: str, tenths: int) -> Column:
+    """Whether two structs of ``n`` and ``g``, size and parity bits, allow the similarity."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = sum(F.bit_count(F.col(f"{a}.g.b{i}").bitwiseXOR(F.col(f"{b}.g.b{i}"))) for i in range(LONGS))
+    return (10 * F.least(na, nb) >= tenths * F.greatest(na, nb)) & ((10 + tenths) * differ <= (10 - tenths) * (na + nb))
+
+
 def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
@@ -61,18 +79,20 @@ def _key(h: np.ndarray) -> tuple[int, int]:
 
 
 def _nodes(rows: DataFrame, size: int) -> DataFrame:
-    """``rows(id, t)`` to one row for each set of shingles: ``(node, id, k1, k2, n, bands)``, id being the smallest."""
+    """``rows(id, t)`` to one row for each set of shingles: ``(node, id, k1, k2, n, g, bands)``, id being the smallest."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             sets = [shingles(t.as_buffer().to_pybytes(), size) for t in b.column(1)]
             keys = [_key(h) for h in sets]
-            columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array([bands(h) for h in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", "k1", "k2", "n", "bands"])
+            bits = np.array([parity(h) for h in sets], np.int64).reshape(-1, LONGS)
+            g = pa.StructArray.from_arrays([pa.array(bits[:, i]) for i in range(LONGS)], [f"b{i}" for i in range(LONGS)])
+            columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), g, pa.array([bands(h) for h in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", "k1", "k2", "n", "g", "bands"])
 
-    prints = rows.mapInArrow(run, f"id {kind}, k1 long, k2 long, n int, bands array<long>")
-    groups = prints.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    prints = rows.mapInArrow(run, f"id {kind}, k1 long, k2 long, n int, g struct<{', '.join(f'b{i}: long' for i in range(LONGS))}>, bands array<long>")
+    groups = prints.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("bands").alias("bands"))
     return durable(groups.withColumn("node", F.monotonically_increasing_id()))
 
 
@@ -96,35 +116,37 @@ def near_copies(docs: DataFrame, size: int, tenths: int, text_col: str = "text")
     """
     rows = docs.select("id", text_bytes(text_col).alias("t"))
     nodes = _nodes(rows, size)
-    banded = nodes.select("node", "n", F.explode("bands").alias("h"))
+    banded = nodes.select(F.struct("node", "n", "g").alias("x"), F.explode("bands").alias("h"))
     shared = banded.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     live = durable(banded.join(shared, "h"))
-    sets = _sets(rows, live.select("node").distinct().join(nodes.select("node", "id"), "node"), size)
-    links = tested = None
+    sets = _sets(rows, live.select("x.node").distinct().join(nodes.select("node", "id"), "node"), size)
+    tested = None
     reach = nodes.sparkSession.createDataFrame([], "node long, component long")
-    fits = lambda a, b: 10 * F.least(a, b) >= tenths * F.greatest(a, b)  # noqa: E731  sets of too different sizes can't have the similarity
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
         same, total = F.size(F.array_intersect("su", "sv")), F.size("su") + F.size("sv")
         return both.select("u", "v", ((10 + tenths) * same >= tenths * total).alias("near"))
 
-    for step in range(STARS + 1):
-        named = live.join(reach, "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("c"))
-        if step < STARS:
-            first = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("x"), "node", "n", "c")).alias("p")
-            apart = named.groupBy("h").agg(first, (F.min("c") < F.max("c")).alias("open")).where("open")
-            met = named.join(apart, "h")
-            pairs = met.where((F.col("c") != F.col("p.c")) & fits(F.col("n"), F.col("p.n"))).select(F.col("node").alias("a"), F.col("p.node").alias("b"))
-            live = durable(met.where("node <> p.node").select("h", "node", "n"))
+    for step in range(len(STARS) + 1):
+        named = live.join(reach, live["x.node"] == reach["node"], "left").select("h", "x", F.coalesce("component", "x.node").alias("c"))
+        mixed = (F.min("c") < F.max("c")).alias("mixed")
+        if step < len(STARS):
+            chosen = [F.min_by(F.struct("x", "c"), F.xxhash64("x.node", F.lit(step), F.lit(i))) for i in range(STARS[step])]
+            open_ = named.groupBy("h").agg(F.array_distinct(F.array(*chosen)).alias("ps"), mixed).where("mixed")
+            met = named.join(open_, "h")
+            pairs = met.select("x", "c", F.explode("ps").alias("p")).where((F.col("c") != F.col("p.c")) & _may_link("x", "p.x", tenths)).select(F.col("x.node").alias("a"), F.col("p.x.node").alias("b"))
+            live = durable(met.where(~F.array_contains("ps.x.node", F.col("x.node"))).select("h", "x"))
         else:
-            other = named.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            pairs = named.join(other, "h").where((F.col("node") < F.col("b")) & (F.col("c") != F.col("cb")) & fits(F.col("n"), F.col("nb"))).select(F.col("node").alias("a"), "b")
+            open_ = named.groupBy("h").agg(mixed).where("mixed").select("h")
+            named = named.join(open_, "h").join(nodes.select("node", "bands"), F.col("x.node") == F.col("node")).drop("node")
+            other = named.select(F.col("h").alias("hb"), F.col("x").alias("y"), F.col("c").alias("cb"), F.col("bands").alias("bb"))
+            met = (F.col("x.node") < F.col("y.node")) & (F.col("c") != F.col("cb")) & _may_link("x", "y", tenths) & (F.array_min(F.array_intersect("bands", "bb")) == F.col("h"))
+            pairs = named.join(other, (F.col("h") == F.col("hb")) & met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         pairs = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti")
         found = durable(verified(pairs))
         tested = found if tested is None else tested.unionByName(found)
-        links = tested.where("near").select("u", "v")
-        reach = connected_components(links)
+        reach = connected_components(tested.where("near").select("u", "v"))
     return nodes.join(reach, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("id").alias("id"), F.count("*").alias("others")).select("id", "others")
