@@ -34,7 +34,9 @@ LONGS = 8
 _DRAWN = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS, 1), dtype=np.uint64)
 _XOR, _ODD = _DRAWN[0], _DRAWN[1] * np.uint64(2) + np.uint64(1)
 #: Shingles that are permuted at once.
-_BLOCK = 1 << 12
+_BLOCK = 1 << 10
+#: Texts whose sets a task holds at once.
+_TEXTS = 512
 
 
 def shingles(data: bytes, size: int) -> np.ndarray:
@@ -44,16 +46,16 @@ def shingles(data: bytes, size: int) -> np.ndarray:
     return np.unique(np.fromiter(hashes, np.uint64)) if words else np.zeros(0, np.uint64)
 
 
-def bands(h: np.ndarray) -> list[int]:
+def bands(h: np.ndarray) -> np.ndarray:
     """One signed number for each band of the set's MinHash; none for an empty set."""
     if not len(h):
-        return []
+        return np.zeros(0, np.int64)
     low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for i in range(0, len(h), _BLOCK):
         x = (h[None, i : i + _BLOCK] ^ _XOR) * _ODD
         low = np.minimum(low, (x ^ (x >> np.uint64(32))).min(axis=1))
     digests = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(low.reshape(BANDS, ROWS))]
-    return np.array(digests, np.uint64).view(np.int64).tolist()
+    return np.array(digests, np.uint64).view(np.int64)
 
 
 def parity(h: np.ndarray) -> np.ndarray:
@@ -83,7 +85,7 @@ def _nodes(rows: DataFrame, size: int) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(i, _TEXTS) for b in batches for i in range(0, b.num_rows, _TEXTS)):
             sets = [shingles(t.as_buffer().to_pybytes(), size) for t in b.column(1)]
             keys = [_key(h) for h in sets]
             bits = np.array([parity(h) for h in sets], np.int64).reshape(-1, LONGS)
@@ -100,7 +102,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``(node, s)`` for ``wanted(node, id)``: the sets of shingles."""
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(i, _TEXTS) for b in batches for i in range(0, b.num_rows, _TEXTS)):
             sets = [shingles(t.as_buffer().to_pybytes(), size).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 
@@ -132,11 +134,12 @@ def near_copies(docs: DataFrame, size: int, tenths: int, text_col: str = "text")
         named = live.join(reach, live["x.node"] == reach["node"], "left").select("h", "x", F.coalesce("component", "x.node").alias("c"))
         mixed = (F.min("c") < F.max("c")).alias("mixed")
         if step < len(STARS):
-            chosen = [F.min_by(F.struct("x", "c"), F.xxhash64("x.node", F.lit(step), F.lit(i))) for i in range(STARS[step])]
-            open_ = named.groupBy("h").agg(F.array_distinct(F.array(*chosen)).alias("ps"), mixed).where("mixed")
+            chosen = [F.min_by("node", F.xxhash64("node", F.lit(step), F.lit(i))) for i in range(STARS[step])]
+            open_ = durable(named.withColumn("node", F.col("x.node")).groupBy("h").agg(F.array_distinct(F.array(*chosen)).alias("ps"), mixed).where("mixed").select("h", "ps"))
             met = named.join(open_, "h")
-            pairs = met.select("x", "c", F.explode("ps").alias("p")).where((F.col("c") != F.col("p.c")) & _may_link("x", "p.x", tenths)).select(F.col("x.node").alias("a"), F.col("p.x.node").alias("b"))
-            live = durable(met.where(~F.array_contains("ps.x.node", F.col("x.node"))).select("h", "x"))
+            some = met.where(F.array_contains("ps", F.col("x.node"))).select(F.col("h").alias("hb"), F.col("x").alias("y"), F.col("c").alias("cb"))
+            pairs = met.join(some, (F.col("h") == F.col("hb")) & (F.col("c") != F.col("cb")) & _may_link("x", "y", tenths)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            live = durable(met.where(~F.array_contains("ps", F.col("x.node"))).select("h", "x"))
         else:
             open_ = named.groupBy("h").agg(mixed).where("mixed").select("h")
             named = named.join(open_, "h").join(nodes.select("node", "bands"), F.col("x.node") == F.col("node")).drop("node")
