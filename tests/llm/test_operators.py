@@ -264,3 +264,19 @@ def test_near_dedup_equals_brute_force(spark):
     want = jaccard_groups(texts, 0.8)
     assert 60 < len(set(want)) < 260
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, d, "").collect()) == sorted(set(want))
+
+
+def test_stages_keep_rows_that_share_an_id(spark):
+    a, b = (" ".join(f"{k}{x}" for x in range(200)) for k in "ab")
+    near = a + " tail"
+    rows = [(1, a), (1, b), (2, near), (2, "other words stand here under the same id"), (None, near), (None, b + " tail"), (None, "only text without id"), (3, "said twice"), (3, "said twice")]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup_stage(spark, d, "")
+    want = [(1, a), (1, b), (2, rows[3][1]), (None, rows[6][1]), (3, "said twice")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    mixed = corpus_pipeline.mixing_stage(spark, d, "").select("doc_id", "text").distinct().collect()
+    assert sorted(map(tuple, mixed), key=str) == sorted(set(rows), key=str)
+    ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, open(bpe.vocabulary()[0], "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = corpus_pipeline.bpe_stage(spark, d, "").collect()
+    assert sorted(np.frombuffer(r.ids, "<u4").tolist() for r in ids) == sorted(enc.encode_ordinary(t) for _, t in rows)
