@@ -70,6 +70,15 @@ def test_export(spark):
     assert [c.find("file/pathurl") is not None for c in clips] == [True, False]
 
 
+def test_export_in_parts(spark, tmp_path):
+    s = spark.createDataFrame([(f"{k % 3}&.mov", float(k), k + 1.0, k * 25, k * 25 + 25, 10**6) for k in range(200)], "source string, start_seconds double, end_seconds double, start_frame long, end_frame long, frames long")
+    items = layout.layout(s, "source").withColumn("url", F.col("source"))
+    store.write_timeline_xml(items, f"{tmp_path}/x")
+    parts = [p.read_text() for p in sorted((tmp_path / "x").glob("part-*"))]
+    assert sum("<clipitem" in p for p in parts) > 1
+    assert "".join(parts).splitlines() == list(store.timeline_xml(items))
+
+
 def test_continuous_run(spark, tmp_path):
     def go():
         incremental.run_new(spark, f"{tmp_path}/in", "source string, v double", lambda d: d.withColumn("fingerprint", F.lit("f")), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()

@@ -95,3 +95,23 @@ def test_query_matches_sql(spark, name):
     at = [x[0] for x in want.description]
     assert sorted(at) == cols
     assert sorted(repr(tuple(r[c] for c in cols)) for r in got.collect()) == sorted(repr(tuple(r[at.index(c)] for c in cols)) for r in want.fetchall())
+
+
+def test_layout_is_dealt_by_ranges(spark):
+    from itertools import accumulate
+
+    rows = [(None if k % 11 == 0 else "hot" if k % 3 else f"s{k % 7}", float(k), k + 1.0 + k % 4, k * 25, k * 25 + 30, 10**6) for k in range(1, 900)]
+    items = spark.createDataFrame(rows, "src string, start_seconds double, end_seconds double, start_frame long, end_frame long, frames long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = layout.layout(items, "src")
+        got = sorted(out.collect(), key=lambda r: r.item_idx)
+        assert len([p for p in out.rdd.glom().map(len).collect() if p]) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    ends = list(accumulate(round((r[2] - r[1]) * 25) for r in rows))
+    names = list(dict.fromkeys(r[0] for r in rows))
+    assert [(r.src, r.item_idx, r.in_frame, r.seq_start, r.seq_end) for r in got] == [(r[0], k + 1, r[3], ([0] + ends)[k], ends[k]) for k, r in enumerate(rows)]
+    assert [r.file_idx for r in got] == [names.index(r[0]) + 1 for r in rows]
+    assert [r.full_record for r in got] == [k == 0 or rows[k - 1][0] != r[0] for k, r in enumerate(rows)]

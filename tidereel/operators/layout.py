@@ -2,26 +2,52 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _durable(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 def layout(items: DataFrame, key: str, timebase: int = 25) -> DataFrame:
     """Trimmed items with their place on the sequence.
 
     ``items(key, start_seconds, end_seconds, start_frame, end_frame, frames)``.
-    The running sum is one ordered pass over the selects, which are few; sums
-    are aggregated from them only here.
+    Items are cut into ranges of their order; each range counts and sums its
+    own, and starts at the sums of the ranges before it.
     """
     length = F.round(F.greatest(F.col("end_seconds") - F.col("start_seconds"), F.lit(0.0)) * timebase).cast("long")
     start = F.least("start_frame", "frames")
     end = F.greatest(F.least("end_frame", "frames"), start + 1)
     valid = items.withColumn("dur", length).where((F.col("start_frame") < F.col("frames")) & (F.col("end_frame") > F.col("start_frame")) & (F.col("dur") > 0))
     order = [key, "start_seconds", "end_seconds", "start_frame"]
-    line = Window.orderBy(*order)
-    out = valid.select("*", start.alias("in_frame"), end.alias("out_frame"), F.row_number().over(line).cast("long").alias("item_idx"), F.sum("dur").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("seq_end"))
-    first = F.row_number().over(Window.partitionBy(key).orderBy("item_idx")) == 1
-    return out.select(key, "item_idx", F.dense_rank().over(Window.orderBy(key)).cast("long").alias("file_idx"), first.alias("full_record"), "in_frame", "out_frame", (F.col("seq_end") - F.col("dur")).alias("seq_start"), "seq_end")
+    ranges = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = valid.select(key, *[c for c in order if c != key], "dur", start.alias("in_frame"), end.alias("out_frame")).repartitionByRange(ranges, *order).withColumn("pid", F.spark_partition_id())
+    ranged = _durable(ranged)
+    line, own = Window.partitionBy("pid").orderBy(*order), Window.partitionBy("pid", key).orderBy(*order)
+    placed = ranged.select(
+        "*", F.row_number().over(line).alias("i"), F.sum("dur").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("at"),
+        F.dense_rank().over(Window.partitionBy("pid").orderBy(key)).alias("f"), F.row_number().over(own).alias("k"),
+    )
+    place = F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("key"))
+    sums = placed.groupBy("pid").agg(F.count("*").alias("n"), F.sum("dur").alias("d"), F.max("f").alias("fs"), F.min(place).alias("lo"), F.max(place).alias("hi"))  # a row for each range
+    each = Window.orderBy("pid")
+    goes_on = F.lag("hi").over(each).isNotNull() & F.col("lo.key").eqNullSafe(F.lag("hi.key").over(each))
+    before, zero = each.rowsBetween(Window.unboundedPreceding, -1), F.lit(0).cast("long")
+    sums = sums.withColumn("goes_on", goes_on)
+    sums = sums.select(
+        "pid", "goes_on", F.coalesce(F.sum("n").over(before), zero).alias("n0"), F.coalesce(F.sum("d").over(before), zero).alias("d0"),
+        (F.coalesce(F.sum("fs").over(before), zero) - F.sum(F.col("goes_on").cast("long")).over(each.rowsBetween(Window.unboundedPreceding, 0))).alias("f0"),
+    )
+    out = placed.join(F.broadcast(sums), "pid")
+    end_at, first = F.col("d0") + F.col("at"), (F.col("k") == 1) & ~(F.col("goes_on") & (F.col("f") == 1))
+    return out.select(key, (F.col("n0") + F.col("i")).alias("item_idx"), (F.col("f0") + F.col("f")).alias("file_idx"), first.alias("full_record"), "in_frame", "out_frame", (end_at - F.col("dur")).alias("seq_start"), end_at.alias("seq_end"))
 
 
 def sequence_seed(clips: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VERSION = 1
 
@@ -24,12 +25,41 @@ def split_work(catalog: DataFrame, stored: DataFrame, key: list[str]) -> tuple[D
     return catalog.join(known, key, "left_semi"), catalog.join(known, key, "left_anti")
 
 
+def _rate(timebase: int, ntsc: bool) -> str:
+    return f"<rate><timebase>{timebase}</timebase><ntsc>{str(ntsc).upper()}</ntsc></rate>"
+
+
+def _frame(rate: str, name: str) -> tuple[str, str, str]:
+    """The lines before and after the clips."""
+    head = f'<xmeml version="4"><project><name>{escape(name)}</name><children><sequence><name>{escape(name)}</name>{rate}<media><video><track>'
+    return '<?xml version="1.0" encoding="UTF-8"?>', head, "</track></video></media></sequence></children></project></xmeml>"
+
+
+def _clip(r, rate: str) -> str:
+    file = f'<file id="file-{r.file_idx}">' + (f"<name>{escape(r.source)}</name><pathurl>{escape(r.url)}</pathurl>{rate}</file>" if r.full_record else "</file>")
+    return f'<clipitem id="clip-{r.item_idx}"><name>{escape(r.source)}</name><enabled>TRUE</enabled><duration>{r.out_frame - r.in_frame}</duration>{rate}<in>{r.in_frame}</in><out>{r.out_frame}</out><start>{r.seq_start}</start><end>{r.seq_end}</end>{file}</clipitem>'
+
+
 def timeline_xml(items: DataFrame, timebase: int = 25, ntsc: bool = False, name: str = "Timeline"):
-    """Lines of the XML of ``layout()`` rows with ``source`` and ``url``; rows stream to the driver one partition at a time."""
-    rate = f"<rate><timebase>{timebase}</timebase><ntsc>{str(ntsc).upper()}</ntsc></rate>"
-    yield '<?xml version="1.0" encoding="UTF-8"?>'
-    yield f'<xmeml version="4"><project><name>{escape(name)}</name><children><sequence><name>{escape(name)}</name>{rate}<media><video><track>'
+    """Lines of the XML of ``layout()`` rows with ``source`` and ``url``; rows stream to the driver one partition at a time. For long timelines see ``write_timeline_xml``."""
+    rate = _rate(timebase, ntsc)
+    *head, foot = _frame(rate, name)
+    yield from head
     for r in items.orderBy("item_idx").toLocalIterator():
-        file = f'<file id="file-{r.file_idx}">' + (f"<name>{escape(r.source)}</name><pathurl>{escape(r.url)}</pathurl>{rate}</file>" if r.full_record else "</file>")
-        yield f'<clipitem id="clip-{r.item_idx}"><name>{escape(r.source)}</name><enabled>TRUE</enabled><duration>{r.out_frame - r.in_frame}</duration>{rate}<in>{r.in_frame}</in><out>{r.out_frame}</out><start>{r.seq_start}</start><end>{r.seq_end}</end>{file}</clipitem>'
-    yield "</track></video></media></sequence></children></project></xmeml>"
+        yield _clip(r, rate)
+    yield foot
+
+
+def write_timeline_xml(items: DataFrame, path: str, timebase: int = 25, ntsc: bool = False, name: str = "Timeline") -> None:
+    """The same lines as a folder of text files, one for each range of items; joined in the order of their names they are the document."""
+    rate, spark = _rate(timebase, ntsc), items.sparkSession
+
+    def lines(batches):
+        for pdf in batches:
+            yield pdf[["item_idx"]].assign(value=[_clip(r, rate) for r in pdf.itertuples(index=False)])
+
+    clips = items.select("item_idx", "file_idx", "full_record", "in_frame", "out_frame", "seq_start", "seq_end", "source", "url").mapInPandas(lines, "item_idx long, value string")
+    first, head, foot = _frame(rate, name)
+    ends = spark.createDataFrame([(-2, first), (-1, head), (2**63 - 1, foot)], "item_idx long, value string")
+    whole = clips.unionByName(ends).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "item_idx").sortWithinPartitions("item_idx")
+    whole.select(F.col("value")).write.text(path)
