@@ -208,19 +208,47 @@ def test_urls(spark):
     assert got[1].verdict == "block" and got[2].verdict == "allow" and got[1].template != got[2].template
 
 
-def test_sharding(spark, docs, empty):
-    d = spark.createDataFrame([(k, "t" * (k % 97) + str(k % 400), f"s{k % 5}", "en") for k in range(2000)], "doc_id long, text string, source string, lang string")
-    got = sharding.curve_shards(d).collect()
-    by = collections.defaultdict(list)
+def shard_laws(rows, got):
+    """Size, checksum, gapless slots and whole groups, by brute force; bytes of each shard."""
+    texts = collections.Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
+    assert collections.Counter((r.id, r.size, r.text_crc32) for r in got) == texts
+    by, of = collections.defaultdict(list), collections.defaultdict(set)
     for r in got:
         by[r.shard].append(r)
-    assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values()) and len(by) == 8
-    total = [sum(r.size for r in v) for v in by.values()]
-    assert max(total) - min(total) < 0.1 * sum(total) / 8
-    assert sharding.curve_shards(docs).count() == docs.count()
+        of[r.size, r.text_crc32].add(r.shard)
+    assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values()) and by.keys() <= set(range(8))
+    assert all(len(v) == 1 for v in of.values())
+    return [sum(r.size for r in by[k]) for k in range(8)]
+
+
+def test_sharding(spark, rows, docs, empty):
+    kind = "doc_id long, text string, source string, lang string"
+    plain = [(k, "t" * (k % 97) + str(k % 1700), f"s{k % 5}", "en") for k in range(4000)]
+    total = shard_laws(plain, sharding.curve_shards(spark.createDataFrame(plain, kind)).collect())
+    assert max(total) - min(total) <= sum(total) / 8 / 32
+    hot = [(k if k % 3 else None, "same" * 30 if k < 900 else "" if k < 1300 else f"text {k}" * (k % 30), f"s{k % 5}", "en") for k in range(2000)]  # one group of about 45 %, one of many short rows
+    total = sorted(shard_laws(hot, sharding.curve_shards(spark.createDataFrame(hot, kind)).collect()))
+    assert total[-1] == 900 * 121 and total[6] - total[0] <= total[6] / 16
+    extra = [*rows, rows[0], (None, "no id here", None, None, None, *rows[0][5:])]
+    shard_laws(extra, sharding.curve_shards(docs).collect())
     assert sharding.curve_shards(empty).count() == 0
 
 
+def test_files_of_shards_can_be_skipped(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    d = spark.createDataFrame([(k, f"text {k} " * (1 + k * 7 % 50), f"s{k * 31 % 20:02}", "abcd"[k * 17 % 4]) for k in range(6000)], "doc_id long, text string, source string, lang string")
+    sharding.write_shards(d, sharding.curve_shards(d), f"{tmp_path}/x")
+    files = [pq.read_metadata(f).row_group(0) for f in (tmp_path / "x").rglob("*.parquet")]
+    assert sum(f.num_rows for f in files) == 6000
+
+    def skipped(column, value):
+        s = [next(f.column(i).statistics for i in range(f.num_columns) if f.column(i).path_in_schema == column) for f in files]
+        return sum(not x.min <= value <= x.max for x in s) / len(s)
+
+    assert skipped("source", "s07") >= 0.5 and skipped("lang", "b") >= 0.25  # without the order each file has every value
+
+
 def test_hilbert_neighbours_are_one_step_apart():
     axes = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     order = axes[np.argsort(sharding.hilbert_index(axes, 3))]
