@@ -154,19 +154,61 @@ def test_brown(spark, docs, empty):
     assert brown.score_corpus(empty).count() == 0
 
 
+def shared_targets(sizes, weights=(5, 2, 1), cap=3):
+    """Targets by sharing what is left over among the sources under their cap, until none is above."""
+    names = sorted(sizes, key=lambda x: (x is None, x))
+    weight, goal, capped = {x: weights[k % 3] for k, x in enumerate(names)}, {}, set()
+    while True:
+        left = sum(sizes.values()) - sum(cap * sizes[x] for x in capped)
+        free = sum(weight[x] for x in names if x not in capped)
+        goal = {x: cap * sizes[x] if x in capped else left * weight[x] / free for x in names}
+        over = {x for x in names if x not in capped and goal[x] > cap * sizes[x]}
+        if not over:
+            return goal
+        capped |= over
+
+
+def mix_laws(rows, got):
+    """Every law of the mix for ``rows(id, source, size)``, by brute force."""
+    total = collections.Counter()
+    for _, s, n in rows:
+        total[s] += n
+    goal, taken, most = shared_targets(total), collections.Counter(), collections.Counter()
+    assert collections.Counter((r.id, r.source, r.size) for r in got) == collections.Counter(rows)
+    for r in got:
+        assert r.source_size == total[r.source] and r.target == pytest.approx(goal[r.source])
+        assert 0 <= r.copies <= 3 and (r.size or not r.copies)
+        taken[r.source] += r.copies * r.size
+        most[r.source] = max(most[r.source], r.size)
+    for s in total:
+        assert abs(taken[s] - goal[s]) <= most[s]
+
+
 @pytest.mark.parametrize("small", [mixing.BROADCAST_BYTES, 0])
 def test_mixing(spark, docs, empty, monkeypatch, small):
     monkeypatch.setattr(mixing, "BROADCAST_BYTES", small)
-    d = spark.createDataFrame([(k, "abc"[k % 3], 1 + k % 40) for k in range(3000)], "id long, source string, size long")
-    a = sorted(map(tuple, mixing.mix(d, bucket_rows=50).collect()))
-    assert a == sorted(map(tuple, mixing.mix(d.repartition(7), bucket_rows=50).collect()))
-    for s in "abc":
-        mine = [r for r in a if r[1] == s]
-        assert abs(sum(r[2] * r[5] for r in mine) - mine[0][4]) <= 40 and max(r[5] for r in mine) <= 3
-    assert mixing.mix(docs.select(F.col("doc_id").alias("id"), "source", mixing.n_words().alias("size"))).count() == docs.count()
+    kind = "id long, source string, size long"
+    rows = [(k, [None, "a", "bé", "c"][k % 4], k % 41) for k in range(2000)] + [(None, "a", 7)] * 2500 + [(5, "tiny", 1)]
+    got = mixing.mix(spark.createDataFrame(rows, kind), bucket_rows=50).collect()
+    mix_laws(rows, got)
+    again = mixing.mix(spark.createDataFrame(rows[::-1], kind).repartition(7), bucket_rows=50).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(map(tuple, again))
+    taken = mixing.mix(docs.select(F.col("doc_id").alias("id"), "source", mixing.n_words().alias("size"))).collect()
+    mix_laws([(r.id, r.source, r.size) for r in taken], taken)
+    assert len(taken) == docs.count()
     assert mixing.mix(empty.select(F.col("doc_id").alias("id"), "source", mixing.n_words().alias("size"))).count() == 0
 
 
+def test_repeated_rows_spread_over_tasks_and_buckets(spark):
+    same = spark.range(60_000).selectExpr("cast(null as long) AS id", "'=a' AS key", "9L AS size")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = mixing.numbered_items(same).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_distinct("copy").alias("d")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(r.n for r in parts) == sum(r.d for r in parts) == 60_000 and max(r.n for r in parts) < 40_000
+
+
 def test_targets_are_capped(spark):
     d = spark.createDataFrame([("a", 1), ("b", 100), ("c", 1000), (None, 0)], "source string, size long")
     t = {r.source: r.target for r in mixing.source_targets(d).collect()}
