@@ -63,11 +63,8 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_near_links_equal_brute_force():
-    rng = np.random.default_rng(3)
-    x = rng.integers(0, 2**63, 3000, dtype=np.uint64)
-    x[1500:] = x[:1500] ^ (np.uint64(1) << rng.integers(0, 63, 1500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 1500).astype(np.uint64))
-    x = np.unique(x)
+def roots(x, k):
+    """Smallest index that each fingerprint reaches, by brute force."""
     want = list(range(len(x)))
 
     def root(a):
@@ -76,8 +73,24 @@ def test_near_links_equal_brute_force():
         return a
 
     for i in range(len(x)):
-        for j in np.flatnonzero(np.bitwise_count(x[i] ^ x) <= 4):
+        for j in np.flatnonzero(np.bitwise_count(x[i] ^ x) <= k):
             want[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(x))]
+
+
+def close_points(n, dense=0):
+    """Random fingerprints, each with one two bits away, and a cluster of some within six bits of a centre."""
+    rng = np.random.default_rng(3)
+    bit = lambda m: np.uint64(1) << rng.integers(0, 63, m).astype(np.uint64)
+    x = rng.integers(0, 2**63, n, dtype=np.uint64)
+    c = np.full(dense, x[0])
+    for _ in range(6):
+        c = c ^ bit(dense)
+    return np.unique(np.concatenate([x, x ^ bit(n) ^ bit(n), c]))
+
+
+def test_near_links_equal_brute_force():
+    x = close_points(1500)
     tree = simhash.ShardTree(x[:500], 3, 4)
     row, shard, visits = tree.deal(x)
     got = list(range(len(x)))
@@ -87,12 +100,37 @@ def test_near_links_equal_brute_force():
             a = got[a]
         return a
 
-    for s in range(8):
+    for s in np.unique(shard):
         inside = row[shard == s]
         u, v = simhash.near_links(x[inside], ~visits[shard == s], 4, leaf=64)
         for a, b in zip(inside[u], inside[v], strict=True):
             got[max(up(a), up(b))] = min(up(a), up(b))
-    assert [root(i) for i in range(len(x))] == [up(i) for i in range(len(x))]
+    assert roots(x, 4) == [up(i) for i in range(len(x))]
+
+
+@pytest.mark.parametrize("shard_points", [1 << 15, 60])
+def test_components_equal_brute_force(spark, shard_points):
+    """With 60 points a shard, the cluster's groups are partitioned by the tree."""
+    x = close_points(700, dense=500)
+    order = np.random.default_rng(1).permutation(len(x))
+    rows = [(int(i), int(x[k].view(np.int64))) for i, k in enumerate(order)] + [(5000, int(x[0].view(np.int64))), (None, int(x[1].view(np.int64)))]
+    got = {r.id: r.component_id for r in simhash.link_components(spark.createDataFrame(rows, "id long, fp long"), shard_points=shard_points, sample_points=256).collect()}
+    group = roots(x, 4)
+    least = {}
+    for i, k in enumerate(order):
+        least[group[k]] = min(least.get(group[k], i), i)
+    assert all(got[i] == least[group[k]] for i, k in enumerate(order))
+    assert (got[5000], got[None]) == (least[group[0]], least[group[1]])
+
+
+def test_copies_of_points_do_not_grow_with_their_number():
+    assert [len(simhash.block_masks(n, 4, 1 << 15)) for n in (10**3, 10**6, 10**8, 10**10)] == [5, 5, 5, 15]
+    x = close_points(400)
+    for n in (10**6, 10**10):
+        masks = simhash.block_masks(n, 4, 1 << 15)
+        far = x[:, None] ^ x[None]
+        near = np.bitwise_count(far) <= 4
+        assert (near <= np.any([far & m == 0 for m in masks], axis=0)).all()
 
 
 def test_bpe(docs, empty):

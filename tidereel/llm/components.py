@@ -18,8 +18,10 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Only nodes that have a link appear. Links stay in Spark: each round joins
     the links to the smallest neighbour of each node, which is aggregated
-    before it is shuffled; a hub's rows are split by the skew join. Nulls and
-    loops are dropped; an empty table gives an empty result.
+    before it is shuffled. Those smallest neighbours are written durably, so
+    that the join has a shuffle of its own on both sides and the skew join can
+    split a hub's rows. Nulls and loops are dropped; an empty table gives an
+    empty result.
     """
     e = links.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = durable(e)
@@ -28,9 +30,9 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state[0] == 0:
             break
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = durable(both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = durable(large.groupBy("u").agg(F.min("v").alias("m")))
         pairs = large.join(low, "u")
         small = pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = durable(small)

@@ -2,21 +2,26 @@
 
 1. Each text gets a 64-bit fingerprint from the XXH64 of its word shingles.
 2. Fingerprints are made distinct, so a group of exact copies is one point.
-3. A small vantage-point tree, fitted on a bounded sample of fingerprints, cuts
-   the Hamming space into shards. Each point lives in one shard; it also visits
-   the shards across a boundary that the triangle bounds cannot rule out.
-4. Each shard is joined with itself and its visitors by a vantage-point
+3. The bits are cut into blocks. Two fingerprints that differ in k bits agree in
+   all but k blocks, so they meet in a group that agrees in the others. With
+   k + 1 blocks a point has k + 1 copies; one more block is cut only when the
+   groups would grow beyond a shard (at about 2 ** 28 points for k = 4).
+4. A group that is larger than a shard is partitioned by a vantage-point tree
+   over Hamming distance, fitted on a bounded sample. Each point lives in one
+   shard and visits those across a boundary that the triangle bounds cannot
+   rule out.
+5. Each shard is joined with itself and its visitors by a vantage-point
    recursion that prunes by the same bounds; it compares pairs exactly and
    hands on a spanning forest of the links found, never all pairs.
-5. Star contraction gives each document the smallest id it can reach.
+6. Star contraction gives each document the smallest id it can reach.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -84,13 +89,13 @@ class ShardTree:
             else:
                 sets[2 * node + 1] = sets[2 * node + 2] = x
 
-    def deal(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(row, shard, visits)``: where each point lives, and each shard beyond a boundary that it must visit.
+    def deal(self, x: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(row, node, visits)``: the node at ``depth`` where each point lives, and each node beyond a boundary that it must visit.
 
         Of two near points on different sides of a boundary, the inner one visits.
         """
         row, node, visits = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        for _ in range(self.depth):
+        for _ in range(self.depth if depth is None else min(depth, self.depth)):
             d, r = np.bitwise_count(x[row] ^ self.point[node]).astype(np.int16), self.radius[node]
             near, far = d <= r, d > r
             into_near = np.where(visits, d - self.k <= r, near)
@@ -101,7 +106,15 @@ class ShardTree:
                 np.concatenate([2 * node[into_near] + 1, 2 * node[into_far] + 2, 2 * node[crosses] + 2]),
                 np.concatenate([visits[into_near], visits[into_far], np.ones(int(crosses.sum()), bool)]),
             )
-        return row, node - (2**self.depth - 1), visits
+        return row, node, visits
+
+
+def block_masks(points: int, k: int, shard_points: int) -> np.ndarray:
+    """Bits that a group agrees in, for each choice of the blocks that may differ; any two points within ``k`` bits agree in one of them."""
+    blocks = next((m for m in range(k + 1, 64) if points <= shard_points * 2 ** (64 * (m - k) / m)), 64)
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    parts = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return np.array([sum(c) for c in combinations(parts, blocks - k)], np.uint64)
 
 
 class _Forest:
@@ -184,38 +197,100 @@ def near_links(x: np.ndarray, resident: np.ndarray, k: int, leaf: int = 512) ->
     return tuple(np.concatenate(z) for z in zip(*forest.links, strict=True))
 
 
-def link_components(fps: DataFrame, max_distance: int = 4, shard_points: int = 1 << 15, sample_points: int = 1 << 14, max_depth: int = 14) -> DataFrame:
-    """``fps(id, fp)`` to ``(id, fp, component_id)``.
+def group_links(x: np.ndarray, group: np.ndarray, resident: np.ndarray, k: int, few: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forests of the links inside each run of equal ``group``; small groups are compared side by side."""
+    cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(x) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[cut, len(x)])
+    number = np.repeat(np.arange(len(cut)), size)
+    small, forest = np.repeat(size <= few, size), _Forest(len(x))
+    for d in range(1, int(min(few, size.max(initial=0)))):
+        i = np.flatnonzero(small[:-d] & (number[:-d] == number[d:]))
+        i = i[np.bitwise_count(x[i] ^ x[i + d]) <= k]
+        forest.add(i, i + d)
+    us, vs = [u for u, _ in forest.links], [v for _, v in forest.links]
+    for a, n in zip(cut[size > few], size[size > few], strict=True):
+        u, v = near_links(x[a : a + n], resident[a : a + n], k)
+        us.append(a + u)
+        vs.append(a + v)
+    return tuple(np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
+
+
+def near_fingerprints(points: DataFrame, max_distance: int = 4, shard_points: int = 1 << 15, sample_points: int = 1 << 14) -> DataFrame:
+    """``points(fp)``, distinct, to ``(u, v)``: links that join whatever is within ``max_distance`` bits, directly or in steps.
 
     ``sample_points`` bounds the fingerprints that the driver sees to fit the
-    tree. Shards hold about ``shard_points`` points up to ``2 ** max_depth``
-    shards. Rows without an id keep their fingerprint; their component is that
-    of the ids that they are near to, or null.
+    tree of the large groups; its depth is bounded by that sample, a level for
+    each doubling.
     """
-    groups = durable(fps.groupBy("fp").agg(F.min("id").alias("node")))
-    n = groups.count()
-    depth = min(max_depth, max(1, math.ceil(math.log2(max(1, n) / shard_points))))
-    sample = [r.fp for r in groups.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_points).collect()]
-    tree = ShardTree(np.array(sample, np.int64).view(np.uint64), depth, max_distance)
+    k, masks = max_distance, block_masks(points.count(), max_distance, shard_points)
 
-    def deal(batches):
+    def blocks(batches):
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for s in range(0, len(fp), 4096):
-                row, shard, visits = tree.deal(fp[s : s + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(~visits), pa.array(fp[s + row].view(np.int64))], names=["shard", "resident", "fp"])
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = pdf["fp"].to_numpy()
-        u, v = near_links(fp.view(np.uint64), pdf["resident"].to_numpy(), max_distance)
-        return pd.DataFrame({"u": fp[u], "v": fp[v]})
-
-    dealt = groups.select("fp").mapInArrow(deal, "shard int, resident boolean, fp long")
-    links = dealt.groupBy("shard").applyInPandas(search, "u long, v long")
-    reach = connected_components(links)
+            for c, m in enumerate(masks):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), c, np.int32)), pa.array((fp & m).view(np.int64)), b.column(0)], names=["combo", "value", "fp"])
+
+    dealt = points.select("fp").mapInArrow(blocks, "combo int, value long, fp long")
+    large = durable(dealt.groupBy("combo", "value").agg(F.count("*").alias("n")).where(F.col("n") > shard_points))
+    widest = large.agg(F.max("n")).first()[0]
+    key = ["combo", "value", "node"]
+    if widest is None:
+        dealt = dealt.select("combo", "value", F.lit(0).cast("long").alias("node"), F.lit(True).alias("resident"), "fp")
+    else:
+        sample = np.array([r.fp for r in points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_points).collect()], np.int64).view(np.uint64)
+        tree = ShardTree(sample, min(math.ceil(math.log2(widest / shard_points)), max(1, len(sample).bit_length() - 1)), k)
+
+        def split(batches):
+            for b in batches:
+                combo, value, fp, depth = (b.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+                for d in np.unique(depth):
+                    mine = np.flatnonzero(depth == d)
+                    for s in range(0, len(mine), 4096):
+                        at = mine[s : s + 4096]
+                        row, node, visits = tree.deal(fp[at].view(np.uint64), int(d))
+                        at = at[row]
+                        yield pa.RecordBatch.from_arrays([pa.array(combo[at]), pa.array(value[at]), pa.array(node), pa.array(~visits), pa.array(fp[at])], names=[*key, "resident", "fp"])
+
+        depth = F.coalesce(F.ceil(F.log2(F.col("n") / shard_points)), F.lit(0)).cast("int")
+        dealt = dealt.join(large, ["combo", "value"], "left").select("combo", "value", "fp", depth.alias("depth")).mapInArrow(split, "combo int, value long, node long, resident boolean, fp long")
+
+    def search(batches):
+        """Rows come in order of their groups; a group that goes on in the next batch waits for it."""
+        held = None
+
+        def give(t):
+            kind = [t.column(c).to_numpy() for c in range(3)]
+            fresh = np.r_[True, np.any([c[1:] != c[:-1] for c in kind], axis=0)]
+            fp = t.column(4).to_numpy()
+            u, v = group_links(fp.view(np.uint64), np.cumsum(fresh), t.column(3).to_numpy(), k)
+            return pa.RecordBatch.from_arrays([pa.array(fp[u]), pa.array(fp[v])], names=["u", "v"])
+
+        for b in batches:
+            t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b]).combine_chunks()
+            if not t.num_rows:
+                continue
+            same = np.all([t.column(c).to_numpy() == t.column(c)[t.num_rows - 1].as_py() for c in range(3)], axis=0)
+            at = int(np.flatnonzero(same)[0])
+            if at:
+                yield give(t.slice(0, at).combine_chunks())
+            held = t.slice(at).combine_chunks()
+        if held is not None:
+            yield give(held)
+
+    return dealt.repartition(partitions(points), *key).sortWithinPartitions(*key).mapInArrow(search, "u long, v long")
+
+
+def link_components(fps: DataFrame, max_distance: int = 4, **sizes) -> DataFrame:
+    """``fps(id, fp)`` to ``(id, fp, component_id)``.
+
+    Rows without an id keep their fingerprint; their component is that of the
+    ids that they are near to, or null.
+    """
+    groups = durable(fps.groupBy("fp").agg(F.min("id").alias("node")))
+    reach = connected_components(near_fingerprints(groups.select("fp"), max_distance, **sizes))
     named = groups.join(reach, groups["fp"] == reach["node"].alias("x"), "left").select(groups["fp"], groups["node"], F.coalesce(reach["component"], groups["fp"]).alias("c"))
     named = durable(named)
-    ids = named.groupBy("c").agg(F.min("node").alias("component_id"))
+    ids = durable(named.groupBy("c").agg(F.min("node").alias("component_id")))  # so that both sides of the join have a shuffle of their own, and a large component's rows can be split
     known = named.join(ids, "c").select("fp", "component_id")
     return fps.join(known, "fp").select("id", "fp", "component_id")
 
