@@ -1,17 +1,19 @@
-"""Near copies by the Jaccard similarity of word shingles, each link verified exactly.
-
-1. Texts with the same set of shingles become one node.
-2. MinHash bands name candidate buckets. At similarity J two nodes share one
-   with probability ``1 - (1 - J ** ROWS) ** BANDS``: 0.9999 at J 0.8, more above.
-3. In the first rounds each bucket compares its members with a few of them
-   only; what that joins needs no comparison of its own. All pairs of a bucket
-   that are still apart are compared at the end, each in the first bucket that
-   it shares, so a dense group costs few pairs and no candidate is left out.
-   Pairs are passed over whose sizes or parity bits can't have the similarity:
-   each shingle that only one of two sets has changes one bit, so the bits that
-   differ are never more than those shingles.
-4. A pair links only if its shingle sets have the similarity; star contraction
-   joins the links.
+"""Near copies by SimHash near-dedup with verified similarity, as the pipeline needs it.
+
+1. Texts with the same set of shingles become one node with a SimHash.
+2. The vantage-point search of ``simhash`` links close fingerprints; each of
+   its links is kept only if the shingle sets have the similarity.
+3. At a Jaccard similarity of 0.8 fingerprints differ in about ten bits, more
+   than any bound lets a search of 64 bits prune. So MinHash bands name the
+   candidates that are still apart: at similarity J two nodes share one with
+   probability ``1 - (1 - J ** ROWS) ** BANDS``, 0.9999 at J 0.8, more above.
+4. Buckets whose members are all joined need nothing more. In the others each
+   pair that is still apart is compared in the first bucket that it shares;
+   tasks hold two parts of a bucket at most and hand on a spanning forest of
+   the links, never pairs. Pairs are passed over whose sizes or parity bits
+   can't have the similarity: each shingle that only one of two sets has
+   changes one bit, so the bits that differ are never more than those shingles.
+5. Star contraction joins the links.
 """
 
 from __future__ import annotations
@@ -19,16 +21,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, text_bytes
+from . import simhash
+from .common import durable, partitions, text_bytes
 from .components import connected_components
 
 SEED = 42
 BANDS, ROWS = 30, 6
-#: Members that all others of a bucket are compared with, for each of the first rounds.
-STARS = (4, 16)
+#: Members of a part of a bucket, and bits of the fingerprints within which the first links are sought.
+PART, BITS = 1_024, 4
 #: Longs of parity bits for each set.
 LONGS = 8
 _DRAWN = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS, 1), dtype=np.uint64)
@@ -64,13 +67,6 @@ def parity(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _may_link(a: str, b: str, tenths: int) -> Column:
-    """Whether two structs of ``n`` and ``g``, size and parity bits, allow the similarity."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = sum(F.bit_count(F.col(f"{a}.g.b{i}").bitwiseXOR(F.col(f"{b}.g.b{i}"))) for i in range(LONGS))
-    return (10 * F.least(na, nb) >= tenths * F.greatest(na, nb)) & ((10 + tenths) * differ <= (10 - tenths) * (na + nb))
-
-
 def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
@@ -81,21 +77,34 @@ def _key(h: np.ndarray) -> tuple[int, int]:
 
 
 def _nodes(rows: DataFrame, size: int) -> DataFrame:
-    """``rows(id, t)`` to one row for each set of shingles: ``(node, id, k1, k2, n, g, bands)``, id being the smallest."""
+    """``rows(id, t)`` to one row for each set of shingles: ``(node, id, n, fp, g, bands)``, id being the smallest."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         for b in (b.slice(i, _TEXTS) for b in batches for i in range(0, b.num_rows, _TEXTS)):
             sets = [shingles(t.as_buffer().to_pybytes(), size) for t in b.column(1)]
             keys = [_key(h) for h in sets]
-            bits = np.array([parity(h) for h in sets], np.int64).reshape(-1, LONGS)
-            g = pa.StructArray.from_arrays([pa.array(bits[:, i]) for i in range(LONGS)], [f"b{i}" for i in range(LONGS)])
-            columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), g, pa.array([bands(h) for h in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", "k1", "k2", "n", "g", "bands"])
+            columns = [
+                pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(h) for h in sets], pa.int32()),
+                pa.array([_signed(simhash.majority(h)) for h in sets], pa.int64()), pa.array([parity(h).tobytes() for h in sets], pa.binary()), pa.array([bands(h).tobytes() for h in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", "k1", "k2", "n", "fp", "g", "bands"])
+
+    prints = rows.mapInArrow(run, f"id {kind}, k1 long, k2 long, n int, fp long, g binary, bands binary")
+    groups = prints.groupBy("k1", "k2").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "fp", "g", "bands")])
+    return durable(groups.withColumn("node", F.monotonically_increasing_id()).drop("k1", "k2"))
+
+
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """``(h, node)`` for each band of each node."""
+
+    def run(batches):
+        for b in batches:
+            h = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
+            at = np.repeat(np.arange(len(h)), [len(x) for x in h])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *h])), b.column(0).take(pa.array(at))], names=["h", "node"])
 
-    prints = rows.mapInArrow(run, f"id {kind}, k1 long, k2 long, n int, g struct<{', '.join(f'b{i}: long' for i in range(LONGS))}>, bands array<long>")
-    groups = prints.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("bands").alias("bands"))
-    return durable(groups.withColumn("node", F.monotonically_increasing_id()))
+    return nodes.select("node", "bands").mapInArrow(run, "h long, node long")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -109,47 +118,119 @@ def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return durable(rows.join(wanted, "id").select("node", "t").mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"]))
 
 
+def close_pairs(n: np.ndarray, g: np.ndarray, tenths: int, block: int = 128):
+    """Index pairs (i < j) whose sizes and parity bits allow the similarity."""
+    for s in range(0, len(n), block):
+        i = np.arange(s, min(s + block, len(n)))
+        differ = np.zeros((len(i), len(n)), np.int64)
+        for k in range(g.shape[1]):
+            differ += np.bitwise_count(g[i, None, k] ^ g[None, :, k])
+        total = n[i, None] + n[None]
+        may = ((10 + tenths) * differ <= (10 - tenths) * total) & (10 * np.minimum(n[i, None], n[None]) >= tenths * np.maximum(n[i, None], n[None]))
+        p, q = np.nonzero(may)
+        yield i[p][q > i[p]], q[q > i[p]]
+
+
+def bucket_links(h: int, node: np.ndarray, c: np.ndarray, side: np.ndarray, n: np.ndarray, g: np.ndarray, band: np.ndarray, sets: list, tenths: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links of a bucket, or between two parts of it (``side`` 0 and 1), beyond those in ``c``."""
+    group = dict(zip(c.tolist(), c.tolist(), strict=True))
+    held: dict[int, set] = {}
+
+    def top(x: int) -> int:
+        while group[x] != x:
+            group[x] = x = group[group[x]]
+        return x
+
+    def of(i: int) -> set:
+        if i not in held:
+            held[i] = set(sets[i].tolist())
+        return held[i]
+
+    links, two = [], side.any() and not side.all()
+    for i, j in close_pairs(n.astype(np.int64), g, tenths):
+        ok = c[i] != c[j]
+        if two:
+            ok &= side[i] != side[j]
+        i, j = i[ok], j[ok]
+        for s in range(0, len(i), 1 << 16):
+            a, b = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+            same = band[a] == band[b]
+            first = band[a, same.argmax(axis=1)] == h  # other pairs meet in another bucket
+            for x, y in zip(a[first].tolist(), b[first].tolist(), strict=True):
+                u, v = top(int(c[x])), top(int(c[y]))
+                if u != v and (10 + tenths) * len(of(x) & of(y)) >= tenths * int(n[x] + n[y]):
+                    group[max(u, v)] = min(u, v)
+                    links.append((int(node[x]), int(node[y])))
+    return links
+
+
+def _compare(members: DataFrame, tenths: int) -> DataFrame:
+    """``members(h, i, j, node, c, side, n, g, bands, s)``, dealt and sorted by h, i, j, to the links of each part."""
+
+    def one(t: pa.Table) -> list:
+        col = lambda k: t.column(k).to_numpy()
+        g, band = (np.stack([np.frombuffer(x, d) for x in t.column(k).to_pylist()]) for k, d in (("g", np.uint64), ("bands", np.int64)))
+        sets = [np.asarray(x.values) for x in t.column("s").combine_chunks()]
+        return bucket_links(t.column("h")[0].as_py(), col("node"), col("c"), col("side"), col("n"), g, band, sets, tenths)
+
+    def run(batches):
+        held = None
+
+        def give(t):
+            key = [t.column(k).to_numpy() for k in ("h", "i", "j")]
+            cut = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in key], axis=0)])
+            links = [x for a, b in zip(cut, np.r_[cut[1:], t.num_rows], strict=True) if b - a > 1 for x in one(t.slice(a, b - a))]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for b in batches:
+            t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
+            if not t.num_rows:
+                continue
+            at = int(np.flatnonzero(np.all([(k := t.column(x).to_numpy()) == k[-1] for x in ("h", "i", "j")], axis=0))[0])
+            if at:
+                yield give(t.slice(0, at))
+            held = t.slice(at)
+        if held is not None:
+            yield give(held)
+
+    key = ["h", "i", "j"]
+    return members.repartition(partitions(members), *key).sortWithinPartitions(*key).mapInArrow(run, "u long, v long")
+
+
 def near_copies(docs: DataFrame, size: int, tenths: int, text_col: str = "text") -> DataFrame:
     """``docs(id, text)`` to ``(id, others)``: the smallest id of each group of near copies, and how many distinct sets it stands for.
 
     Two texts link at a Jaccard similarity of ``tenths`` / 10 or more. Equal ids
     must have equal texts and no id may be null. Texts without words are copies
-    of each other. An empty table gives an empty result.
+    of each other. An empty table gives an empty result; repeated rows count
+    once; other columns may have any names.
     """
     rows = docs.select("id", text_bytes(text_col).alias("t"))
     nodes = _nodes(rows, size)
-    banded = nodes.select(F.struct("node", "n", "g").alias("x"), F.explode("bands").alias("h"))
-    shared = banded.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    live = durable(banded.join(shared, "h"))
-    sets = _sets(rows, live.select("x.node").distinct().join(nodes.select("node", "id"), "node"), size)
-    tested = None
-    reach = nodes.sparkSession.createDataFrame([], "node long, component long")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
-        same, total = F.size(F.array_intersect("su", "sv")), F.size("su") + F.size("sv")
-        return both.select("u", "v", ((10 + tenths) * same >= tenths * total).alias("near"))
-
-    for step in range(len(STARS) + 1):
-        named = live.join(reach, live["x.node"] == reach["node"], "left").select("h", "x", F.coalesce("component", "x.node").alias("c"))
-        mixed = (F.min("c") < F.max("c")).alias("mixed")
-        if step < len(STARS):
-            chosen = [F.min_by("node", F.xxhash64("node", F.lit(step), F.lit(i))) for i in range(STARS[step])]
-            open_ = durable(named.withColumn("node", F.col("x.node")).groupBy("h").agg(F.array_distinct(F.array(*chosen)).alias("ps"), mixed).where("mixed").select("h", "ps"))
-            met = named.join(open_, "h")
-            some = met.where(F.array_contains("ps", F.col("x.node"))).select(F.col("h").alias("hb"), F.col("x").alias("y"), F.col("c").alias("cb"))
-            pairs = met.join(some, (F.col("h") == F.col("hb")) & (F.col("c") != F.col("cb")) & _may_link("x", "y", tenths)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-            live = durable(met.where(~F.array_contains("ps", F.col("x.node"))).select("h", "x"))
-        else:
-            open_ = named.groupBy("h").agg(mixed).where("mixed").select("h")
-            named = named.join(open_, "h").join(nodes.select("node", "bands"), F.col("x.node") == F.col("node")).drop("node")
-            other = named.select(F.col("h").alias("hb"), F.col("x").alias("y"), F.col("c").alias("cb"), F.col("bands").alias("bb"))
-            met = (F.col("x.node") < F.col("y.node")) & (F.col("c") != F.col("cb")) & _may_link("x", "y", tenths) & (F.array_min(F.array_intersect("bands", "bb")) == F.col("h"))
-            pairs = named.join(other, (F.col("h") == F.col("hb")) & met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        pairs = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti")
-        found = durable(verified(pairs))
-        tested = found if tested is None else tested.unionByName(found)
-        reach = connected_components(tested.where("near").select("u", "v"))
+    points = durable(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    close = simhash.near_fingerprints(points.select("fp"), BITS)
+    head = lambda c: points.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
+    pairs = close.join(head("u"), "u").join(head("v"), "v").select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
+    pairs = pairs.unionByName(nodes.join(points, "fp").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")))
+    pairs = durable(pairs.distinct())
+
+    banded = _buckets(nodes)
+    shared = banded.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    live = durable(banded.join(durable(shared), "h"))
+    wanted = live.select("node").unionByName(pairs.select(F.col("u").alias("node"))).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = _sets(rows, wanted.join(nodes.select("node", "id"), "node"), size)
+
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
+    same, total = F.size(F.array_intersect("su", "sv")), F.size("su") + F.size("sv")
+    found = durable(both.where((10 + tenths) * same >= tenths * total).select("u", "v"))
+    reach = connected_components(found)
+
+    named = durable(live.join(reach, "node", "left").select("h", "node", "m", F.coalesce("component", "node").alias("c")))
+    mixed = durable(named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h"))
+    parts = F.ceil(F.col("m") / PART)
+    open_ = named.join(mixed, "h").select("h", "node", "c", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("own"))
+    met = open_.select("h", "node", "c", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    met = met.select("h", "node", "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    members = met.join(nodes.select("node", "n", "g", "bands"), "node").join(sets, "node")
+    reach = connected_components(found.unionByName(_compare(members, tenths)))
     return nodes.join(reach, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("id").alias("id"), F.count("*").alias("others")).select("id", "others")

@@ -47,10 +47,15 @@ def fingerprint(data: bytes, shingle: int = 4) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     h = np.fromiter((xx(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: a bit is set if it is in over half of them."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, _BLOCK):
+    for i in range(0, len(h), _BLOCK):
         ones += np.unpackbits(h[i : i + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
