@@ -29,9 +29,40 @@ def test_motion_kernels():
     assert motion.thumbnail(np.full((48, 96, 3), 200, np.uint8)).shape == (48, 96)
 
 
+def test_outliers_do_not_bend_the_fit():
+    """A global shift of which a quarter of the vectors departs; what the refined model explains is counted anew."""
+    w, h = 192, 108
+    grid = motion.patch_centres(w, h) - np.array([(w - 1) / 2, (h - 1) / 2])
+    d = np.tile([3.0, -1.0], (len(grid), 1))
+    d[::4] = [-8.0, 9.0]
+    m, inliers, residual = motion.fit_affine(grid, d, w, h)
+    assert np.allclose(m, [[3, -1], [0, 0], [0, 0]]) and inliers == len(grid) - len(grid[::4]) and residual < 1e-6
+    rng = np.random.default_rng(2)
+    d = np.array([2.0, 1.0]) + rng.normal(0, 0.9, (len(grid), 2))
+    m, inliers, residual = motion.fit_affine(grid, d, w, h)
+    left = np.hypot(*(d - np.column_stack([np.ones(len(grid)), grid]) @ m).T)
+    assert inliers <= (left <= 1.5).sum() and residual <= 1.5
+    assert motion.fit_affine(np.array([[x, 5.0] for x in range(12)]), np.ones((12, 2)), w, h) is None  # a line: the last pivot vanishes
+
+
+def test_local_motion_is_ignored():
+    still = scene()
+    one, two = still.copy(), still.copy()
+    one[18:30, 18:30], two[18:30, 28:40] = 10, 240
+    assert motion.pair_motion(one, two)["motion"] < 1.0
+
+
+def test_scores_are_in_source_pixels(spark):
+    big = lambda k: np.repeat(np.repeat(scene(w=256, h=144, dx=2 * k), 2, 0), 2, 1)
+    bgr = lambda a: np.repeat(a[..., None], 3, 2)
+    rows = [("g", k, 512, 288, bytearray(big(k).tobytes())) for k in range(2)] + [("c", k, 512, 288, bytearray(bgr(big(k)).tobytes())) for k in range(2)] + [("s", k, 256, 144, bytearray(scene(w=256, h=144, dx=2 * k).tobytes())) for k in range(2)]
+    got = {r.source_path: r.motion for r in frames.pair_scores(spark.createDataFrame(rows, "source_path string, frame_idx long, width int, height int, pixels binary")).collect()}
+    assert abs(got["g"] - 2 * got["s"]) < 1e-6 and abs(got["c"] - got["g"]) < 0.3
+
+
 def test_pair_scores(spark):
     rows = [("a", k, 96, 64, bytearray(scene(dx=2 * k).tobytes())) for k in range(6)] + [("b", 0, 96, 64, None), (None, 1, 1, 1, bytearray(b"x"))]
-    t = spark.createDataFrame(rows, "source_path string, frame_idx long, width int, height int, luma binary")
+    t = spark.createDataFrame(rows, "source_path string, frame_idx long, width int, height int, pixels binary")
     got = frames.pair_scores(t, chunk=4).orderBy("frame_idx").collect()
     assert [r.frame_idx for r in got] == [1, 2, 3, 4, 5] and {r.movement for r in got} == {"PanTilt"}
 

@@ -12,19 +12,30 @@ import numpy as np
 
 #: Grid, patch radius, search radius, texture and fit bounds.
 GRID_X, GRID_Y, RADIUS, SEARCH, LEAST_TEXTURE = 11, 7, 5, 10, 12.0
+LEAST_PIVOT, BASE_FPS = 1e-4, 6.0
 LEAST_INLIERS, TOLERANCE, SEEDS, TRIPLES, LEAST_AREA, SPREAD = 10, 1.5, 16, 200, 10.0, 0.25
 SCALES = (0.88, 0.90, 0.92, 0.94, 0.96, 0.98, 1.02, 1.04, 1.06, 1.08, 1.10, 1.12)
 NEIGHBOURS = np.array([(0, -1), (-1, 0), (1, 0), (0, 1), (-1, -1), (1, -1), (-1, 1), (1, 1)])
 _DY, _DX = (a.ravel() for a in np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1])
 
 
-def thumbnail(bgr: np.ndarray) -> np.ndarray:
-    """Brightness of the nearest source pixels of ``bgr(height, width, 3)``."""
-    h, w = bgr.shape[:2]
+def thumbnail_size(w: int, h: int) -> tuple[int, int]:
     th = min(max(h, 24), 144)
-    tw = min(max(w * th // h, 24), 288)
-    p = bgr[(np.arange(th) * h // th)[:, None], np.arange(tw) * w // tw].astype(np.int64)
-    return ((29 * p[..., 0] + 150 * p[..., 1] + 77 * p[..., 2]) >> 8).astype(np.uint8)
+    return min(max(w * th // max(h, 1), 24), 288), th
+
+
+def source_scale(w: int, h: int) -> float:
+    """Source pixels of a thumbnail's pixel, the mean over both axes."""
+    tw, th = thumbnail_size(w, h)
+    return (w / tw + h / th) / 2
+
+
+def thumbnail(frame: np.ndarray) -> np.ndarray:
+    """Brightness of the nearest source pixels of ``frame(height, width[, 3])``, BGR or brightness."""
+    h, w = frame.shape[:2]
+    tw, th = thumbnail_size(w, h)
+    p = frame[(np.arange(th) * h // th)[:, None], np.arange(tw) * w // tw].astype(np.int64)
+    return (p if p.ndim == 2 else (29 * p[..., 0] + 150 * p[..., 1] + 77 * p[..., 2]) >> 8).astype(np.uint8)
 
 
 def patch_centres(w: int, h: int) -> np.ndarray:
@@ -72,9 +83,19 @@ def patch_shifts(one: np.ndarray, two: np.ndarray, centres: np.ndarray) -> np.nd
 
 
 def _solve(a: np.ndarray, d: np.ndarray) -> np.ndarray | None:
-    """Both three-parameter fits share one matrix."""
-    gram = a.T @ a
-    return None if abs(np.linalg.det(gram)) < 1e-4 else np.linalg.solve(gram, a.T @ d)
+    """Both three-parameter fits share one matrix, eliminated with partial pivots; none if a pivot is too small."""
+    gram, out = a.T @ a, a.T @ d
+    for k in range(len(gram)):
+        best = k + int(np.abs(gram[k:, k]).argmax())
+        if abs(gram[best, k]) < LEAST_PIVOT:
+            return None
+        gram[[k, best]], out[[k, best]] = gram[[best, k]], out[[best, k]]
+        pivot = gram[k, k]
+        gram[k], out[k] = gram[k] / pivot, out[k] / pivot
+        factor = gram[:, k].copy()
+        factor[k] = 0
+        gram, out = gram - np.outer(factor, gram[k]), out - np.outer(factor, out[k])
+    return out
 
 
 def fit_affine(pos: np.ndarray, d: np.ndarray, w: int, h: int) -> tuple[np.ndarray, int, float] | None:
@@ -103,7 +124,9 @@ def fit_affine(pos: np.ndarray, d: np.ndarray, w: int, h: int) -> tuple[np.ndarr
         return None
     m = _solve(a[best[1]], d[best[1]])
     m = best[0] if m is None else m
-    return m, best[2], float(np.hypot(*(d - a @ m).T)[best[1]].mean())
+    left = np.hypot(*(d - a @ m).T)[best[1]]
+    left = left[left <= TOLERANCE]  # those that the refined model still explains
+    return (m, len(left), float(left.mean())) if len(left) >= LEAST_INLIERS else None
 
 
 def decompose(m: np.ndarray) -> tuple[float, float, float, float]:

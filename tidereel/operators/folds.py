@@ -1,8 +1,14 @@
-"""Sequential folds over one source's windows: each source is one group, its windows are few and small."""
+"""Sequential folds over one source's windows, streamed over sorted partitions.
+
+A fold keeps a few values from row to row, so a source's rows are never held
+together, however many it has. Each fold hands on all columns of its input.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +20,16 @@ SLOW_ENTER, SLOW_STAY, SLOW_BREAK, SLOW_ZOOM = 0.20, 0.10, 0.40, 0.15
 ZOOM_COHERENT, GAP, LEAST_SPAN = 0.55, 1.5, 1e-3
 
 
+def _schema(df: DataFrame, more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), more])
+
+
+def _streamed(df: DataFrame, key: str, order: list[str], fold: Callable, schema: str) -> DataFrame:
+    """``fold`` over Arrow batches in which the rows of a key follow one another in order."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, key).sortWithinPartitions(key, *order).mapInArrow(fold, schema)
+
+
 def next_kind(before: str | None, motion: float, zoom: float, confidence: float, person: float, slow: bool) -> str | None:
     """Kind of a window from its scores as multiples of their thresholds and the kind of the window before."""
     present = person >= (PERSON_STAY if before == SUBJECT else PERSON_ENTER)
@@ -29,19 +45,54 @@ def next_kind(before: str | None, motion: float, zoom: float, confidence: float,
 
 
 def classify(windows: DataFrame, key: str, order: str, person_threshold: float = 0.42) -> DataFrame:
-    """``windows(key, order, motion, zoom, confidence, person, threshold, slow)`` with the kind of each window, null for none."""
-    norm = lambda c: F.when(F.col("threshold") > 0, F.col(c) / F.col("threshold")).otherwise(0.0).alias(c)
-    scaled = windows.select(key, order, norm("motion"), norm("zoom"), "confidence", F.coalesce(F.col("person") / person_threshold if person_threshold > 0 else F.lit(0.0), F.lit(0.0)).alias("person"), F.coalesce("slow", F.lit(False)).alias("slow"))
-    kinds = {f.name: f.dataType.simpleString() for f in windows.schema}
+    """``windows(key, order, motion, zoom, confidence, person, threshold, slow)`` with the kind of each window, null for none.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kind, out = pdf.sort_values(order), None, []
-        for row in pdf[["motion", "zoom", "confidence", "person", "slow"]].itertuples(index=False):
-            kind = next_kind(kind, *row)
-            out.append(kind)
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "kind": pd.Series(out, index=pdf.index, dtype=object)})
-
-    return scaled.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, kind string")
+    A null score counts as 0, a null ``slow`` as false.
+    """
+    norm = lambda c: F.coalesce(F.when(F.col("threshold") > 0, F.col(c) / F.col("threshold")), F.lit(0.0)).cast("double")
+    person = F.coalesce(F.col("person") / person_threshold if person_threshold > 0 else F.lit(0.0), F.lit(0.0)).cast("double")
+    scores = {"__m": norm("motion"), "__z": norm("zoom"), "__c": F.coalesce("confidence", F.lit(0.0)).cast("double"), "__p": person, "__s": F.coalesce("slow", F.lit(False))}
+
+    def fold(batches):
+        last, kind = object(), None
+        for b in batches:
+            out = []
+            for who, *row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in (key, *scores)), strict=True):
+                kind = next_kind(kind if who == last else None, *row)
+                last = who
+                out.append(kind)
+            kept = [k for k, n in enumerate(b.schema.names) if n not in scores]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(out, pa.string())], names=[*(b.schema.names[k] for k in kept), "kind"])
+
+    return _streamed(windows.withColumns(scores), key, [order], fold, _schema(windows, "kind string"))
+
+
+class _Runs:
+    """What smoothing and merging remember of the row before."""
+
+    def __init__(self):
+        self.who, self.kind, self.end, self.since, self.run = object(), None, 0.0, 0.0, 0
+
+    def settle(self, t: pa.Table, key: str, rows: int) -> tuple[list, list]:
+        """Kind and run of the first ``rows`` rows; one row more may follow, which tells what comes next."""
+        who, start, end, n, kind = (t.column(c).to_pylist() for c in (key, "start_seconds", "end_seconds", "windows", "kind"))
+        kinds, runs = [], []
+        for k in range(rows):
+            own, fresh = kind[k], who[k] != self.who
+            if not fresh and n[k] == 1 and k + 1 < len(kind) and who[k + 1] == who[k]:
+                room = GAP * max(end[k] - start[k], LEAST_SPAN)
+                if self.kind == kind[k + 1] != own and abs(start[k] - self.end) <= room and abs(start[k + 1] - end[k]) <= room:
+                    own = self.kind
+            if fresh:
+                self.who, self.run, self.since = who[k], 0, start[k]
+            else:
+                span, gap = max(self.end - self.since, end[k] - start[k], LEAST_SPAN), start[k] - self.end
+                if own != self.kind or not -span <= gap <= GAP * span:
+                    self.run, self.since = self.run + 1, start[k]
+            self.kind, self.end = own, end[k]
+            kinds.append(own)
+            runs.append(self.run)
+        return kinds, runs
 
 
 def smooth_and_merge(segments: DataFrame, key: str) -> DataFrame:
@@ -51,30 +102,25 @@ def smooth_and_merge(segments: DataFrame, key: str) -> DataFrame:
     right. A run goes on while the kind stays and the gap fits the longer of
     the run so far and the next segment.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in segments.schema}
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_seconds", "pos"], ignore_index=True)
-        start, end, n = pdf["start_seconds"].tolist(), pdf["end_seconds"].tolist(), pdf["windows"].tolist()
-        kind = pdf["kind"].tolist()
-        for k in range(1, len(kind) - 1):
-            room = GAP * max(end[k] - start[k], LEAST_SPAN)
-            if n[k] == 1 and kind[k - 1] == kind[k + 1] != kind[k] and abs(start[k] - end[k - 1]) <= room and abs(start[k + 1] - end[k]) <= room:
-                kind[k] = kind[k - 1]
-        run, runs, since, until = 0, [], None, None
-        for k in range(len(kind)):
-            if k:
-                span, gap = max(until - since, end[k] - start[k], LEAST_SPAN), start[k] - until
-                if kind[k] != kind[k - 1] or not -span <= gap <= GAP * span:
-                    run, since = run + 1, start[k]
-            else:
-                since = start[k]
-            until = end[k]
-            runs.append(run)
-        return pd.DataFrame({key: pdf[key], "pos": pdf["pos"], "kind": kind, "run": runs})
 
-    folded = segments.select(key, "pos", "start_seconds", "end_seconds", "kind", "windows").groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, pos {kinds['pos']}, kind string, run int")
-    return segments.drop("kind").join(folded, [key, "pos"])
+    def fold(batches):
+        state, held = _Runs(), None
+
+        def give(t, rows):
+            kinds, runs = state.settle(t, key, rows)
+            done = t.slice(0, rows)
+            done = done.set_column(done.schema.get_field_index("kind"), "kind", pa.array(kinds, pa.string())).append_column("run", pa.array(runs, pa.int32()))
+            yield from done.combine_chunks().to_batches()
+
+        for b in batches:
+            t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
+            if t.num_rows > 1:
+                yield from give(t, t.num_rows - 1)
+            held = t.slice(max(t.num_rows - 1, 0))
+        if held is not None and held.num_rows:
+            yield from give(held, held.num_rows)
+
+    return _streamed(segments, key, ["start_seconds", "pos"], fold, _schema(segments, "run int"))
 
 
 #: Rank of movement types for the dominant one: fixed order.
@@ -89,12 +135,20 @@ def movement_rank(c: str = "movement"):
 
 
 def merge_runs(segments: DataFrame, key: str) -> DataFrame:
-    """One row for each run (A4): means weighted by windows, largest zoom and person, the strongest movement type, the first of equals."""
+    """One row for each run (A4), with what ``selection.select`` reads.
+
+    Frames and seconds reach from the first to the last segment; means are
+    weighted by windows; zoom and person are the largest, the movement type is
+    the strongest, the first of equals.
+    """
     s = smooth_and_merge(segments, key)
-    w = F.col("windows")
+    w, place = F.col("windows"), F.struct("start_seconds", "pos")
     return s.groupBy(key, "run").agg(
         F.min("start_seconds").alias("start_seconds"),
-        F.max_by("end_seconds", F.struct("start_seconds", "pos")).alias("end_seconds"),
+        F.max_by("end_seconds", place).alias("end_seconds"),
+        F.min_by("start_frame", place).alias("start_frame"),
+        F.max_by("end_frame", place).alias("end_frame"),
+        F.min("pos").alias("pos"),
         F.first("kind").alias("kind"),
         (F.sum(F.col("motion") * w) / F.sum(w)).alias("motion"),
         F.max("zoom").alias("zoom"),
@@ -102,4 +156,5 @@ def merge_runs(segments: DataFrame, key: str) -> DataFrame:
         F.max("person").alias("person"),
         F.min_by("movement", F.struct(-movement_rank(), "start_seconds", "pos")).alias("movement"),
         F.sum(w).alias("windows"),
+        *[F.max(c).alias(c) for c in ("length",) if c in segments.columns],
     )

@@ -13,23 +13,29 @@ PAIRS = "source_path string, frame_idx long, motion double, zoom double, rotatio
 
 
 def pair_scores(frames: DataFrame, chunk: int = 512) -> DataFrame:
-    """``frames(source_path, frame_idx, width, height, luma)`` to one row for each frame and the one before it.
+    """``frames(source_path, frame_idx, width, height, pixels)`` to one row for each frame and the one before it.
 
-    Sources are cut into chunks of frames, so a long clip spreads over many
-    tasks; the last frame of a chunk also goes to the next one. Frames with
-    nulls or a wrong length are left out; a first frame gives no row.
+    ``pixels`` are BGR triples or brightness bytes; thumbnails are compared and
+    shifts are counted in source pixels. Sources are cut into chunks of frames,
+    so a long clip spreads over many tasks; the last frame of a chunk also goes
+    to the next one. Frames with nulls or a wrong length are left out; a first
+    frame gives no row; a pair that can't be compared has null scores.
     """
-    ok = frames.where("source_path is not null and frame_idx is not null and width > 0 and height > 0 and octet_length(luma) = width * height")
+    size = F.octet_length("pixels")
+    ok = frames.where("source_path is not null and frame_idx is not null and width > 0 and height > 0").where((size == F.col("width") * F.col("height")) | (size == F.col("width") * F.col("height") * 3))
     part = F.floor(F.col("frame_idx") / chunk)
-    rows = ok.select("source_path", "frame_idx", "width", "height", "luma", F.explode(F.when(F.col("frame_idx") % chunk == chunk - 1, F.array(part, part + 1)).otherwise(F.array(part))).alias("part"))
+    rows = ok.select("source_path", "frame_idx", "width", "height", "pixels", F.explode(F.when(F.col("frame_idx") % chunk == chunk - 1, F.array(part, part + 1)).otherwise(F.array(part))).alias("part"))
+    names = [c.split()[0] for c in PAIRS.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out, last = [], None
         for r in pdf.sort_values("frame_idx").itertuples():
-            now = np.frombuffer(r.luma, np.uint8).reshape(r.height, r.width)
-            if last is not None and r.frame_idx == last[0] + 1 and (m := motion.pair_motion(last[1], now)):
-                out.append({"source_path": r.source_path, "frame_idx": r.frame_idx, **m})
+            shape = (r.height, r.width) if len(r.pixels) == r.height * r.width else (r.height, r.width, 3)
+            now = motion.thumbnail(np.frombuffer(r.pixels, np.uint8).reshape(shape))
+            if last is not None and r.frame_idx == last[0] + 1:
+                found = motion.pair_motion(last[1], now, motion.source_scale(r.width, r.height)) or dict.fromkeys(names[2:])
+                out.append({"source_path": r.source_path, "frame_idx": r.frame_idx, **found})
             last = (r.frame_idx, now)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in PAIRS.split(", ")])
+        return pd.DataFrame(out, columns=names)
 
     return rows.groupBy("source_path", "part").applyInPandas(run, PAIRS)
