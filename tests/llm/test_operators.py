@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidereel.llm import bpe, brown, digests, mixing, quality, secrets, sharding, simhash, substrings, urls
+from tidereel.llm import bpe, brown, components, digests, mixing, quality, secrets, sharding, simhash, substrings, urls
 
 PASSAGE = " ".join(f"pass{k}" for k in range(60))
 TEXTS = [
@@ -123,6 +123,26 @@ def test_components_equal_brute_force(spark, shard_points):
     assert (got[5000], got[None]) == (least[group[0]], least[group[1]])
 
 
+@pytest.mark.parametrize("task_links", [20_000, 100])
+def test_connected_components(spark, monkeypatch, task_links):
+    monkeypatch.setattr(components, "TASK_LINKS", task_links)
+    rng = np.random.default_rng(9)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 900, (600, 2))] + [(k, k + 1) for k in range(1000, 1400)] + [(2000, k) for k in range(2001, 2300)] + [(5, 5), (None, 3)]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a is not None and a != b:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert got == {x: top(x) for x in list(root)}
+    assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_copies_of_points_do_not_grow_with_their_number():
     assert [len(simhash.block_masks(n, 4, 1 << 15)) for n in (10**3, 10**6, 10**8, 10**10)] == [5, 5, 5, 15]
     x = close_points(400)

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .common import durable
 
 
+#: Links that a task contracts; a table of no more is settled by one task.
+TASK_LINKS = 20_000
+
+
 def _contract(batches):
     """The links of a partition as stars around the smallest node of each group that they join."""
     group: dict[int, int] = {}
@@ -36,7 +40,8 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``links(u, v)``, longs, to ``(node, component)``, component being the smallest node reachable.
 
-    What a task has found is contracted in place, which leaves few rounds. Only nodes that have a link appear. Links stay in Spark: each round joins
+    In each round tasks contract bounded shares of the links in place, which
+    leaves few rounds. Only nodes that have a link appear. Links stay in Spark: each round joins
     the links to the smallest neighbour of each node, which is aggregated
     before it is shuffled. Those smallest neighbours are written durably, so
     that the join has a shuffle of its own on both sides and the skew join can
@@ -47,8 +52,14 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = durable(e)
     state = _state(e)
     for _ in range(max_rounds):
-        if state[0] == 0:
+        tasks = -(-state[0] // TASK_LINKS)
+        if tasks == 0:
+            break
+        e = e.coalesce(tasks).mapInArrow(_contract, "u long, v long")
+        if tasks == 1:
+            e = durable(e)
             break
+        e = durable(e.distinct())
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -7,7 +7,7 @@
    than any bound lets a search of 64 bits prune. So MinHash bands name the
    candidates that are still apart: at similarity J two nodes share one with
    probability ``1 - (1 - J ** ROWS) ** BANDS``, 0.9999 at J 0.8, more above.
-4. Buckets whose members are all joined need nothing more. In the others each
+4. Buckets whose members have one smallest neighbour need nothing more. In the others each
    pair that is still apart is compared in the first bucket that it shares;
    tasks hold two parts of a bucket at most and hand on a spanning forest of
    the links, never pairs. Pairs are passed over whose sizes or parity bits
@@ -223,7 +223,8 @@ def near_copies(docs: DataFrame, size: int, tenths: int, text_col: str = "text")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
     same, total = F.size(F.array_intersect("su", "sv")), F.size("su") + F.size("sv")
     found = durable(both.where((10 + tenths) * same >= tenths * total).select("u", "v"))
-    reach = connected_components(found)
+    near = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    reach = near.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("component"))  # a step is enough to see most of what is joined
 
     named = durable(live.join(reach, "node", "left").select("h", "node", "m", F.coalesce("component", "node").alias("c")))
     mixed = durable(named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h"))
