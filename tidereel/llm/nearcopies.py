@@ -7,12 +7,13 @@
    than any bound lets a search of 64 bits prune. So MinHash bands name the
    candidates that are still apart: at similarity J two nodes share one with
    probability ``1 - (1 - J ** ROWS) ** BANDS``, 0.9999 at J 0.8, more above.
-4. Buckets whose members have one smallest neighbour need nothing more. In the others each
-   pair that is still apart is compared in the first bucket that it shares;
-   tasks hold two parts of a bucket at most and hand on a spanning forest of
-   the links, never pairs. Pairs are passed over whose sizes or parity bits
-   can't have the similarity: each shingle that only one of two sets has
-   changes one bit, so the bits that differ are never more than those shingles.
+4. Buckets whose members have one smallest neighbour need nothing more. In the
+   others each pair that is still apart is compared in the first bucket that it
+   shares; tasks hold two parts of a bucket at most. Pairs are passed over whose
+   sizes or parity bits can't have the similarity: each shingle that only one of
+   two sets has changes one bit, so the bits that differ are never more than
+   those shingles. Members with a pair left get their sets and are compared
+   exactly; a spanning forest of the links is handed on, never pairs.
 5. Star contraction joins the links.
 """
 
@@ -131,8 +132,22 @@ def close_pairs(n: np.ndarray, g: np.ndarray, tenths: int, block: int = 128):
         yield i[p][q > i[p]], q[q > i[p]]
 
 
-def bucket_links(h: int, node: np.ndarray, c: np.ndarray, side: np.ndarray, n: np.ndarray, g: np.ndarray, band: np.ndarray, sets: list, tenths: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links of a bucket, or between two parts of it (``side`` 0 and 1), beyond those in ``c``."""
+def open_pairs(h: int, c: np.ndarray, side: np.ndarray, n: np.ndarray, g: np.ndarray, band: np.ndarray, tenths: int):
+    """Index pairs of a bucket, or between two parts of it (``side`` 0 and 1), that are apart in ``c``, may link and share no earlier bucket."""
+    two = side.any() and not side.all()
+    for i, j in close_pairs(n.astype(np.int64), g, tenths):
+        ok = c[i] != c[j]
+        if two:
+            ok &= side[i] != side[j]
+        i, j = i[ok], j[ok]
+        for s in range(0, len(i), 1 << 16):
+            a, b = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+            first = band[a, (band[a] == band[b]).argmax(axis=1)] == h
+            yield a[first], b[first]
+
+
+def bucket_links(pairs, node: np.ndarray, c: np.ndarray, n: np.ndarray, sets: list, tenths: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among ``pairs``, beyond those in ``c``."""
     group = dict(zip(c.tolist(), c.tolist(), strict=True))
     held: dict[int, set] = {}
 
@@ -146,55 +161,70 @@ def bucket_links(h: int, node: np.ndarray, c: np.ndarray, side: np.ndarray, n: n
             held[i] = set(sets[i].tolist())
         return held[i]
 
-    links, two = [], side.any() and not side.all()
-    for i, j in close_pairs(n.astype(np.int64), g, tenths):
-        ok = c[i] != c[j]
-        if two:
-            ok &= side[i] != side[j]
-        i, j = i[ok], j[ok]
-        for s in range(0, len(i), 1 << 16):
-            a, b = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-            same = band[a] == band[b]
-            first = band[a, same.argmax(axis=1)] == h  # other pairs meet in another bucket
-            for x, y in zip(a[first].tolist(), b[first].tolist(), strict=True):
-                u, v = top(int(c[x])), top(int(c[y]))
-                if u != v and (10 + tenths) * len(of(x) & of(y)) >= tenths * int(n[x] + n[y]):
-                    group[max(u, v)] = min(u, v)
-                    links.append((int(node[x]), int(node[y])))
+    links = []
+    for a, b in pairs:
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            u, v = top(int(c[x])), top(int(c[y]))
+            if u != v and (10 + tenths) * len(of(x) & of(y)) >= tenths * int(n[x] + n[y]):
+                group[max(u, v)] = min(u, v)
+                links.append((int(node[x]), int(node[y])))
     return links
 
 
-def _compare(members: DataFrame, tenths: int) -> DataFrame:
-    """``members(h, i, j, node, c, side, n, g, bands, s)``, dealt and sorted by h, i, j, to the links of each part."""
-
-    def one(t: pa.Table) -> list:
-        col = lambda k: t.column(k).to_numpy()
-        g, band = (np.stack([np.frombuffer(x, d) for x in t.column(k).to_pylist()]) for k, d in (("g", np.uint64), ("bands", np.int64)))
-        sets = [np.asarray(x.values) for x in t.column("s").combine_chunks()]
-        return bucket_links(t.column("h")[0].as_py(), col("node"), col("c"), col("side"), col("n"), g, band, sets, tenths)
+def _each_part(members: DataFrame, settle, schema: str) -> DataFrame:
+    """``settle`` over the rows of each part of a bucket; it gets a table and gives one."""
+    key = ["h", "i", "j"]
 
     def run(batches):
         held = None
 
         def give(t):
-            key = [t.column(k).to_numpy() for k in ("h", "i", "j")]
-            cut = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in key], axis=0)])
-            links = [x for a, b in zip(cut, np.r_[cut[1:], t.num_rows], strict=True) if b - a > 1 for x in one(t.slice(a, b - a))]
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+            of = [t.column(k).to_numpy() for k in key]
+            cut = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in of], axis=0)])
+            done = [settle(t.slice(a, b - a)) for a, b in zip(cut, np.r_[cut[1:], t.num_rows], strict=True) if b - a > 1]
+            if done := [x for x in done if x.num_rows]:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
 
         for b in batches:
             t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
             if not t.num_rows:
                 continue
-            at = int(np.flatnonzero(np.all([(k := t.column(x).to_numpy()) == k[-1] for x in ("h", "i", "j")], axis=0))[0])
+            at = int(np.flatnonzero(np.all([(k := t.column(x).to_numpy()) == k[-1] for x in key], axis=0))[0])
             if at:
-                yield give(t.slice(0, at))
+                yield from give(t.slice(0, at))
             held = t.slice(at)
         if held is not None:
-            yield give(held)
+            yield from give(held)
 
-    key = ["h", "i", "j"]
-    return members.repartition(partitions(members), *key).sortWithinPartitions(*key).mapInArrow(run, "u long, v long")
+    return members.repartition(partitions(members), *key).sortWithinPartitions(*key).mapInArrow(run, schema)
+
+
+def _pairs_of(t: pa.Table, tenths: int):
+    g, band = (np.stack([np.frombuffer(x, d) for x in t.column(k).to_pylist()]) for k, d in (("g", np.uint64), ("bands", np.int64)))
+    return open_pairs(t.column("h")[0].as_py(), t.column("c").to_numpy(), t.column("side").to_numpy(), t.column("n").to_numpy(), g, band, tenths)
+
+
+def _still_open(members: DataFrame, tenths: int) -> DataFrame:
+    """The rows of ``members(h, i, j, node, c, side, n, g, bands)`` that have a pair left to compare."""
+
+    def settle(t: pa.Table) -> pa.Table:
+        seen = np.zeros(t.num_rows, bool)
+        for a, b in _pairs_of(t, tenths):
+            seen[a] = seen[b] = True
+        return t.select(["h", "i", "j", "node", "c", "side"]).filter(pa.array(seen))
+
+    return _each_part(members, settle, "h long, i long, j long, node long, c long, side int")
+
+
+def _compare(members: DataFrame, tenths: int) -> DataFrame:
+    """``members(h, i, j, node, c, side, n, g, bands, s)`` to the links of each part."""
+
+    def settle(t: pa.Table) -> pa.Table:
+        sets = [np.asarray(x.values) for x in t.column("s").combine_chunks()]
+        links = bucket_links(_pairs_of(t, tenths), t.column("node").to_numpy(), t.column("c").to_numpy(), t.column("n").to_numpy(), sets, tenths)
+        return pa.table({k: pa.array([x[p] for x in links], pa.int64()) for p, k in enumerate("uv")})
+
+    return _each_part(members, settle, "u long, v long")
 
 
 def near_copies(docs: DataFrame, size: int, tenths: int, text_col: str = "text") -> DataFrame:
@@ -232,6 +262,8 @@ def near_copies(docs: DataFrame, size: int, tenths: int, text_col: str = "text")
     open_ = named.join(mixed, "h").select("h", "node", "c", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("own"))
     met = open_.select("h", "node", "c", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     met = met.select("h", "node", "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    members = met.join(nodes.select("node", "n", "g", "bands"), "node").join(sets, "node")
+    prints = nodes.select("node", "n", "g", "bands")
+    left = _still_open(met.join(prints, "node"), tenths)
+    members = left.join(prints, "node").join(sets, "node")
     reach = connected_components(found.unionByName(_compare(members, tenths)))
     return nodes.join(reach, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("id").alias("id"), F.count("*").alias("others")).select("id", "others")
