@@ -77,6 +77,31 @@ def seconds_label(seconds: Column) -> Column:
     return F.format_string("%02dm%02ds", F.floor(s / 60), s % 60)
 
 
+def _by_movement(kind: Column, movement: Column, names: tuple) -> Column:
+    """A name for static, subject, slow motion, zoom, roll, complex and pan, asked in this order."""
+    static, subject, slow, zoom, roll, tangled, pan = map(F.lit, names)
+    return (
+        F.when(kind == "Static", static).when((kind == "StaticSubject") | (movement == "Subject"), subject).when((kind == "SlowMotion") | (movement == "SlowMotion"), slow)
+        .when(movement == "Zoom", zoom).when(movement == "Roll", roll).when(movement == "Complex", tangled).otherwise(pan)
+    )
+
+
+def movement_label(kind: Column, movement: Column) -> Column:
+    """P11. Fixed values."""
+    return _by_movement(kind, movement, ("static", "static subject", "slow motion", "zoom", "roll", "complex camera move", "pan/tilt"))
+
+
+def label_colour(kind: Column, movement: Column) -> Column:
+    """P12. Fixed values."""
+    return _by_movement(kind, movement, ("Cerulean", "Caribbean", "Iris", "Mango", "Lavender", "Rose", "Forest"))
+
+
+def clip_comment(kind: Column, movement: Column, start: Column, end: Column, prefix: str = "Selects") -> Column:
+    """Movement, source times and duration with two decimals."""
+    length = F.greatest(end - start, F.lit(0.0))
+    return F.concat(F.lit(f"{prefix}: "), movement_label(kind, movement), F.lit(" | source in "), seconds_label(start), F.lit(" out "), seconds_label(end), F.lit(" | duration "), F.format_string("%.2f", length), F.lit("s"))
+
+
 def file_url(path: Column) -> Column:
     """K6: percent-encoded components after ``file://localhost/``; a drive keeps its colon."""
     clean = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^//\?/", "")

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint in the folder that the session names; a folder is made up only on a local master without one."""
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
-def layout(items: DataFrame, key: str, timebase: int = 25) -> DataFrame:
+def layout(items: DataFrame, key: str, timebase: int = 25, keep: tuple | list = ()) -> DataFrame:
     """Trimmed items with their place on the sequence.
 
     ``items(key, start_seconds, end_seconds, start_frame, end_frame, frames)``.
     Items are cut into ranges of their order; each range counts and sums its
-    own, and starts at the sums of the ranges before it.
+    own, and starts at the sums of the ranges before it. The columns of ``keep``
+    are handed on.
     """
     length = F.round(F.greatest(F.col("end_seconds") - F.col("start_seconds"), F.lit(0.0)) * timebase).cast("long")
     start = F.least("start_frame", "frames")
@@ -28,8 +33,8 @@ def layout(items: DataFrame, key: str, timebase: int = 25) -> DataFrame:
     valid = items.withColumn("dur", length).where((F.col("start_frame") < F.col("frames")) & (F.col("end_frame") > F.col("start_frame")) & (F.col("dur") > 0))
     order = [key, "start_seconds", "end_seconds", "start_frame"]
     ranges = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = valid.select(key, *[c for c in order if c != key], "dur", start.alias("in_frame"), end.alias("out_frame")).repartitionByRange(ranges, *order).withColumn("pid", F.spark_partition_id())
-    ranged = _durable(ranged)
+    ranged = valid.select(*order, *[c for c in keep if c not in order], "dur", start.alias("in_frame"), end.alias("out_frame")).repartitionByRange(ranges, *order).withColumn("pid", F.spark_partition_id())
+    ranged = durable(ranged)
     line, own = Window.partitionBy("pid").orderBy(*order), Window.partitionBy("pid", key).orderBy(*order)
     placed = ranged.select(
         "*", F.row_number().over(line).alias("i"), F.sum("dur").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("at"),
@@ -47,7 +52,7 @@ def layout(items: DataFrame, key: str, timebase: int = 25) -> DataFrame:
     )
     out = placed.join(F.broadcast(sums), "pid")
     end_at, first = F.col("d0") + F.col("at"), (F.col("k") == 1) & ~(F.col("goes_on") & (F.col("f") == 1))
-    return out.select(key, (F.col("n0") + F.col("i")).alias("item_idx"), (F.col("f0") + F.col("f")).alias("file_idx"), first.alias("full_record"), "in_frame", "out_frame", (end_at - F.col("dur")).alias("seq_start"), end_at.alias("seq_end"))
+    return out.select(key, *[c for c in keep if c != key], (F.col("n0") + F.col("i")).alias("item_idx"), (F.col("f0") + F.col("f")).alias("file_idx"), first.alias("full_record"), "in_frame", "out_frame", (end_at - F.col("dur")).alias("seq_start"), end_at.alias("seq_end"))
 
 
 def sequence_seed(clips: DataFrame, key: str) -> DataFrame:

@@ -2,29 +2,92 @@
 
 from __future__ import annotations
 
+import os
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidereel.functions import media
+from tidereel.operators.layout import durable
 
 #: Folder names that are never entered. Fixed values.
 SKIPPED = (".cache", ".git", "target", "node_modules", "$RECYCLE.BIN", "System Volume Information")
+#: Bytes that are looked at from both ends of a file, and the mark of slow and quick motion. Fixed values.
+HEAD, TAIL, MARKER = 2 << 20, 6 << 20, "slowAndQuickMotion"
 PROBE = "streams array<struct<codec_type:string,width:bigint,height:bigint,avg_frame_rate:string,r_frame_rate:string>>, format struct<duration:string>"
 
 
+def _listed(batches):
+    """Folders and files inside each folder of a batch; an entry that can't be read is left out, links aren't followed."""
+    for b in batches:
+        out = []
+        for folder in b.column(0).to_pylist():
+            try:
+                entries = list(os.scandir(folder))
+            except OSError:
+                continue
+            for e in entries:
+                try:
+                    if e.is_dir(follow_symlinks=False):
+                        if e.name not in SKIPPED:
+                            out.append((e.path, True, None, None))
+                    elif e.is_file(follow_symlinks=False):
+                        stat = e.stat()
+                        out.append((e.path, False, max(stat.st_mtime_ns, 0), stat.st_size))
+                except OSError:
+                    continue
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.bool_(), pa.int64(), pa.int64()))], names=["source_path", "folder", "mtime", "length"])
+
+
 def catalog(spark: SparkSession, root: str, extensions: str) -> DataFrame:
-    """``(source_path, mtime, length)`` of the files below ``root``; only metadata is read.
+    """``(source_path, mtime, length)`` of the files below ``root``, mtime in nanoseconds; only metadata is read.
 
-    Names that begin with a dot or an underscore are hidden from Spark's
-    readers. A list of extensions without any is an error.
+    A level of folders is a Spark job, its folders are dealt to the tasks, and
+    each level is written durably. The folder must be mounted on all executors.
+    Names that begin with a dot or an underscore count; excluded folders and
+    what is below them don't. A root that is no folder and a list without any
+    extension are errors (F10).
     """
     wanted = media.extension_list(F.lit(extensions))
     if not spark.range(1).select(F.size(wanted).alias("n")).first().n:
         raise ValueError("no file extension is given")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("source_path"), F.col("modificationTime").alias("mtime"), "length")
-    inside = F.slice(F.split(F.element_at(F.split("source_path", f"\\Q{root.rstrip('/')}\\E/", 2), -1), "/"), 1, 64)
-    folders = F.slice(inside, 1, F.greatest(F.size(inside) - 1, F.lit(0)))
-    return files.where(media.has_extension(F.col("source_path"), wanted) & ~F.arrays_overlap(folders, F.array(*[F.lit(x) for x in SKIPPED])))
+    if not os.path.isdir(root):
+        raise ValueError(f"not a folder: {root}")
+    level, files = spark.createDataFrame([(root,)], "source_path string"), None
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        found = durable(level.repartition(parts).mapInArrow(_listed, "source_path string, folder boolean, mtime long, length long"))
+        own = found.where("not folder").select("source_path", "mtime", "length")
+        files = own if files is None else files.unionByName(own)
+        level = found.where("folder").select("source_path")
+        if level.isEmpty():
+            break
+    return files.where(media.has_extension(F.col("source_path"), wanted))
+
+
+def _head_tail(batches):
+    for b in batches:
+        capture, form, marked = [], [], []
+        for path in b.column(0).to_pylist():
+            try:
+                with open(path, "rb") as f:
+                    size = os.fstat(f.fileno()).st_size
+                    data = f.read() if size <= HEAD + TAIL else f.read(HEAD) + (f.seek(size - TAIL) and f.read(TAIL))
+            except OSError:
+                data = b""
+            text = data.decode("utf-8", "replace")
+            number = lambda name: (m := re.search(f'{name}="([0-9]*)', text)) and m[1] and int(m[1])  # noqa: E731, B023
+            capture.append(number("captureFps") or None)
+            form.append(number("formatFps") or None)
+            marked.append(MARKER in text)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(capture, pa.int64()), pa.array(form, pa.int64()), pa.array(marked, pa.bool_())], names=["source_path", "capture_fps", "format_fps", "marked"])
+
+
+def capture_marks(files: DataFrame) -> DataFrame:
+    """``(source_path, capture_fps, format_fps, marked)`` from the first and last bytes of each file; an unreadable one has none."""
+    return files.select("source_path").mapInArrow(_head_tail, "source_path string, capture_fps long, format_fps long, marked boolean")
 
 
 def probe(raw: DataFrame, json: str = "json") -> DataFrame:

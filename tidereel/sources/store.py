@@ -1,22 +1,45 @@
-"""Result store and timeline export: K1-K7, S21, J1, F9."""
+"""Result store and timeline export: K1-K7, S21, J1, F9, O4."""
 
 from __future__ import annotations
 
+import uuid
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidereel.functions import media
+
 VERSION = 1
 
 
-def append(segments: DataFrame, path: str) -> None:
-    """Whole segment rows, with ``fingerprint``; so a resumed run equals a fresh one."""
-    segments.selectExpr("*", f"{VERSION} AS schema_version").write.mode("append").partitionBy("fingerprint").parquet(path)
+def append(segments: DataFrame, path: str, batch: str | None = None) -> None:
+    """Whole segment rows, with ``fingerprint``; so a resumed run equals a fresh one.
+
+    The rows of one ``batch`` are a folder of their own that a retry writes
+    over; without a name each call is a batch.
+    """
+    name = batch or uuid.uuid4().hex
+    stamp = F.current_timestamp().alias("stored_at")
+    segments.select("*", F.lit(VERSION).alias("schema_version"), stamp).write.mode("overwrite").partitionBy("fingerprint").parquet(f"{path}/batch={name}")
+
+
+def load(spark: SparkSession, path: str, key: str = "source_path") -> DataFrame:
+    """The stored rows of this version (S21, O4: in the order of ``key``, if there is one); of each source and fingerprint those of the last batch."""
+    rows = spark.read.option("basePath", path).option("mergeSchema", True).parquet(path).where(f"schema_version = {VERSION}")
+    if key in rows.columns:
+        last = rows.groupBy(F.col(key).alias("__k"), F.col("fingerprint").alias("__f")).agg(F.max(F.struct("stored_at", F.col("batch").cast("string"))).alias("__last"))
+        same = (F.col(key) == F.col("__k")) & (F.col("fingerprint") == F.col("__f")) & (F.struct("stored_at", F.col("batch").cast("string")) == F.col("__last"))
+        rows = rows.join(last, same, "left_semi").orderBy(key)
+    return rows.drop("schema_version", "stored_at", "batch")
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).where(f"schema_version = {VERSION}").drop("schema_version")
+def load_or_empty(spark: SparkSession, path: str, marks, columns: list[str]) -> DataFrame:
+    """``load``, or a table of the mark columns without rows where nothing has been stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return load(spark, path)
+    return spark.createDataFrame([], marks)
 
 
 def split_work(catalog: DataFrame, stored: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -26,18 +49,46 @@ def split_work(catalog: DataFrame, stored: DataFrame, key: list[str]) -> tuple[D
 
 
 def _rate(timebase: int, ntsc: bool) -> str:
-    return f"<rate><timebase>{timebase}</timebase><ntsc>{str(ntsc).upper()}</ntsc></rate>"
+    return f"<rate><timebase>{timebase}</timebase><ntsc>{str(bool(ntsc)).upper()}</ntsc></rate>"
+
+
+def _sample(timebase: int, ntsc: bool, width: int, height: int) -> str:
+    """K5. Fixed names and values."""
+    return f"<samplecharacteristics>{_rate(timebase, ntsc)}<width>{width}</width><height>{height}</height><anamorphic>FALSE</anamorphic><pixelaspectratio>square</pixelaspectratio><fielddominance>none</fielddominance></samplecharacteristics>"
 
 
 def _frame(rate: str, name: str) -> tuple[str, str, str]:
     """The lines before and after the clips."""
-    head = f'<xmeml version="4"><project><name>{escape(name)}</name><children><sequence><name>{escape(name)}</name>{rate}<media><video><track>'
-    return '<?xml version="1.0" encoding="UTF-8"?>', head, "</track></video></media></sequence></children></project></xmeml>"
+    head = f'<xmeml version="4"><project id="project-1"><name>{escape(name)}</name><children><bin id="bin-1"><name>{escape(name)}</name><children><sequence id="sequence-1"><name>{escape(name)}</name>{rate}<media><video><track>'
+    return '<?xml version="1.0" encoding="UTF-8"?>', head, "</track></video></media></sequence></children></bin></children></project></xmeml>"
+
+
+#: What a clip item shows beyond its place; absent columns leave their elements out.
+DETAILS = ("frames", "timebase", "ntsc", "width", "height", "label", "comment")
 
 
 def _clip(r, rate: str) -> str:
-    file = f'<file id="file-{r.file_idx}">' + (f"<name>{escape(r.source)}</name><pathurl>{escape(r.url)}</pathurl>{rate}</file>" if r.full_record else "</file>")
-    return f'<clipitem id="clip-{r.item_idx}"><name>{escape(r.source)}</name><enabled>TRUE</enabled><duration>{r.out_frame - r.in_frame}</duration>{rate}<in>{r.in_frame}</in><out>{r.out_frame}</out><start>{r.seq_start}</start><end>{r.seq_end}</end>{file}</clipitem>'
+    """K3: name, master, length and rate of the source, trim, place, file, label and comment, in this order."""
+    has = lambda c: getattr(r, c, None) is not None
+    own = _rate(r.timebase, r.ntsc) if has("timebase") else rate
+    length = r.frames if has("frames") else r.out_frame - r.in_frame
+    file = f'<file id="file-{r.file_idx}"' + "/>"
+    if r.full_record:
+        video = f"<duration>{length}</duration><media><video><duration>{length}</duration>{_sample(r.timebase, r.ntsc, r.width, r.height)}</video></media>" if has("width") else ""
+        file = f'<file id="file-{r.file_idx}"><name>{escape(r.source)}</name><pathurl>{escape(r.url)}</pathurl>{own}{video}</file>'
+    more = (f"<labels><label2>{escape(r.label)}</label2></labels>" if has("label") else "") + (f"<comments>{escape(r.comment)}</comments>" if has("comment") else "")
+    return (
+        f'<clipitem id="clipitem-{r.item_idx}"><name>{escape(r.source)}</name><masterclipid>masterclip-{r.file_idx}</masterclipid><enabled>TRUE</enabled><duration>{length}</duration>{own}'
+        f"<in>{r.in_frame}</in><out>{r.out_frame}</out><start>{r.seq_start}</start><end>{r.seq_end}</end>{file}{more}</clipitem>"
+    )
+
+
+def described(items: DataFrame, path: str = "source_path") -> DataFrame:
+    """Adds the name, url, label and comment of each clip item."""
+    return items.withColumns({
+        "source": media.base_name(F.col(path)), "url": media.file_url(F.col(path)), "label": media.label_colour(F.col("kind"), F.col("movement")),
+        "comment": media.clip_comment(F.col("kind"), F.col("movement"), F.col("start_seconds"), F.col("end_seconds")),
+    })
 
 
 def timeline_xml(items: DataFrame, timebase: int = 25, ntsc: bool = False, name: str = "Timeline"):
@@ -58,7 +109,7 @@ def write_timeline_xml(items: DataFrame, path: str, timebase: int = 25, ntsc: bo
         for pdf in batches:
             yield pdf[["item_idx"]].assign(value=[_clip(r, rate) for r in pdf.itertuples(index=False)])
 
-    clips = items.select("item_idx", "file_idx", "full_record", "in_frame", "out_frame", "seq_start", "seq_end", "source", "url").mapInPandas(lines, "item_idx long, value string")
+    clips = items.select("item_idx", "file_idx", "full_record", "in_frame", "out_frame", "seq_start", "seq_end", "source", "url", *[c for c in DETAILS if c in items.columns]).mapInPandas(lines, "item_idx long, value string")
     first, head, foot = _frame(rate, name)
     ends = spark.createDataFrame([(-2, first), (-1, head), (2**63 - 1, foot)], "item_idx long, value string")
     whole = clips.unionByName(ends).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "item_idx").sortWithinPartitions("item_idx")
