@@ -285,6 +285,17 @@ def test_substrings(spark, rows, docs, empty):
     assert substrings.drop_repeats(empty).count() == 0
 
 
+def test_passages_of_rows_that_share_an_id(spark):
+    """Only what repeats goes, also where ids are null, shared or texts; the two hashes of a word are independent."""
+    once = " ".join(f"n{k}" for k in range(40)) + " " + " ".join(f"u{k}" for k in range(80))
+    twice = " ".join(f"n{k}" for k in range(40, 80)) + " " + " ".join(f"u{k}" for k in range(80))
+    short = " ".join(f"p{k}" for k in range(60))
+    for kind, ids in (("long", (None, 1, None, 2)), ("string", (None, "one", None, "two"))):
+        d = spark.createDataFrame([*zip(ids, (short, short, once, twice), strict=True)], f"doc_id {kind}, text string")
+        got = collections.Counter((r.id, r.n_words, r.n_removed) for r in substrings.drop_repeats(d).collect())
+        assert got == {(ids[0], 60, 60): 1, (ids[1], 60, 60): 1, (ids[2], 120, 80): 1, (ids[3], 120, 80): 1}
+
+
 def test_quality(docs, empty):
     for r in quality.verdict(quality.measure(docs, doc_id=F.col("doc_id"))).collect():
         t = "no id here" if r.doc_id is None else TEXTS[r.doc_id] or ""
@@ -321,6 +332,22 @@ def shard_laws(rows, got):
     return [sum(r.size for r in by[k]) for k in range(8)]
 
 
+def test_url_purity_counts_labels_only(spark, empty):
+    """Thirty labelled pages of a template decide for those without a label; a template without any is allowed."""
+    pages = [(k, f"http://{'a.' if k < 30 else ''}x.net/es/item/{k}") for k in range(30)]
+    pages += [(100 + k, f"http://a.x.net/{'fr' if k % 2 else 'misc'}/{k}/deep/" + "y" * 5000) for k in range(40)]
+    rows = spark.createDataFrame([(k, u, "x", "y", 1) for k, u in [*pages, pages[0], (None, None)]], "page_id long, url string, host string, prefix string, n int")
+    got = urls.judge_urls(rows)
+    assert got.count() == len(pages) + 2
+    verdicts = {(r.id, r.rule): r.verdict for r in got.collect()}
+    assert all(verdicts[k, "net/es/"] == "block" for k in range(30)) and verdicts[None, None] == "allow"
+    shape = lambda s, b, a: ("h", s, b, a)
+    t = spark.createDataFrame([shape("/a/<n>", 40, 0), shape("/a/x", 0, 0), shape("/b/<n>", 1, 0), shape("/c/<n>", 0, 40), shape("/d/<n>", 20, 20)], "host string, shape string, block long, allow long")
+    judged = {r["shape"]: (round(r.purity, 3), r.reject) for r in urls.template_verdicts(t).collect()}
+    assert judged["/a/<n>"] == (round(42 / 44, 3), True) and judged["/a/x"] == (0.5, False) and not judged["/c/<n>"][1] and not judged["/d/<n>"][1]
+    assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
 def test_sharding(spark, rows, docs, empty):
     kind = "doc_id long, text string, source string, lang string"
     plain = [(k, "t" * (k % 97) + str(k % 1700), f"s{k % 5}", "en") for k in range(4000)]

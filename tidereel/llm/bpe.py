@@ -34,10 +34,11 @@ class MergeReplay:
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.two = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
         self.known: dict[int, int] = {}
+        self.most = 500_000  # pairs that are remembered
 
     def _rank(self, key: int) -> int:
         """The rank at which the two tokens ``key >> 32`` and ``key & 0xffffffff`` merge, -1 if never."""
-        if len(self.known) > 500_000:
+        if len(self.known) > self.most:
             self.known.clear()
         r = self.known[key] = self.ranks.get(self.vocab[key >> 32] + self.vocab[key & 0xFFFFFFFF], -1)
         return r
@@ -131,20 +132,21 @@ def load_ranks(path: str) -> MergeReplay:
 
 
 @lru_cache(maxsize=2)
-def encoder_of(ranks_path: str, pattern: str) -> Encoder:
-    return Encoder(ranks_path, pattern)
+def encoder_of(ranks_path: str, pattern: str, memo_words: int = MEMO_WORDS) -> Encoder:
+    return Encoder(ranks_path, pattern, memo_words)
 
 
 class Encoder:
-    def __init__(self, ranks_path: str, pattern: str):
-        self.replay, self.find = load_ranks(ranks_path), regex.compile(pattern).findall
+    def __init__(self, ranks_path: str, pattern: str, memo_words: int = MEMO_WORDS):
+        self.replay, self.find, self.most = load_ranks(ranks_path), regex.compile(pattern).findall, memo_words
+        self.replay.most = memo_words * 5 // 4
         self.memo: dict[str, bytes] = {}
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         pieces, memo = [self.find(t) for t in texts], self.memo
-        if len(memo) > MEMO_WORDS:  # the words that were met first are the frequent ones
-            for p in list(islice(memo, MEMO_WORDS // 2, None)):
+        if len(memo) > self.most:  # the words that were met first are the frequent ones
+            for p in list(islice(memo, self.most // 2, None)):
                 del memo[p]
         fresh = list({p for ps in pieces for p in ps if p not in memo})
         for p, ids in zip(fresh, self.replay.encode([p.encode() for p in fresh]), strict=True):
@@ -155,16 +157,18 @@ class Encoder:
         return b"".join(map(self.replay.vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, memo_words: int = MEMO_WORDS) -> DataFrame:
     """``(id, n_tokens, ids, decoded)`` for each row: ids as little-endian unsigned 32-bit integers, and the bytes that they decode to.
 
     ``ranks_path`` must be readable on the executors. Whole texts are encoded;
-    a null text is an empty one and gives no ids. Other columns are not read.
+    a null text is an empty one and gives no ids. Repeated rows each keep their
+    row; an empty table gives an empty result; other columns may have any names.
+    ``memo_words`` bounds what a Python worker remembers.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        encoder = encoder_of(ranks_path, pattern)  # a worker keeps it for its next task
+        encoder = encoder_of(ranks_path, pattern, memo_words)  # a worker keeps it for its next task
         for batch in batches:
             texts, at = batch.column(1), 0
             while at < batch.num_rows:

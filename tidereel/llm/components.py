@@ -48,7 +48,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     split a hub's rows. Nulls and loops are dropped; an empty table gives an
     empty result.
     """
-    e = links.where("u is not null and v is not null and u <> v").select("u", "v").mapInArrow(_contract, "u long, v long").distinct()
+    e = links.where("u is not null and v is not null and u <> v").select("u", "v").distinct()
     e = durable(e)
     state = _state(e)
     for _ in range(max_rounds):

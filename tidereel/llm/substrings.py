@@ -4,8 +4,9 @@ A window of words is counted in the sketch under its anchor, the least hash of
 the short word runs inside it. Equal windows have equal anchors at equal
 offsets, so an anchor's count is never below that of a window that it stands
 for, and neighbouring windows share one. Each task sketches its anchors; the
-partial sketches are merged by segment. A second pass groups, exactly and by a
-128-bit key of the whole window, only windows whose estimate is two or more.
+partial sketches are merged by segment. A second pass groups only windows whose
+estimate is two or more, by a 128-bit key of the whole window: two 64-bit hashes
+that are independent from the bytes of the words on.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ WINDOW, RUN = 35, 8
 ROWS, LEAST_BITS, MOST_BITS, SEGMENT_BITS = 4, 16, 26, 16
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _BASES = (np.uint64(0x9E3779B185EBCA87), np.uint64(0xD6E8FEB86659FD93))
-#: A random number for each byte; which bytes are blanks.
-_BYTE = np.random.default_rng(35).integers(1, 2**63, 256, dtype=np.uint64)
+#: Random numbers for each byte, for two independent hashes; which bytes are blanks.
+_BYTE = np.random.default_rng(35).integers(1, 2**63, (2, 256), dtype=np.uint64)
 _BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 #: Bytes of text that are worked on at once, and windows that a task adds up before it hands them on.
 BLOCK_BYTES, MOST_WINDOWS = 1 << 20, 1_000_000
@@ -89,14 +90,15 @@ class Words:
         self.text = np.searchsorted(offsets, self.start, "right") - 1
         self.count = np.bincount(self.text, minlength=self.texts)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, k: int = 0) -> np.ndarray:
+        """The first or the second hash of each word; they share neither the numbers of the bytes nor the base."""
         size = self.end - self.start
         if not len(size):
             return np.zeros(0, np.uint64)
         power = np.ones(int(size.max()), np.uint64)
-        np.cumprod(np.full(len(power) - 1, _BASES[0]), out=power[1:])
+        np.cumprod(np.full(len(power) - 1, _BASES[k]), out=power[1:])
         at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        parts = _BYTE[self.data[np.repeat(self.start, size) + at]] * power[at]
+        parts = _BYTE[k][self.data[np.repeat(self.start, size) + at]] * power[at]
         return _mix(np.add.reduceat(parts, np.cumsum(size) - size) + size.astype(np.uint64))
 
     def joined(self, stay: np.ndarray) -> pa.Array:
@@ -243,7 +245,7 @@ def repeated_starts(rows: DataFrame, window: int = WINDOW, run: int = RUN, most_
             s = _suspects(h, words.text, shared.value, bits, window, run)
             if len(s):
                 text, before = words.text[s], np.cumsum(words.count) - words.count
-                held.append((batch.column(0), text, s - before[text], *(_rolled(h, window, b)[s].view(np.int64) for b in _BASES)))
+                held.append((batch.column(0), text, s - before[text], *(_rolled(x, window, b)[s].view(np.int64) for x, b in zip((h, words.hashes(1)), _BASES, strict=True))))
                 size += len(s)
             if size > MOST_WINDOWS:
                 yield give()
@@ -269,14 +271,16 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, most_bit
     """``(id, n_words, n_removed, kept)`` for each row: ``kept`` are the bytes of the words that stay, joined by single blanks.
 
     A word goes if any window over it starts at another place too, in the same
-    or another document. A null text has no words. Rows that share an id (a null
-    one is an id too) lose the places that any of them has to lose; rows that
-    repeat id and text lose the same. An empty table gives an empty result. ``most_bits`` bounds the sketch; beyond its
-    capacity more windows reach the exact pass, and none is lost.
+    or another document. A null text has no words. Ids may be of any type,
+    null or shared: a row is known by its id and text together, and rows that
+    repeat both are copies of each other. An empty table gives an empty result;
+    other columns may have any names. ``most_bits`` bounds the sketch; beyond
+    its capacity more windows reach the exact pass, and none is lost.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc"), text_bytes(text_col).alias("t"))
-    starts, candidates = repeated_starts(rows.select(F.coalesce(F.col("doc").cast("long"), F.lit(-(2**63))).alias("id"), "t"), window, run, most_bits)
+    key = F.struct(F.xxhash64("doc", "t").alias("a"), F.xxhash64(F.lit(window), "doc", "t").alias("b"))
+    starts, candidates = repeated_starts(rows.select(key.alias("id"), "t"), window, run, most_bits)
 
     def result(ids: pa.Array, words: Words, stay: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
         gone = np.bincount(words.text[~stay], minlength=words.texts)
@@ -304,9 +308,10 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, most_bit
             yield result(batch.column(0), words, np.cumsum(edge)[:-1] == 0, np.arange(words.texts))
 
     schema = f"id {kind}, n_words long, n_removed long, kept binary"
+    keyed = rows.select(F.col("doc").alias("id"), "t", key.alias("k"))
     rows = rows.withColumnRenamed("doc", "id")
-    open_rows = rows.mapInArrow(suspect, f"id {kind}, t binary")  # only these texts are shuffled
-    joined = open_rows.join(starts.withColumnRenamed("id", "k"), F.coalesce(F.col("id").cast("long"), F.lit(-(2**63))) == F.col("k"), "left").select("id", "t", "start", "starts")
+    open_rows = keyed.mapInArrow(suspect, f"id {kind}, t binary, k struct<a: long, b: long>")  # only these texts are shuffled
+    joined = open_rows.join(starts.withColumnRenamed("id", "k"), "k", "left").select("id", "t", "start", "starts")
     return rows.mapInArrow(free, schema).unionByName(joined.mapInArrow(cut, schema))
 
 

@@ -2,10 +2,11 @@
 
 Labels come from explicit host and path rules. For each host, paths become
 templates: digits in a segment are a variable part, and sibling branches whose
-share of blocked pages does not differ from that of their parent merge into a
-wildcard. A template is rejected by its smoothed labelled purity: the share of
-its pages that carry a block label, so a template that is mostly without
-labels is not condemned by a few.
+share of block labels does not differ from that of their parent merge into a
+wildcard; branches without any label, of which nothing is known, share one of
+their own. A template is rejected by its smoothed labelled purity: the share of
+block labels among its labelled pages and a few pseudo-labels, half of them
+allow, so a template needs some labels of its own to be condemned.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from .common import durable
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Levels of the tree; deeper segments form one last level.
 DEPTH = 6
-#: A branch stays apart at this many standard errors and this many pages; pseudo-labels of the prior; share at which a template is rejected.
-APART, SUPPORT, PRIOR, REJECT = 1.96, 5, 4.0, 0.5
+#: A branch stays apart at this many standard errors and this many labelled pages; pseudo-labels; share at which a template is rejected.
+APART, SUPPORT, PRIOR, REJECT = 1.96, 5, 4.0, 0.75
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -43,27 +44,25 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def template_verdicts(shapes: DataFrame) -> DataFrame:
-    """``shapes(host, shape, n, block, allow)`` to ``(host, shape, template, purity, reject)``.
+    """``shapes(host, shape, block, allow)`` to ``(host, shape, template, purity, reject)``.
 
     ``shape`` is the path with its digits generalised; there is one row for
     each host and shape, so hot hosts are summed up before they are shuffled.
-    ``allow`` is carried along for reports.
+    Segments beyond the sixth level form one last segment together.
     """
     parts = F.split(F.regexp_replace("shape", "^/", ""), "/", DEPTH)
-    t = shapes.select("host", "shape", "n", "block", "allow", parts.alias("seg"), F.lit("").alias("prefix"))
+    t = shapes.select("host", "shape", (F.col("block") + F.col("allow")).alias("n"), "block", parts.alias("seg"), F.lit("").alias("prefix"))
     for d in range(DEPTH):
         child = F.get("seg", F.lit(d))
         branch = t.where(child.isNotNull()).groupBy("host", "prefix", child.alias("child")).agg(F.sum("n").alias("cn"), F.sum("block").alias("cb"))
         parent = branch.groupBy("host", "prefix").agg(F.sum("cn").alias("pn"), F.sum("cb").alias("pb"))
         share = (F.col("pb") + 0.5) / (F.col("pn") + 1.0)
-        z = F.abs((F.col("cb") + 0.5) / (F.col("cn") + 1.0) - share) / F.sqrt(share * (1 - share) / F.col("cn"))
-        kept = branch.join(parent, ["host", "prefix"]).select("host", "prefix", "child", F.when((z >= APART) & (F.col("cn") >= SUPPORT), F.col("child")).otherwise("*").alias("name"))
+        z = F.abs((F.col("cb") + 0.5) / (F.col("cn") + 1.0) - share) / F.sqrt(share * (1 - share) / F.greatest("cn", F.lit(1)))
+        kept = branch.join(parent, ["host", "prefix"]).select("host", "prefix", "child", F.when(F.col("cn") == 0, "-").when((z >= APART) & (F.col("cn") >= SUPPORT), F.col("child")).otherwise("*").alias("name"))
         t = t.withColumn("child", F.coalesce(child, F.lit("\n"))).join(kept, ["host", "prefix", "child"], "left")
-        t = durable(t.select("host", "shape", "n", "block", "allow", "seg", F.when(F.col("name").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), "name")).alias("prefix")))
-    whole = t.agg(F.sum("block").alias("b"), F.sum("n").alias("n")).first()
-    prior = ((whole.b or 0) + 1.0) / ((whole.n or 0) + 2.0)
+        t = durable(t.select("host", "shape", "n", "block", "seg", F.when(F.col("name").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), "name")).alias("prefix")))
     template = t.groupBy("host", "prefix").agg(F.sum("block").alias("tb"), F.sum("n").alias("tn"))
-    purity = (F.col("tb") + PRIOR * prior) / (F.col("tn") + PRIOR)
+    purity = (F.col("tb") + PRIOR / 2) / (F.col("tn") + PRIOR)
     judged = template.select("host", "prefix", purity.alias("purity"))
     return t.join(judged, ["host", "prefix"]).select("host", "shape", F.col("prefix").alias("template"), "purity", (F.col("purity") >= REJECT).alias("reject"))
 
@@ -73,13 +72,14 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     A rule's verdict stands; else that of the template. Urls without a host
     form a host of their own (the empty one). Repeated rows each keep their
-    row; an empty table gives an empty result.
+    row; an empty table gives an empty result; urls of any length are taken
+    whole; other columns may have any names.
     """
     host, path = host_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     rows = rows.select("*", rule_of(F.col("host"), F.col("path"), rules).alias("r"), F.regexp_replace("path", "[0-9]+", "<n>").alias("shape"))
     count = lambda v: F.count_if(F.col("r.verdict") == v)
-    shapes = durable(rows.groupBy("host", "shape").agg(F.count("*").alias("n"), count("block").alias("block"), count("allow").alias("allow")))
+    shapes = durable(rows.groupBy("host", "shape").agg(count("block").alias("block"), count("allow").alias("allow")))
     judged = template_verdicts(shapes)
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("reject"), "block").otherwise("allow"))
     return rows.join(judged, ["host", "shape"]).select("id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")
