@@ -19,6 +19,8 @@ from tidereel.llm import bpe, mixing, nearcopies, quality, secrets
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words of a shingle, and tenths of Jaccard similarity from which two documents are near copies.
 SHINGLE, TENTHS = 5, 8
+#: Words that a Python worker of the last stage remembers; it lives on in other stages' tasks.
+MEMO_WORDS = 100_000
 
 
 def _digest() -> Column:
@@ -74,7 +76,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit integers) and a digest of what they decode to."""
-    out = bpe.encode_decode(docs, *bpe.vocabulary())
+    out = bpe.encode_decode(docs, *bpe.vocabulary(), memo_words=MEMO_WORDS)
     return out.select(F.col("id").alias("doc_id"), "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
