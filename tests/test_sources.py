@@ -68,11 +68,12 @@ def test_pair_scores(spark):
 
 
 def test_catalog(spark, tmp_path):
-    for name in ("A.MP4", "b.mov", "c.txt", "target/y.mp4", "clips/real.mp4"):
-        (tmp_path / name).parent.mkdir(exist_ok=True)
+    deep = "/".join(["x"] * 70)
+    for name in ("A.MP4", "b.mov", "c.txt", "target/y.mp4", "clips/real.mp4", "_c.mov", ".d.mov", "_sub/z.mp4", f"{deep}/node_modules/n.mp4", f"{deep}/deep.mp4"):
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
         (tmp_path / name).write_bytes(b"x")
     got = catalog.catalog(spark, str(tmp_path), "mp4,mov").collect()
-    assert sorted(r.source_path.rsplit("/", 1)[1] for r in got) == ["A.MP4", "b.mov", "real.mp4"]
+    assert sorted(r.source_path.rsplit("/", 1)[1] for r in got) == [".d.mov", "A.MP4", "_c.mov", "b.mov", "deep.mp4", "real.mp4", "z.mp4"]
 
 
 def test_probe(spark):

@@ -79,7 +79,7 @@ def test_expressions(spark):
     assert tuple(got) == ("file://localhost/C:/My%20Videos/clip%201.mov", 30000, 1001, 30, True)
 
 
-@pytest.mark.parametrize("name", sorted(plans.queries()))
+@pytest.mark.parametrize("name", sorted(plans.ORACLES))
 def test_query_matches_sql(spark, name):
     import glob
     import os
@@ -115,3 +115,45 @@ def test_layout_is_dealt_by_ranges(spark):
     assert [(r.src, r.item_idx, r.in_frame, r.seq_start, r.seq_end) for r in got] == [(r[0], k + 1, r[3], ([0] + ends)[k], ends[k]) for k, r in enumerate(rows)]
     assert [r.file_idx for r in got] == [names.index(r[0]) + 1 for r in rows]
     assert [r.full_record for r in got] == [k == 0 or rows[k - 1][0] != r[0] for k, r in enumerate(rows)]
+
+
+def test_settings():
+    from tidereel.plans.settings import Settings, even_width
+
+    assert Settings.mode("people").fingerprint != Settings.mode("people", motion_threshold=2.0).fingerprint == Settings.mode("people", motion_threshold=2.0).fingerprint
+    assert (even_width(1920, 1080, 360), even_width(1920, 1080, 240), even_width(1, 0, 5)) == (640, 428, 0)
+    for bad in ({"height": 0}, {"fps": 0}, {"window_seconds": 0}, {"person_threshold": 1.1}, {"fps": 1.0}):
+        with pytest.raises(ValueError):
+            Settings(**bad)
+
+
+def test_run_end_to_end(spark, tmp_path):
+    """A pan, a still clip and one shorter than a window; what is resumed equals what is fresh."""
+    import xml.etree.ElementTree as ET
+
+    from tidereel.plans import run
+    from tidereel.sources import store
+
+    pair = lambda s, k, m: (s, k, m, 0.1, 0.0, 0.0, 0.9, "PanTilt")
+    pairs = spark.createDataFrame([pair("/v/a.mov", k, 2.0 if 24 <= k < 96 else 0.1) for k in range(1, 144)] + [pair("/v/b.mov", k, 0.0) for k in range(1, 60)] + [pair("/v/c.mov", 1, 9.0)], "source_path string, frame_idx long, motion double, zoom double, rotation double, shear double, confidence double, movement string")
+    kind = "source_path string, mtime long, size long, width int, height int, duration_seconds double, duration_frames long, timebase long, ntsc boolean, slow_motion boolean, error string"
+    row = lambda s, sec, e=None, size=9: (s, 5, size, 1920, 1080, sec, int(sec * 25), 25, False, False, e)
+    rows = [row("/v/a.mov", 12.0), row("/v/b.mov", 5.0), row("/v/c.mov", 0.5), row("/v/d.mov", 0.0, "no duration")]
+    sources, settings = spark.createDataFrame(rows, kind), run.Settings()
+    chosen, counts = run.resume(pairs, sources, settings, f"{tmp_path}/s")
+    first = sorted(map(tuple, chosen.collect()), key=str)
+    got = {r.source_path: (r.kind, r.start_seconds, r.end_seconds) for r in chosen.collect()}
+    # scores are doubled by the rate; means of eleven pairs pass 0.6 of the threshold until the window that ends after the pan
+    assert got["/v/a.mov"][0] == "GimbalMove" and 1 <= got["/v/a.mov"][1] <= 2 and 8 <= got["/v/a.mov"][2] <= 9
+    assert got["/v/b.mov"] == ("Static", 0.0, 5.0) and got["/v/c.mov"] == ("Static", 0.0, 0.5)
+    assert tuple(counts.first()) == (4, 3, 0, 1, 3)
+    again, counts = run.resume(pairs, sources, settings, f"{tmp_path}/s")
+    assert sorted(map(tuple, again.collect()), key=str) == first and tuple(counts.first()) == (4, 3, 3, 1, 3)
+    changed = spark.createDataFrame([row("/v/a.mov", 12.0, size=10), *rows[1:]], kind)
+    again, counts = run.resume(pairs, changed, settings, f"{tmp_path}/s")
+    assert sorted(map(tuple, again.collect()), key=str) == first and tuple(counts.first())[2] == 2
+    items = store.described(run.timeline(chosen, sources.where("error is null")))
+    root = ET.fromstring("\n".join(store.timeline_xml(items)))
+    clips = root.findall(".//clipitem")
+    assert [x.find("labels/label2").text for x in clips] == ["Forest", "Cerulean", "Cerulean"] and clips[0].find("comments").text.startswith("Selects: pan/tilt | source in ")
+    assert clips[0].find("file/media/video/samplecharacteristics/width").text == "1920" and [x.find("start").text for x in clips] == ["0", *(x.find("end").text for x in clips[:-1])]

@@ -53,15 +53,17 @@ def classify(windows: DataFrame, key: str, order: str, person_threshold: float =
     person = F.coalesce(F.col("person") / person_threshold if person_threshold > 0 else F.lit(0.0), F.lit(0.0)).cast("double")
     scores = {"__m": norm("motion"), "__z": norm("zoom"), "__c": F.coalesce("confidence", F.lit(0.0)).cast("double"), "__p": person, "__s": F.coalesce("slow", F.lit(False))}
 
+    names = tuple(scores)
+
     def fold(batches):
         last, kind = object(), None
         for b in batches:
             out = []
-            for who, *row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in (key, *scores)), strict=True):
+            for who, *row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in (key, *names)), strict=True):
                 kind = next_kind(kind if who == last else None, *row)
                 last = who
                 out.append(kind)
-            kept = [k for k, n in enumerate(b.schema.names) if n not in scores]
+            kept = [k for k, n in enumerate(b.schema.names) if n not in names]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(out, pa.string())], names=[*(b.schema.names[k] for k in kept), "kind"])
 
     return _streamed(windows.withColumns(scores), key, [order], fold, _schema(windows, "kind string"))

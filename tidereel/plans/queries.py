@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidereel.functions import media
 from tidereel.operators import folds, layout, selection, windows
+from tidereel.plans import run
 
 ORDER = ["ts", "event_id"]
 c = F.col
@@ -57,7 +58,7 @@ def _scored(spark, d):
 
 
 def hysteresis(spark, d):
-    return folds.classify(_scored(spark, d), "user_id", "i")
+    return folds.classify(_scored(spark, d), "user_id", "i").select("user_id", "i", "kind")
 
 
 SCORED = f"""{NUM}, s AS (SELECT user_id, i, value / 50 / 1.5::DOUBLE AS m, (event_id % 5)::DOUBLE / 4 / 1.5::DOUBLE AS z, (event_id % 10)::DOUBLE / 20 AS conf,
@@ -163,18 +164,40 @@ def source_selection(spark, d):
     return out.select("user_id", c("island").cast("long").alias("island"), _r("start_seconds"), _r("end_seconds"), "kind", _r("motion"), "zoom", "person", "windows", "movement")
 
 
-def _strong(spark, d):
-    return _segments(spark, d).where((c("motion") > 20) & (c("user_id") % 3 != 0))
-
-
 def mandatory_retention(spark, d):
-    sources = _segments(spark, d).groupBy("user_id").agg(F.max("end_seconds").alias("length"), F.max("end_frame").alias("frames"))
-    return selection.retain(sources, _strong(spark, d), "user_id")
+    """The segments that the rules keep, and one whole row for each customer without any."""
+    sources = spark.read.parquet(f"{d}/customer.parquet").select(c("c_custkey").cast("long").alias("user_id"), F.lit(80.0).alias("length"), F.lit(2000).cast("long").alias("frames"))
+    kept = selection.reject(_segments(spark, d)).withColumn("user_id", c("user_id").cast("long"))
+    return selection.retain(sources, kept, "user_id")
 
 
 def timeline_layout(spark, d):
-    s = _strong(spark, d).withColumn("frames", F.lit(3000).cast("long"))
-    return layout.layout(s, "user_id")
+    """W12, W13, A11 over all segments; clips have 3,000 frames."""
+    return layout.layout(_segments(spark, d).withColumn("frames", F.lit(3000).cast("long")), "user_id")
+
+
+def total_frames(spark, d):
+    """Frames of the sequence."""
+    items = timeline_layout(spark, d)
+    return items.agg(F.count("*").alias("items"), F.max("file_idx").cast("long").alias("files"), F.sum(c("seq_end") - c("seq_start")).alias("frames"))
+
+
+def full_run(spark, d):
+    """The whole chain over all events, an event for a pair of frames and a user for a source: selects on the timeline."""
+    e = windows.numbered(_events(spark, d), "user_id", *ORDER)
+    move = F.element_at(F.array(*[F.lit(x) for x in ("PanTilt", "Zoom", "Roll", "Complex")]), (c("event_id") % 4 + 1).cast("int"))
+    pairs = e.select(
+        c("user_id").cast("string").alias("source_path"), c("i").cast("long").alias("frame_idx"), (c("value") / 40).alias("motion"), ((c("event_id") % 13) / 8).alias("zoom"), ((c("event_id") % 5) / 8).alias("rotation"),
+        ((c("event_id") % 3) / 8).alias("shear"), (0.2 + (c("event_id") % 7) / 10).alias("confidence"), move.alias("movement"),
+    )
+    n = pairs.groupBy("source_path").agg(F.count("*").alias("n"))
+    sources = n.select(
+        "source_path", F.lit(1920).alias("width"), F.lit(1080).alias("height"), ((c("n") + 1) / 12).alias("duration_seconds"), F.round((c("n") + 1) / 12 * 25).cast("long").alias("duration_frames"),
+        F.lit(25).cast("long").alias("timebase"), F.lit(False).alias("ntsc"), (c("source_path").cast("long") % 5 == 0).alias("slow_motion"),
+    )
+    chosen = run.selects(run.analyse(pairs, sources, run.Settings(motion_threshold=0.0)), sources)
+    items = run.timeline(chosen, sources)
+    return items.select("source_path", "item_idx", "file_idx", "full_record", "in_frame", "out_frame", "seq_start", "seq_end", "kind", "movement")
 
 
 def sequence_seed(spark, d):
@@ -193,11 +216,11 @@ def incremental_reuse(spark, d):
 
 def labels(spark, d):
     s = _segments(spark, d)
-    return s.select("user_id", "pos", media.label_id(c("kind")).cast("long").alias("label"), media.seconds_label(c("start_seconds")).alias("at"), media.seconds_to_frame(c("end_seconds"), F.lit(24)).alias("frame"))
+    return s.select("user_id", "pos", media.label_id(c("kind")).cast("long").alias("label"), media.seconds_label(c("start_seconds")).alias("at"), media.seconds_to_frame(c("end_seconds"), F.lit(24)).alias("frame"), media.movement_label(c("kind"), c("movement")).alias("text"), media.label_colour(c("kind"), c("movement")).alias("colour"), media.clip_comment(c("kind"), c("movement"), c("start_seconds"), c("end_seconds")).alias("comment"))
 
 
 def path_url(spark, d):
-    p = spark.read.parquet(f"{d}/pages.parquet").where("url is not null")
+    p = spark.read.parquet(f"{d}/pages.parquet")
     return p.select("page_id", media.file_url(c("url")).alias("file_url"), media.cache_key(c("url")).alias("cache_key"), media.base_name(c("url")).alias("base"))
 
 
@@ -213,33 +236,35 @@ def rate_parse(spark, d):
 
 def person_head(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    rows = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.slice("embedding", i * 6 + 1, F.lit(6)))
+    rows = F.transform(F.sequence(F.lit(0), F.ceil(F.size("embedding") / 6).cast("int") - 1), lambda i: F.slice("embedding", i * 6 + 1, F.lit(6)))
     return e.select("vec_id", F.round(media.person_score(rows).cast("double"), 5).alias("person"))
 
 
 def ext_filter(spark, d):
-    p = spark.read.parquet(f"{d}/pages.parquet").where("url is not null")
+    p = spark.read.parquet(f"{d}/pages.parquet")
     exts = F.lit(" .HTML, htm,,.Mov")
-    return p.where(media.has_extension(c("url"), media.extension_list(exts))).select("page_id", media.extension_key(exts).alias("exts"))
+    return p.select("page_id", F.coalesce(media.has_extension(c("url"), media.extension_list(exts)), F.lit(False)).alias("wanted"), media.extension_key(exts).alias("exts"))
 
 
 def affine_lsq(spark, d):
-    """Sums of products of a plane fit, and the variance-ratio slope, by order."""
-    x, y, v = c("l_quantity"), c("l_discount"), c("l_extendedprice")
-    l = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_quantity", "l_discount", "l_extendedprice")  # noqa: E741
-    s = l.groupBy("l_suppkey").agg(F.count("*").alias("n"), *[F.sum(e).alias(k) for k, e in (("x", x), ("y", y), ("v", v), ("xx", x * x), ("xy", x * y), ("yy", y * y), ("xv", x * v), ("yv", y * v))])
-    m = lambda a, b, ab: c(ab) - c(a) * c(b) / c("n")
-    det = m("x", "x", "xx") * m("y", "y", "yy") - m("x", "y", "xy") * m("x", "y", "xy")
-    ax = (m("x", "v", "xv") * m("y", "y", "yy") - m("y", "v", "yv") * m("x", "y", "xy")) / det
-    ay = (m("y", "v", "yv") * m("x", "x", "xx") - m("x", "v", "xv") * m("x", "y", "xy")) / det
-    return s.where((c("n") > 2) & (F.abs(det) > 1e-9)).select("l_suppkey", "n", F.round(ax, 2).alias("ax"), F.round(ay, 0).alias("ay"))
+    """A plane fit of price by quantity and discount for each supplier, from products about the means."""
+    x, y, v = c("l_quantity").cast("double"), c("l_discount").cast("double"), c("l_extendedprice").cast("double")
+    l = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", x.alias("x"), y.alias("y"), v.alias("v"))  # noqa: E741
+    m = lambda a, b: F.covar_pop(a, b)
+    s = l.groupBy("l_suppkey").agg(F.count("*").alias("n"), m("x", "x").alias("xx"), m("y", "y").alias("yy"), m("x", "y").alias("xy"), m("x", "v").alias("xv"), m("y", "v").alias("yv"))
+    det = c("xx") * c("yy") - c("xy") * c("xy")
+    fit = lambda a, b, ab, av, bv: F.round((c(av) * c(b) - c(bv) * c(ab)) / det, 4)
+    return s.where((c("n") > 2) & (det > 1e-9)).select("l_suppkey", "n", fit("xx", "yy", "xy", "xv", "yv").alias("ax"), fit("yy", "xx", "xy", "yv", "xv").alias("ay"))
 
 
 QUERIES = (
     hop_windows, pair_delta, centre_sample, dominant_type, auto_threshold, hysteresis, smooth_isolated, merge_runs, coalesce_overlaps, trim_edges, reject_rules,
-    source_selection, mandatory_retention, timeline_layout, sequence_seed, incremental_reuse, labels, path_url, rate_parse, person_head, ext_filter, affine_lsq,
+    source_selection, mandatory_retention, timeline_layout, total_frames, full_run, sequence_seed, incremental_reuse, labels, path_url, rate_parse, person_head, ext_filter, affine_lsq,
 )
-STRONG = "strong AS (SELECT * FROM g WHERE motion > 20 AND user_id % 3 <> 0)"
+KEPT = f"kept AS (SELECT * FROM g WHERE {RULES})"
+LAID = "y AS (SELECT *, round((end_seconds - start_seconds) * 25)::BIGINT AS dur FROM g WHERE start_frame < 3000 AND end_frame > start_frame AND round((end_seconds - start_seconds) * 25) > 0)"
+NAMES = {"text": ("static", "static subject", "slow motion", "zoom", "roll", "complex camera move", "pan/tilt"), "colour": ("Cerulean", "Caribbean", "Iris", "Mango", "Lavender", "Rose", "Forest")}
+NAMED = lambda k: "CASE " + " ".join(f"WHEN {w} THEN '{n}'" for w, n in zip(("kind = 'Static'", "kind = 'StaticSubject'", "kind = 'SlowMotion'", "movement = 'Zoom'", "movement = 'Roll'", "movement = 'Complex'", "true"), NAMES[k], strict=True)) + " END"
 ENC = "replace(url_encode({0}), '+', '%20')"
 
 ORACLES = {
@@ -255,16 +280,17 @@ ORACLES = {
     "trim_edges": f"WITH {TRIM} SELECT user_id, pos, round(start_seconds, 6) AS start_seconds, round(end_seconds, 6) AS end_seconds, start_frame, end_frame FROM u",
     "reject_rules": f"WITH {SEG} SELECT user_id, pos, kind, start_seconds, end_seconds FROM g WHERE {RULES}",
     "source_selection": f"WITH {TRIM}, v AS (SELECT * FROM u WHERE {RULES}), {ISLES.replace('{src}', 'v')} SELECT user_id, island, round(start_seconds, 6) AS start_seconds, round(end_seconds, 6) AS end_seconds, kind, round(motion, 6) AS motion, zoom, person, windows, {ISLE_MOVE} FROM co",
-    "mandatory_retention": f"WITH {SEG}, {STRONG} SELECT user_id, start_seconds, end_seconds, start_frame, end_frame, kind FROM strong UNION ALL SELECT user_id, 0.0::DOUBLE, max(end_seconds), 0, max(end_frame), 'Static' FROM g WHERE user_id NOT IN (SELECT user_id FROM strong) GROUP BY user_id",
-    "timeline_layout": f"WITH {SEG}, {STRONG}, y AS (SELECT *, round((end_seconds - start_seconds) * 25)::BIGINT AS dur FROM strong WHERE start_frame < 3000 AND end_frame > start_frame AND round((end_seconds - start_seconds) * 25) > 0) SELECT user_id, row_number() OVER q AS item_idx, dense_rank() OVER (ORDER BY user_id) AS file_idx, row_number() OVER (PARTITION BY user_id ORDER BY start_seconds, end_seconds) = 1 AS full_record, least(start_frame, 3000) AS in_frame, greatest(least(end_frame, 3000), least(start_frame, 3000) + 1) AS out_frame, (sum(dur) OVER q - dur)::BIGINT AS seq_start, (sum(dur) OVER q)::BIGINT AS seq_end FROM y WINDOW q AS (ORDER BY user_id, start_seconds, end_seconds ROWS UNBOUNDED PRECEDING)",
+    "mandatory_retention": f"WITH {SEG}, {KEPT} SELECT user_id::BIGINT AS user_id, start_seconds, end_seconds, start_frame, end_frame, kind FROM kept UNION ALL SELECT c_custkey::BIGINT, 0.0::DOUBLE, 80.0::DOUBLE, 0, 2000, 'Static' FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM kept)",
+    "timeline_layout": f"WITH {SEG}, {LAID} SELECT user_id, row_number() OVER q AS item_idx, dense_rank() OVER (ORDER BY user_id) AS file_idx, row_number() OVER (PARTITION BY user_id ORDER BY start_seconds, end_seconds) = 1 AS full_record, least(start_frame, 3000) AS in_frame, greatest(least(end_frame, 3000), least(start_frame, 3000) + 1) AS out_frame, (sum(dur) OVER q - dur)::BIGINT AS seq_start, (sum(dur) OVER q)::BIGINT AS seq_end FROM y WINDOW q AS (ORDER BY user_id, start_seconds, end_seconds ROWS UNBOUNDED PRECEDING)",
+    "total_frames": f"WITH {SEG}, {LAID} SELECT count(*) AS items, count(DISTINCT user_id) AS files, sum(dur)::BIGINT AS frames FROM y",
     "sequence_seed": "SELECT user_id, max(event_id) % 90 + 10 AS timebase, user_id % 7 = 0 AS slow_motion FROM events GROUP BY user_id ORDER BY max(event_id) % 90 + 10 > 60, user_id % 7 <> 0, 2, 1 LIMIT 1",
     "incremental_reuse": "WITH k AS (SELECT user_id, count(*) AS size FROM events GROUP BY 1) SELECT user_id, size, CASE WHEN user_id % 2 = 0 AND user_id % 10 <> 0 THEN 'reused' ELSE 'analyse' END AS state FROM k",
-    "labels": f"WITH {SEG} SELECT user_id, pos, CASE kind WHEN 'GimbalMove' THEN 4 WHEN 'StaticSubject' THEN 1 WHEN 'SlowMotion' THEN 5 ELSE 2 END::BIGINT AS label, printf('%02dm%02ds', start_seconds::BIGINT // 60, start_seconds::BIGINT % 60) AS at, round(end_seconds * 24)::BIGINT AS frame FROM g",
-    "path_url": f"SELECT page_id, 'file://localhost/' || list_aggregate(list_transform(string_split(url, '/'), lambda x: {ENC.format('x')}), 'string_agg', '/') AS file_url, substr(regexp_replace(string_split(url, '/')[-1], '[^A-Za-z0-9._-]', '', 'g'), 1, 48) || '-' || substr(sha256(url), 1, 16) AS cache_key, string_split(url, '/')[-1] AS base FROM pages WHERE url IS NOT NULL",
+    "labels": f"WITH {SEG} SELECT user_id, pos, CASE kind WHEN 'GimbalMove' THEN 4 WHEN 'StaticSubject' THEN 1 WHEN 'SlowMotion' THEN 5 ELSE 2 END::BIGINT AS label, printf('%02dm%02ds', start_seconds::BIGINT // 60, start_seconds::BIGINT % 60) AS at, round(end_seconds * 24)::BIGINT AS frame, {NAMED('text')} AS text, {NAMED('colour')} AS colour, 'Selects: ' || {NAMED('text')} || ' | source in ' || printf('%02dm%02ds', start_seconds::BIGINT // 60, start_seconds::BIGINT % 60) || ' out ' || printf('%02dm%02ds', round(end_seconds)::BIGINT // 60, round(end_seconds)::BIGINT % 60) || ' | duration ' || printf('%.2f', end_seconds - start_seconds) || 's' AS comment FROM g",
+    "path_url": f"SELECT page_id, 'file://localhost/' || list_aggregate(list_transform(string_split(url, '/'), lambda x: {ENC.format('x')}), 'string_agg', '/') AS file_url, substr(regexp_replace(string_split(url, '/')[-1], '[^A-Za-z0-9._-]', '', 'g'), 1, 48) || '-' || substr(sha256(url), 1, 16) AS cache_key, string_split(url, '/')[-1] AS base FROM pages",
     "rate_parse": "WITH t AS (SELECT p_partkey, p_size, CASE p_partkey % 7 WHEN 0 THEN 30000 WHEN 1 THEN 25 WHEN 3 THEN 24000 WHEN 4 THEN 60000 WHEN 5 THEN 50 END::BIGINT AS num, CASE p_partkey % 7 WHEN 0 THEN 1001 WHEN 1 THEN 1 WHEN 3 THEN 1001 WHEN 4 THEN 1001 WHEN 5 THEN 2 END::BIGINT AS den FROM part) SELECT p_partkey, num, den, CASE WHEN num IS NULL THEN 1 WHEN den = 1001 THEN num // 1000 WHEN den = 1 THEN num ELSE 25 END::BIGINT AS timebase, den = 1001 AS ntsc, greatest(round(p_size::DOUBLE * num / den), 0)::BIGINT AS frames, p_size::BIGINT AS capture, p_size >= 50 AS slow FROM t",
-    "person_head": "SELECT vec_id, round(greatest(list_max(list_transform(range(0, 10), lambda i: embedding[i * 6 + 5] * embedding[i * 6 + 6])), 0)::DOUBLE, 5) AS person FROM embeddings",
-    "ext_filter": "SELECT page_id, 'htm,html,mov' AS exts FROM pages WHERE contains(string_split(url, '/')[-1], '.') AND lower(string_split(url, '.')[-1]) IN ('html', 'htm', 'mov')",
-    "affine_lsq": "WITH s AS (SELECT l_suppkey, count(*) AS n, sum(l_quantity) AS x, sum(l_discount) AS y, sum(l_extendedprice) AS v, sum(l_quantity * l_quantity) AS xx, sum(l_quantity * l_discount) AS xy, sum(l_discount * l_discount) AS yy, sum(l_quantity * l_extendedprice) AS xv, sum(l_discount * l_extendedprice) AS yv FROM lineitem GROUP BY 1), m AS (SELECT l_suppkey, n, xx - x * x / n AS a, yy - y * y / n AS b, xy - x * y / n AS ab, xv - x * v / n AS av, yv - y * v / n AS bv FROM s) SELECT l_suppkey, n, round((av * b - bv * ab) / (a * b - ab * ab), 2) AS ax, round((bv * a - av * ab) / (a * b - ab * ab), 0) AS ay FROM m WHERE n > 2 AND abs(a * b - ab * ab) > 1e-9",
+    "person_head": "SELECT vec_id, round(greatest(list_max(list_transform(range(0, (len(embedding) + 5) // 6), lambda i: CASE WHEN i * 6 + 6 <= len(embedding) THEN embedding[i * 6 + 5] * embedding[i * 6 + 6] WHEN i * 6 + 5 <= len(embedding) THEN embedding[i * 6 + 5] END)), 0)::DOUBLE, 5) AS person FROM embeddings",
+    "ext_filter": "SELECT page_id, coalesce(contains(string_split(url, '/')[-1], '.') AND lower(string_split(url, '.')[-1]) IN ('html', 'htm', 'mov'), false) AS wanted, 'htm,html,mov' AS exts FROM pages",
+    "affine_lsq": "WITH l AS (SELECT l_suppkey, l_quantity::DOUBLE AS x, l_discount::DOUBLE AS y, l_extendedprice::DOUBLE AS v FROM lineitem), m AS (SELECT l_suppkey, count(*) AS n, covar_pop(x, x) AS a, covar_pop(y, y) AS b, covar_pop(x, y) AS ab, covar_pop(x, v) AS av, covar_pop(y, v) AS bv FROM l GROUP BY 1) SELECT l_suppkey, n, round((av * b - bv * ab) / (a * b - ab * ab), 4) AS ax, round((bv * a - av * ab) / (a * b - ab * ab), 4) AS ay FROM m WHERE n > 2 AND a * b - ab * ab > 1e-9",
 }
 
 
