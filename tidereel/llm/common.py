@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the folder that the session names.
 
-    A folder is made up only where neither ``spark.checkpoint.dir`` nor a
-    checkpoint folder is set, as in tests on one machine.
+    A folder is made up only on a local master where neither
+    ``spark.checkpoint.dir`` nor a checkpoint folder is set, as in tests.
     """
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
