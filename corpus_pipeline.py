@@ -8,6 +8,7 @@ empty texts and tables, and extra columns, which they leave behind.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -53,7 +54,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id stays of each near-duplicate group; one without an id only where none has one."""
+    """The document with the smallest id stays of each near-duplicate group; one without an id only where none has one.
+
+    Links of the vantage-point search and of MinHash bands are verified by the
+    similarity of their shingles; see ``nearcopies``.
+    """
     keyed = docs.select(*COLUMNS, _row_key(docs).alias("id"))
     kept = nearcopies.near_copies(keyed, SHINGLE, TENTHS).select("id")
     return _one_row_each(keyed.join(kept, "id", "left_semi").select(*COLUMNS)).select(*COLUMNS)
@@ -88,13 +93,17 @@ STAGES = [
     ("bpe", bpe_stage),
 ]
 
-#: MinHash bands, random draws and merges have no SQL; tests hold near_dedup, mixing's rows and bpe against brute force.
+#: MinHash bands, random draws and merges have no SQL; tests hold near_dedup, mixing and bpe against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="pipeline-")
     folder, docs = f"{shared}/pipeline-{uuid.uuid4()}", spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
