@@ -1,10 +1,14 @@
 """Language-model scores from a Brown class-based bigram model.
 
-Frequent words, and shapes that stand for all other words, are the symbols of
-the model. Bigrams of symbols are counted over all training documents. In each
-exchange round Spark sums the counts of every symbol with the classes around
-it, and the symbols move to the class that raises the likelihood most. A text
-is scored by class transitions times word emissions, both smoothed.
+1. Frequent words, and shapes that stand for all other words, are symbols.
+   Exchange over their bigrams gives each a class: that of a word as the one
+   *before*. A round's sums are a Spark job.
+2. Every word of the training texts, however rare, gets a class of its own as
+   the one that *follows*: in sweeps over the whole vocabulary, which is a
+   table in Spark, each word moves to the class under which the classes before
+   it are most likely.
+3. A text is scored by transitions from the class before to the word's class,
+   times word emissions of that class, both smoothed.
 """
 
 from __future__ import annotations
@@ -17,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, text_bytes
+from .common import durable, stored, text_bytes
 
 #: Words that are sent to every task with their counts; the first of them, by frequency, are clustered one by one.
 TOP_WORDS, CLUSTERED, CLASSES, ROUNDS = 65_536, 2_000, 32, 5
+#: Most sweeps of the exchange over all words.
+SWEEPS = 6
 SHAPES, SMOOTH = 24, 0.1
 #: Distinct words that a task sums up before it hands them on.
 FLUSH = 500_000
@@ -95,29 +101,47 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def symbol_bigrams(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """``(a, b, n)``; symbols beyond the last are the start and the end of a text."""
-    shared, width = rows.sparkSession.sparkContext.broadcast(vocab), vocab.symbols + 2
+def word_bigrams(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """``(a, b, w, word, n)``: the symbol before, the word's own symbol and its number; ``word`` is null for frequent ones.
+
+    Symbols beyond the last are the start and the end of a text; the end has the last number.
+    """
+    shared, width = rows.sparkSession.sparkContext.broadcast(vocab), len(vocab.words) + SHAPES + 1
+    names = ["a", "b", "w", "word", "n"]
 
     def count(batches):
         v = shared.value
-        get, symbol, held, size = v.ids().__getitem__, v.symbol_of(), [], 0
+        get, top, held, far, before, size = v.ids().__getitem__, len(v.words), [], [], [], 0
+        symbol = np.append(v.symbol_of(), v.symbols + 1)
+        start, end = [v.symbols], [width - 1]
+
+        def batch_of(a, w, word, n):
+            return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(symbol[w].astype(np.int32)), pa.array(w.astype(np.int32)), word, pa.array(n.astype(np.int64))], names=names)
 
         def give():
             code, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array((code // width).astype(np.int32)), pa.array((code % width).astype(np.int32)), pa.array(n.astype(np.int64))], names=["a", "b", "n"])
+            yield batch_of(code // width, code % width, pa.nulls(len(code), pa.binary()), n)
+            code = np.concatenate(before)
+            for o in range(0, len(far), 100_000):
+                part = code[o : o + 100_000]
+                yield batch_of(part // width, part % width, pa.array(far[o : o + 100_000], pa.binary()), np.ones(len(part)))
 
         for _, words in _words(batches):
-            s = np.concatenate([[v.symbols], symbol[np.fromiter(map(get, words), np.int64, len(words))], [v.symbols + 1]])
-            held.append(s[:-1] * width + s[1:])
-            size += len(s)
-            if size > 4_000_000:
-                yield give()
-                held, size = [], 0
+            w = np.concatenate([np.fromiter(map(get, words), np.int64, len(words)), end])
+            code = np.concatenate([start, symbol[w[:-1]]]) * width + w
+            rare = (w >= top) & (w < width - 1)
+            held.append(code[~rare])
+            before.append(code[rare])
+            far += [words[k] for k in np.flatnonzero(rare).tolist()]
+            size += len(w)
+            if size > 2_000_000:
+                yield from give()
+                held, far, before, size = [], [], [], 0
         if held:
-            yield give()
+            yield from give()
 
-    return rows.mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    found = rows.mapInArrow(count, "a int, b int, w int, word binary, n long")
+    return found.groupBy("a", "b", "w", "word").agg(F.sum("n").alias("n"))
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -179,7 +203,8 @@ def exchange(bigrams: DataFrame, symbols: int, classes: int = CLASSES, rounds: i
 @dataclass
 class Brown:
     vocab: Vocabulary
-    classes: np.ndarray
+    before: np.ndarray  # class of a symbol as the word before
+    own: np.ndarray  # class of each frequent word, then of each shape, for words that training lacks
     transition: np.ndarray  # log10
     class_total: np.ndarray
     class_size: np.ndarray
@@ -191,6 +216,75 @@ class Brown:
         return np.log10(self.class_total[c] + SMOOTH * (self.class_size[c] + 1))
 
 
+def _contexts(bigrams: DataFrame, before: np.ndarray, end: int) -> DataFrame:
+    """``(w, word, near)`` for each training word: how often it follows which class."""
+    names = F.split(F.lit(",".join(map(str, before.tolist()))), ",").cast("array<int>")
+    seen = bigrams.where(F.col("w") != end).select("w", "word", F.get(names, F.col("a")).alias("c"), "n")
+    sums = seen.groupBy("w", "word", "c").agg(F.sum("n").alias("n"))
+    return durable(sums.groupBy("w", "word").agg(F.collect_list(F.struct("c", "n")).alias("near")))
+
+
+def _profile(near: pa.Array, classes: int) -> np.ndarray:
+    """One row for each word: its count after each class, the start being the last one."""
+    size, flat = np.diff(near.offsets.to_numpy()), near.flatten()
+    out = np.zeros((len(near), classes + 1))
+    out[np.repeat(np.arange(len(near)), size), flat.field(0).to_numpy()] = flat.field(1).to_numpy()
+    return out
+
+
+def _fit(table: np.ndarray) -> np.ndarray:
+    """log of the share that each class before has in a class: what a word's counts are weighed with."""
+    return np.log((table + SMOOTH) / (table.sum(axis=0) + SMOOTH * len(table)))
+
+
+def assign(contexts: DataFrame, table: np.ndarray) -> DataFrame:
+    """``(w, word, n, k)``: each word in the class under which its company is most likely; ties go to the lower class."""
+    fit = _fit(table)
+
+    def run(batches):
+        for b in batches:
+            near = _profile(b.column(2), fit.shape[1])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near.sum(axis=1).astype(np.int64)), pa.array((near @ fit).argmax(axis=1).astype(np.int32))], names=["w", "word", "n", "k"])
+
+    return contexts.mapInArrow(run, "w int, word binary, n long, k int")
+
+
+def spread(contexts: DataFrame, table: np.ndarray, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exchange over the whole vocabulary: all words move at once to their best class, then the class table is summed anew.
+
+    ``table`` has a row for each class before (the start last) and a column for
+    each class. With the shares of the last table given, a sweep can't lower the
+    likelihood; it ends when the gain is under a thousandth. Gives the table
+    that the last sweep assigned with, the one that came of it, and the number
+    of words of each class. A task sends one table to the sum.
+    """
+    rows, classes = table.shape
+    last = -np.inf
+    for _ in range(sweeps):
+        fit = _fit(table)
+
+        def run(batches, fit=fit):
+            total = np.zeros((rows + 1, classes))
+            for b in batches:
+                near = _profile(b.column(2), classes)
+                best = (near @ fit).argmax(axis=1)
+                for k in np.unique(best):
+                    total[:-1, k] += near[best == k].sum(axis=0)
+                total[-1] += np.bincount(best, minlength=classes)
+            c, k = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(total[c, k].astype(np.int64))], names=["c", "k", "n"])
+
+        new = np.zeros((rows + 1, classes))
+        for x in contexts.mapInArrow(run, "c int, k int, n long").groupBy("c", "k").agg(F.sum("n").alias("n")).collect():
+            new[x.c, x.k] = x.n
+        used, table, size = table, new[:-1], new[-1]
+        gain = _xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum()
+        if gain - last < abs(gain) / 1000:
+            break
+        last = gain
+    return used, table, size
+
+
 def _frequent(counts: DataFrame, top: int) -> list:
     """At most ``top`` words by descending count, those of one count all or none.
 
@@ -205,88 +299,84 @@ def _frequent(counts: DataFrame, top: int) -> list:
     return sorted(counts.where(F.col("n") >= least).collect(), key=lambda x: (-x.n, bytes(x.word)))
 
 
-def train(rows: DataFrame, top: int = TOP_WORDS, clustered: int = CLUSTERED, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[Brown, DataFrame]:
-    """The model and the word counts of ``rows(id, t)``; counts stay in Spark."""
+def train(rows: DataFrame, top: int = TOP_WORDS, clustered: int = CLUSTERED, classes: int = CLASSES, rounds: int = ROUNDS, sweeps: int = SWEEPS) -> tuple[Brown, DataFrame]:
+    """The model, and ``(word, n, k)`` with count and class of the words that aren't frequent, which stay in Spark."""
     counts = durable(word_counts(rows))
     whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))).alias("e")).first()
     first = _frequent(counts.where(F.col("word") != F.lit(END)), top)
     vocab = Vocabulary([bytes(x.word) for x in first], np.array([x.n for x in first], np.int64), min(clustered, len(first)), whole.e or 0)
-    of, table = exchange(durable(symbol_bigrams(rows, vocab)), vocab.symbols, classes, rounds)
-    shared = rows.sparkSession.sparkContext.broadcast(vocab)
-
-    def symbols(batches):
-        v = shared.value
-        get, symbol = v.ids().__getitem__, v.symbol_of()
-        for batch in batches:
-            s = symbol[np.fromiter((get(w) for w in batch.column(0).to_pylist()), np.int64, batch.num_rows)]
-            n = np.bincount(s, batch.column(1).to_numpy(), v.symbols)
-            k = np.flatnonzero(np.bincount(s, minlength=v.symbols))
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(n[k].astype(np.int64)), pa.array(np.bincount(s, minlength=v.symbols)[k])], names=["s", "n", "d"])
-
-    size, distinct = np.zeros(classes + 2), np.zeros(classes + 2)
-    for x in counts.where(F.col("word") != F.lit(END)).mapInArrow(symbols, "s int, n long, d long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).collect():
-        size[of[x.s]] += x.n
-        distinct[of[x.s]] += x.d
-    smooth = np.log10((table + SMOOTH) / (table.sum(axis=1, keepdims=True) + SMOOTH * (classes + 1)))  # nothing leads to the start
-    return Brown(vocab, of, smooth, size, distinct, whole.n or 0, whole.v), counts
-
-
-def score(rows: DataFrame, model: Brown, counts: DataFrame) -> DataFrame:
-    """``(id, h, held_out, n_tokens, n_known, base_score, score)`` for ``rows(id, h, held_out, t)``.
-
-    Frequent words are scored where they stand. Each other word of a document
-    goes to the counts once; the sums come back by document.
+    bigrams = stored(word_bigrams(rows, vocab))
+    of, table = exchange(durable(bigrams.groupBy("a", "b").agg(F.sum("n").alias("n"))), vocab.symbols, classes, rounds)
+    contexts = _contexts(bigrams, of, len(first) + SHAPES)
+    used, inner, size = spread(contexts, table[: classes + 1, :classes], sweeps)
+    every = assign(contexts, used)
+    own = np.concatenate([np.zeros(len(first), np.int64), of[vocab.clustered : vocab.symbols]])
+    for x in every.where(F.col("word").isNull()).select("w", "k").collect():  # at most ``top`` rows
+        own[x.w] = x.k
+    full = np.column_stack([inner, table[: classes + 1, classes + 1]])  # the end is the last column; nothing leads to the start
+    smooth = np.log10((full + SMOOTH) / (full.sum(axis=1, keepdims=True) + SMOOTH * (classes + 1)))
+    model = Brown(vocab, of, own, smooth, inner.sum(axis=0), size, whole.n or 0, whole.v)
+    return model, every.where(F.col("word").isNotNull()).select("word", "n", "k")
+
+
+def score(rows: DataFrame, model: Brown, rare: DataFrame) -> DataFrame:
+    """``(id, held_out, n_tokens, n_known, base_score, score)`` for ``rows(id, h, held_out, t)``.
+
+    The texts are read once. Frequent words are scored where they stand; each
+    other word goes to its count and class, with the class before it. A
+    document's own row takes the same way under a key that no word has.
     """
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["id"].dataType.simpleString()
     base_floor = float(np.log10(model.tokens + SMOOTH * (model.distinct + 1)))
+    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+    names = ["id", "h", "held_out", "word", "c", "o", "n_tokens", "n_known", "base_score", "score"]
 
-    def here(batches):
+    def run(batches):
         m = shared.value
-        v, top = m.vocab, len(m.vocab.words)
-        get, cls = v.ids().__getitem__, m.classes[v.symbol_of()]
-        start, end = len(m.classes) - 2, len(m.classes) - 1
-        start, end = m.classes[start], m.classes[end]
+        v, top, classes = m.vocab, len(m.vocab.words), len(m.class_total)
+        get, before = v.ids().__getitem__, m.before[v.symbol_of()]
         base = np.concatenate([np.log10(v.counts + SMOOTH) - base_floor, np.zeros(SHAPES)])
-        emit = np.concatenate([np.log10(v.counts + SMOOTH) - m.floor(cls[:top]), np.zeros(SHAPES)])
+        emit = np.concatenate([np.log10(v.counts + SMOOTH) - m.floor(m.own[:top]), np.zeros(SHAPES)])
         end_base = np.log10(v.end_count + SMOOTH) - base_floor
         for batch in batches:
-            out = []
-            for *_, words in _words([batch], 3):
+            docs, at, far, c_far, o_far = [], [], [], [], []
+            for k, (_, h, _, words) in enumerate(_words([batch], 3)):
                 i = np.fromiter(map(get, words), np.int64, len(words))
-                c = np.concatenate([[start], cls[i], [end]])
-                out.append((len(words) + 1, int((i < top).sum()) + (v.end_count > 0), float(base[i].sum() + end_base), float(m.transition[c[:-1], c[1:]].sum() + emit[i].sum())))
-            cols = zip(*out, strict=True) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))], names=["id", "h", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    def there(batches):
-        m = shared.value
-        ids, cls = m.vocab.ids(), m.classes[m.vocab.symbol_of()]
-        for batch in batches:
-            at, names, times = [], [], []
-            for k, (*_, words) in enumerate(_words([batch], 3)):
-                c = Counter(w for w in words if w not in ids)
-                at += [k] * len(c)
-                names += c.keys()
-                times += c.values()
-            for o in range(0, len(at), 50_000):
-                p = slice(o, o + 50_000)
-                own = cls[[ids[w] for w in names[p]]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[p])), batch.column(1).take(pa.array(at[p])), pa.array(names[p], pa.binary()), pa.array(times[p], pa.int32()), pa.array(own.astype(np.int32))], names=["id", "h", "word", "k", "c"])
-
-    near = rows.mapInArrow(here, f"id {kind}, h long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    far = rows.mapInArrow(there, f"id {kind}, h long, word binary, k int, c int").join(counts, "word", "left")
-    floors = F.split(F.lit(",".join(f"{x:.17g}" for x in model.floor(np.arange(len(model.class_total))))), ",").cast("array<double>")
+                c, o = np.concatenate([[classes], before[i]]), m.own[i]
+                rare = i >= top
+                near = m.transition[c[:-1], o][~rare].sum() + m.transition[c[-1], classes] + emit[i].sum()
+                docs.append((b" %d %d" % (k, h.as_py()), None, None, len(words) + 1, len(words) - int(rare.sum()) + (v.end_count > 0), float(base[i].sum() + end_base), float(near)))
+                p = np.flatnonzero(rare)
+                far += [words[x] for x in p.tolist()]
+                at.append(np.full(len(p), k))
+                c_far.append(c[p])
+                o_far.append(o[p])
+            if not docs:
+                continue
+            heads = [batch.column(x) for x in range(3)]
+            yield pa.RecordBatch.from_arrays([*heads, *(pa.array(c, t) for c, t in zip(zip(*docs, strict=True), kinds, strict=True))], names=names)
+            at, c_far, o_far = (np.concatenate(x).astype(np.int32) for x in (at, c_far, o_far))
+            for x in range(0, len(far), 50_000):
+                p = slice(x, x + 50_000)
+                own = [pa.array(far[p], pa.binary()), pa.array(c_far[p]), pa.array(o_far[p]), *(pa.nulls(len(at[p]), t) for t in kinds[3:])]
+                yield pa.RecordBatch.from_arrays([*(y.take(pa.array(at[p])) for y in heads), *own], names=names)
+
+    def listed(x: np.ndarray):
+        return F.split(F.lit(",".join(f"{y:.17g}" for y in x.ravel())), ",").cast("array<double>")
+
+    sent = rows.mapInArrow(run, f"id {kind}, h long, held_out boolean, word binary, c int, o int, n_tokens int, n_known int, base_score double, score double")
+    far, own = F.col("n_tokens").isNull(), F.coalesce("k", "o")
     log = F.log10(F.coalesce(F.col("n"), F.lit(0)) + SMOOTH)
-    far = far.groupBy("id", "h").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("fk"), F.sum(F.col("k") * (log - base_floor)).alias("fb"), F.sum(F.col("k") * (log - F.get(floors, F.col("c")))).alias("fs"))
-    # rows that repeat id and text have sent their words so many times
-    near = near.groupBy("id", "h").agg(*[F.first(c).alias(c) for c in ("held_out", "n_tokens", "n_known", "base_score", "score")], F.count("*").alias("m"))
-    both = near.alias("x").join(far.alias("y"), F.col("x.id").eqNullSafe(F.col("y.id")) & (F.col("x.h") == F.col("y.h")), "left")
-    part = lambda c: F.coalesce(F.col(c) / F.col("m"), F.lit(0.0))
-    return both.select(
-        F.col("x.id").alias("id"), "held_out", "n_tokens", (F.col("n_known") + part("fk").cast("long")).alias("n_known"), (F.col("base_score") + part("fb")).alias("base_score"), (F.col("score") + part("fs")).alias("score"), F.explode(F.sequence(F.lit(1), F.col("m"))).alias("copy")
-    ).drop("copy")
+    step = F.get(listed(model.transition), F.col("c") * model.transition.shape[1] + own)
+    emission = log - F.get(listed(model.floor(np.arange(len(model.class_total)))), own)
+    sums = sent.join(rare, "word", "left").groupBy("id", "h").agg(
+        F.first("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.when(far, F.col("n").isNotNull().cast("int")).otherwise(F.col("n_known"))).alias("n_known"),
+        F.sum(F.when(far, log - base_floor).otherwise(F.col("base_score"))).alias("base_score"), F.sum(F.when(far, step + emission).otherwise(F.col("score"))).alias("score"), F.count("n_tokens").alias("m"),
+    )
+    # rows that repeat id and text are summed up together, and each gets its share
+    one = [F.expr(f"{x} div m").alias(x) for x in ("n_tokens", "n_known")] + [(F.col(x) / F.col("m")).alias(x) for x in ("base_score", "score")]
+    return sums.select("id", "held_out", *one, F.explode(F.sequence(F.lit(1), "m")).alias("copy")).drop("copy")
 
 
 def score_corpus(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
@@ -300,8 +390,8 @@ def score_corpus(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_
     text = text_bytes(text_col)
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), held.alias("held_out"), text.alias("t"))
-    model, counts = train(rows.where(~F.col("held_out")).select("id", "t"), **sizes)
-    return score(rows, model, counts).select("id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    model, rare = train(rows.where(~F.col("held_out")).select("id", "t"), **sizes)
+    return score(rows, model, rare).select("id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op5_brown_classes(spark, sf_dir: str) -> DataFrame:
