@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,47 +102,71 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def word_bigrams(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """``(a, b, w, word, n)``: the symbol before, the word's own symbol and its number; ``word`` is null for frequent ones.
+def tokenise(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """``rows(id, h, held_out, t)`` to ``(id, h, held_out, w, far)``.
 
-    Symbols beyond the last are the start and the end of a text; the end has the last number.
+    ``w`` holds 32-bit numbers: the rank of a frequent word, then one for each
+    shape, last the end of a text. ``far`` are the other words, joined by blanks.
     """
-    shared, width = rows.sparkSession.sparkContext.broadcast(vocab), len(vocab.words) + SHAPES + 1
-    names = ["a", "b", "w", "word", "n"]
+    shared, kind = rows.sparkSession.sparkContext.broadcast(vocab), rows.schema["id"].dataType.simpleString()
 
-    def count(batches):
+    def run(batches):
         v = shared.value
-        get, top, held, far, before, size = v.ids().__getitem__, len(v.words), [], [], [], 0
-        symbol = np.append(v.symbol_of(), v.symbols + 1)
-        start, end = [v.symbols], [width - 1]
+        get, top = v.ids().__getitem__, len(v.words)
+        end = np.array([top + SHAPES], np.int32)
+        for batch in batches:
+            numbers, far = [], []
+            for *_, words in _words([batch], 3):
+                w = np.concatenate([np.fromiter(map(get, words), np.int32, len(words)), end])
+                numbers.append(w.tobytes())
+                far.append(b" ".join([words[k] for k in np.flatnonzero(w[:-1] >= top).tolist()]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(numbers, pa.binary()), pa.array(far, pa.binary())], names=["id", "h", "held_out", "w", "far"])
+
+    return rows.mapInArrow(run, f"id {kind}, h long, held_out boolean, w binary, far binary")
+
+
+def _pieces(batches, at: int):
+    """Slices of about a million tokens: ``(slice, w, lengths, first)``, ``first`` being where each text starts."""
+    for b in batches:
+        size = pc.binary_length(b.column(at)).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        part = np.cumsum(size) // (1 << 20)
+        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(size) else np.zeros(0, np.int64)
+        for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(size)], strict=False):
+            piece, n = b.slice(x, y - x), size[x:y]
+            yield piece, np.frombuffer(b"".join(piece.column(at).to_pylist()), np.int32), n, np.cumsum(n) - n
+
+
+def _previous(of: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
+    """What stands before each token; ``start`` at the start of a text."""
+    out = np.empty_like(of)
+    out[1:] = of[:-1]
+    out[first] = start
+    return out
 
-        def batch_of(a, w, word, n):
-            return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(symbol[w].astype(np.int32)), pa.array(w.astype(np.int32)), word, pa.array(n.astype(np.int64))], names=names)
+
+def symbol_bigrams(tokens: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """``(a, b, n)``; symbols beyond the last are the start and the end of a text."""
+    shared, width = tokens.sparkSession.sparkContext.broadcast(vocab), vocab.symbols + 2
+
+    def count(batches):
+        v = shared.value
+        symbol, held, size = np.append(v.symbol_of(), v.symbols + 1), [], 0
 
         def give():
             code, n = np.unique(np.concatenate(held), return_counts=True)
-            yield batch_of(code // width, code % width, pa.nulls(len(code), pa.binary()), n)
-            code = np.concatenate(before)
-            for o in range(0, len(far), 100_000):
-                part = code[o : o + 100_000]
-                yield batch_of(part // width, part % width, pa.array(far[o : o + 100_000], pa.binary()), np.ones(len(part)))
-
-        for _, words in _words(batches):
-            w = np.concatenate([np.fromiter(map(get, words), np.int64, len(words)), end])
-            code = np.concatenate([start, symbol[w[:-1]]]) * width + w
-            rare = (w >= top) & (w < width - 1)
-            held.append(code[~rare])
-            before.append(code[rare])
-            far += [words[k] for k in np.flatnonzero(rare).tolist()]
-            size += len(w)
-            if size > 2_000_000:
-                yield from give()
-                held, far, before, size = [], [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array((code // width).astype(np.int32)), pa.array((code % width).astype(np.int32)), pa.array(n.astype(np.int64))], names=["a", "b", "n"])
+
+        for _, w, _, first in _pieces(batches, 0):
+            s = symbol[w]
+            held.append(_previous(s, first, v.symbols) * width + s)
+            size += len(s)
+            if size > 4_000_000:
+                yield give()
+                held, size = [], 0
         if held:
-            yield from give()
+            yield give()
 
-    found = rows.mapInArrow(count, "a int, b int, w int, word binary, n long")
-    return found.groupBy("a", "b", "w", "word").agg(F.sum("n").alias("n"))
+    return tokens.select("w").mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -216,12 +241,38 @@ class Brown:
         return np.log10(self.class_total[c] + SMOOTH * (self.class_size[c] + 1))
 
 
-def _contexts(bigrams: DataFrame, before: np.ndarray, end: int) -> DataFrame:
-    """``(w, word, near)`` for each training word: how often it follows which class."""
-    names = F.split(F.lit(",".join(map(str, before.tolist()))), ",").cast("array<int>")
-    seen = bigrams.where(F.col("w") != end).select("w", "word", F.get(names, F.col("a")).alias("c"), "n")
+def _contexts(tokens: DataFrame, vocab: Vocabulary, of: np.ndarray, classes: int) -> DataFrame:
+    """``(w, word, near)`` for each training word: how often it follows which class. ``word`` is null for frequent ones."""
+    shared, width, names = tokens.sparkSession.sparkContext.broadcast(vocab), classes + 1, ["w", "word", "c", "n"]
+
+    def count(batches):
+        v = shared.value
+        top, held, words, after, size = len(v.words), [], [], [], 0
+        before = of[np.append(v.symbol_of(), v.symbols + 1)]
+
+        def give():
+            code, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((code // width).astype(np.int32)), pa.nulls(len(code), pa.binary()), pa.array((code % width).astype(np.int32)), pa.array(n.astype(np.int64))], names=names)
+            far = pa.table({"word": pa.array(words, pa.binary()), "c": pa.array(np.concatenate(after).astype(np.int32))})
+            for b in far.group_by(["word", "c"], use_threads=False).aggregate([([], "count_all")]).to_batches(max_chunksize=100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, top, np.int32)), b.column("word"), b.column("c"), b.column("count_all")], names=names)
+
+        for piece, w, _, first in _pieces(batches, 0):
+            c = _previous(before[w], first, classes)
+            near, rare = w < top, (w >= top) & (w < top + SHAPES)
+            held.append(w[near].astype(np.int64) * width + c[near])
+            words += b" ".join(piece.column(1).to_pylist()).split()
+            after.append(c[rare])
+            size += len(w)
+            if size > 4_000_000:
+                yield from give()
+                held, words, after, size = [], [], [], 0
+        if held:
+            yield from give()
+
+    seen = tokens.select("w", "far").mapInArrow(count, "w int, word binary, c int, n long")
     sums = seen.groupBy("w", "word", "c").agg(F.sum("n").alias("n"))
-    return durable(sums.groupBy("w", "word").agg(F.collect_list(F.struct("c", "n")).alias("near")))
+    return stored(sums.groupBy("w", "word").agg(F.collect_list(F.struct("c", "n")).alias("near")))
 
 
 def _profile(near: pa.Array, classes: int) -> np.ndarray:
@@ -299,15 +350,20 @@ def _frequent(counts: DataFrame, top: int) -> list:
     return sorted(counts.where(F.col("n") >= least).collect(), key=lambda x: (-x.n, bytes(x.word)))
 
 
-def train(rows: DataFrame, top: int = TOP_WORDS, clustered: int = CLUSTERED, classes: int = CLASSES, rounds: int = ROUNDS, sweeps: int = SWEEPS) -> tuple[Brown, DataFrame]:
-    """The model, and ``(word, n, k)`` with count and class of the words that aren't frequent, which stay in Spark."""
-    counts = durable(word_counts(rows))
+def train(rows: DataFrame, top: int = TOP_WORDS, clustered: int = CLUSTERED, classes: int = CLASSES, rounds: int = ROUNDS, sweeps: int = SWEEPS) -> tuple[Brown, DataFrame, DataFrame]:
+    """Learns from those of ``rows(id, h, held_out, t)`` that aren't held out.
+
+    Gives the model, ``(word, n, k)`` with count and class of the words that
+    aren't frequent, and the tokens of all rows; the last two stay in Spark.
+    """
+    counts = stored(word_counts(rows.where(~F.col("held_out")).select("id", "t")))
     whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))).alias("e")).first()
     first = _frequent(counts.where(F.col("word") != F.lit(END)), top)
     vocab = Vocabulary([bytes(x.word) for x in first], np.array([x.n for x in first], np.int64), min(clustered, len(first)), whole.e or 0)
-    bigrams = stored(word_bigrams(rows, vocab))
-    of, table = exchange(durable(bigrams.groupBy("a", "b").agg(F.sum("n").alias("n"))), vocab.symbols, classes, rounds)
-    contexts = _contexts(bigrams, of, len(first) + SHAPES)
+    tokens = stored(tokenise(rows, vocab))
+    learned = tokens.where(~F.col("held_out"))
+    of, table = exchange(durable(symbol_bigrams(learned, vocab)), vocab.symbols, classes, rounds)
+    contexts = _contexts(learned, vocab, of, classes)
     used, inner, size = spread(contexts, table[: classes + 1, :classes], sweeps)
     every = assign(contexts, used)
     own = np.concatenate([np.zeros(len(first), np.int64), of[vocab.clustered : vocab.symbols]])
@@ -316,51 +372,41 @@ def train(rows: DataFrame, top: int = TOP_WORDS, clustered: int = CLUSTERED, cla
     full = np.column_stack([inner, table[: classes + 1, classes + 1]])  # the end is the last column; nothing leads to the start
     smooth = np.log10((full + SMOOTH) / (full.sum(axis=1, keepdims=True) + SMOOTH * (classes + 1)))
     model = Brown(vocab, of, own, smooth, inner.sum(axis=0), size, whole.n or 0, whole.v)
-    return model, every.where(F.col("word").isNotNull()).select("word", "n", "k")
+    return model, every.where(F.col("word").isNotNull()).select("word", "n", "k"), tokens
 
 
 def score(rows: DataFrame, model: Brown, rare: DataFrame) -> DataFrame:
-    """``(id, held_out, n_tokens, n_known, base_score, score)`` for ``rows(id, h, held_out, t)``.
+    """``(id, held_out, n_tokens, n_known, base_score, score)`` for rows of ``tokenise``.
 
-    The texts are read once. Frequent words are scored where they stand; each
+    Frequent words are scored where they stand; each
     other word goes to its count and class, with the class before it. A
     document's own row takes the same way under a key that no word has.
     """
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["id"].dataType.simpleString()
     base_floor = float(np.log10(model.tokens + SMOOTH * (model.distinct + 1)))
-    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
     names = ["id", "h", "held_out", "word", "c", "o", "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches):
         m = shared.value
         v, top, classes = m.vocab, len(m.vocab.words), len(m.class_total)
-        get, before = v.ids().__getitem__, m.before[v.symbol_of()]
-        base = np.concatenate([np.log10(v.counts + SMOOTH) - base_floor, np.zeros(SHAPES)])
-        emit = np.concatenate([np.log10(v.counts + SMOOTH) - m.floor(m.own[:top]), np.zeros(SHAPES)])
-        end_base = np.log10(v.end_count + SMOOTH) - base_floor
-        for batch in batches:
-            docs, at, far, c_far, o_far = [], [], [], [], []
-            for k, (_, h, _, words) in enumerate(_words([batch], 3)):
-                i = np.fromiter(map(get, words), np.int64, len(words))
-                c, o = np.concatenate([[classes], before[i]]), m.own[i]
-                rare = i >= top
-                near = m.transition[c[:-1], o][~rare].sum() + m.transition[c[-1], classes] + emit[i].sum()
-                docs.append((b" %d %d" % (k, h.as_py()), None, None, len(words) + 1, len(words) - int(rare.sum()) + (v.end_count > 0), float(base[i].sum() + end_base), float(near)))
-                p = np.flatnonzero(rare)
-                far += [words[x] for x in p.tolist()]
-                at.append(np.full(len(p), k))
-                c_far.append(c[p])
-                o_far.append(o[p])
-            if not docs:
-                continue
-            heads = [batch.column(x) for x in range(3)]
-            yield pa.RecordBatch.from_arrays([*heads, *(pa.array(c, t) for c, t in zip(zip(*docs, strict=True), kinds, strict=True))], names=names)
-            at, c_far, o_far = (np.concatenate(x).astype(np.int32) for x in (at, c_far, o_far))
+        before, own = m.before[np.append(v.symbol_of(), v.symbols + 1)], np.append(m.own, classes)
+        shapes = np.zeros(SHAPES)
+        base = np.concatenate([np.log10(v.counts + SMOOTH) - base_floor, shapes, [np.log10(v.end_count + SMOOTH) - base_floor]])
+        emit = np.concatenate([np.log10(v.counts + SMOOTH) - m.floor(m.own[:top]), shapes, [0.0]])
+        known = np.concatenate([np.ones(top), shapes, [float(v.end_count > 0)]])
+        for piece, w, n, first in _pieces(batches, 3):
+            c, o, rare = _previous(before[w], first, classes), own[w], (w >= top) & (w < top + SHAPES)
+            doc = np.repeat(np.arange(len(n)), n)
+            each = [np.bincount(doc, x, len(n)) for x in (known[w], base[w], np.where(rare, 0.0, m.transition[c, o]) + emit[w])]
+            keys = pa.array([b" %d %d" % x for x in enumerate(piece.column(1).to_pylist())], pa.binary())
+            none, heads = pa.nulls(len(n), pa.int32()), piece.columns[:3]
+            yield pa.RecordBatch.from_arrays([*heads, keys, none, none, pa.array(n.astype(np.int32)), pa.array(each[0].astype(np.int32)), pa.array(each[1]), pa.array(each[2])], names=names)
+            far, at, c, o = b" ".join(piece.column(4).to_pylist()).split(), doc[rare], c[rare].astype(np.int32), o[rare].astype(np.int32)
             for x in range(0, len(far), 50_000):
                 p = slice(x, x + 50_000)
-                own = [pa.array(far[p], pa.binary()), pa.array(c_far[p]), pa.array(o_far[p]), *(pa.nulls(len(at[p]), t) for t in kinds[3:])]
-                yield pa.RecordBatch.from_arrays([*(y.take(pa.array(at[p])) for y in heads), *own], names=names)
+                i, d = (pa.nulls(len(at[p]), t) for t in (pa.int32(), pa.float64()))
+                yield pa.RecordBatch.from_arrays([*(y.take(pa.array(at[p])) for y in heads), pa.array(far[p], pa.binary()), pa.array(c[p]), pa.array(o[p]), i, i, d, d], names=names)
 
     def listed(x: np.ndarray):
         return F.split(F.lit(",".join(f"{y:.17g}" for y in x.ravel())), ",").cast("array<double>")
@@ -390,8 +436,8 @@ def score_corpus(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_
     text = text_bytes(text_col)
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), held.alias("held_out"), text.alias("t"))
-    model, rare = train(rows.where(~F.col("held_out")).select("id", "t"), **sizes)
-    return score(rows, model, rare).select("id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    model, rare, tokens = train(rows, **sizes)
+    return score(tokens, model, rare).select("id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op5_brown_classes(spark, sf_dir: str) -> DataFrame:
