@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import durable, stored, text_bytes
 
-#: Words that are sent to every task with their counts; the first of them, by frequency, are clustered one by one.
-TOP_WORDS, CLUSTERED, CLASSES, ROUNDS = 65_536, 2_000, 32, 5
+#: Words that are sent to every task with their counts (at most some 5 MB, and 50 MB in a Python worker);
+#: the first of them, by frequency, are clustered one by one.
+TOP_WORDS, CLUSTERED, CLASSES, ROUNDS = 262_144, 2_000, 32, 5
 #: Most sweeps of the exchange over all words.
 SWEEPS = 6
 SHAPES, SMOOTH = 24, 0.1
@@ -183,15 +184,11 @@ def _move(w: int, classes: np.ndarray, table: np.ndarray, right: np.ndarray, lef
     table[c, c] -= own
     np.maximum(table, 0, out=table)
     out, into = table.sum(axis=1), table.sum(axis=0)
-    old, best, where = _xlogx(table), -np.inf, c
-    for k in range(free):
-        row, col = table[k] + r, table[:, k] + lf
-        gain = (_xlogx(row) - old[k]).sum() + (_xlogx(col) - old[:, k]).sum()
-        corner = table[k, k]
-        gain += _xlogx(np.array([corner + r[k] + lf[k] + own, corner, corner + r[k], corner + lf[k]])) @ np.array([1, 1, -1, -1])
-        gain -= _xlogx(np.array([out[k] + r.sum() + own, into[k] + lf.sum() + own])).sum() - _xlogx(np.array([out[k], into[k]])).sum()
-        if gain > best + 1e-9:
-            best, where = gain, k
+    old, rows, cols, corner = _xlogx(table), table[:free] + r, table[:, :free].T + lf, table.diagonal()[:free]
+    gain = (_xlogx(rows) - old[:free]).sum(axis=1) + (_xlogx(cols) - old[:, :free].T).sum(axis=1)
+    gain += _xlogx(corner + r[:free] + lf[:free] + own) + _xlogx(corner) - _xlogx(corner + r[:free]) - _xlogx(corner + lf[:free])
+    gain -= _xlogx(out[:free] + r.sum() + own) + _xlogx(into[:free] + lf.sum() + own) - _xlogx(out[:free]) - _xlogx(into[:free])
+    where = int(np.argmax(gain >= gain.max() - 1e-9))
     classes[w] = where
     table[where] += r
     table[:, where] += lf
@@ -272,7 +269,7 @@ def _contexts(tokens: DataFrame, vocab: Vocabulary, of: np.ndarray, classes: int
 
     seen = tokens.select("w", "far").mapInArrow(count, "w int, word binary, c int, n long")
     sums = seen.groupBy("w", "word", "c").agg(F.sum("n").alias("n"))
-    return stored(sums.groupBy("w", "word").agg(F.collect_list(F.struct("c", "n")).alias("near")))
+    return stored(sums.groupBy("w", "word").agg(F.sort_array(F.collect_list(F.struct("c", "n"))).alias("near")))
 
 
 def _profile(near: pa.Array, classes: int) -> np.ndarray:
@@ -307,26 +304,27 @@ def spread(contexts: DataFrame, table: np.ndarray, sweeps: int = SWEEPS) -> tupl
     each class. With the shares of the last table given, a sweep can't lower the
     likelihood; it ends when the gain is under a thousandth. Gives the table
     that the last sweep assigned with, the one that came of it, and the number
-    of words of each class. A task sends one table to the sum.
+    of words of each class. Words that are alike in all counts move together,
+    as one row. A task sends one table to the sum.
     """
     rows, classes = table.shape
     last = -np.inf
+    alike = stored(contexts.groupBy("near").agg(F.count("*").alias("words")))
     for _ in range(sweeps):
         fit = _fit(table)
 
         def run(batches, fit=fit):
             total = np.zeros((rows + 1, classes))
             for b in batches:
-                near = _profile(b.column(2), classes)
+                near, words = _profile(b.column(0), classes), b.column(1).to_numpy()
                 best = (near @ fit).argmax(axis=1)
-                for k in np.unique(best):
-                    total[:-1, k] += near[best == k].sum(axis=0)
-                total[-1] += np.bincount(best, minlength=classes)
+                total[:-1] += (near * words[:, None]).T @ np.eye(classes)[best]
+                total[-1] += np.bincount(best, words, classes)
             c, k = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(total[c, k].astype(np.int64))], names=["c", "k", "n"])
 
         new = np.zeros((rows + 1, classes))
-        for x in contexts.mapInArrow(run, "c int, k int, n long").groupBy("c", "k").agg(F.sum("n").alias("n")).collect():
+        for x in alike.mapInArrow(run, "c int, k int, n long").groupBy("c", "k").agg(F.sum("n").alias("n")).collect():
             new[x.c, x.k] = x.n
         used, table, size = table, new[:-1], new[-1]
         gain = _xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum()
@@ -336,7 +334,7 @@ def spread(contexts: DataFrame, table: np.ndarray, sweeps: int = SWEEPS) -> tupl
     return used, table, size
 
 
-def _frequent(counts: DataFrame, top: int) -> list:
+def _frequent(counts: DataFrame, top: int) -> list[tuple[bytes, int]]:
     """At most ``top`` words by descending count, those of one count all or none.
 
     The count from which words are frequent is found from how many words have
@@ -347,7 +345,8 @@ def _frequent(counts: DataFrame, top: int) -> list:
         if (taken := taken + x.words) > top:
             break
         least = x.n
-    return sorted(counts.where(F.col("n") >= least).collect(), key=lambda x: (-x.n, bytes(x.word)))
+    found = counts.where(F.col("n") >= least).select("word", "n").toArrow()
+    return sorted(zip(*(c.to_pylist() for c in found.columns), strict=True), key=lambda x: (-x[1], x[0]))
 
 
 def train(rows: DataFrame, top: int = TOP_WORDS, clustered: int = CLUSTERED, classes: int = CLASSES, rounds: int = ROUNDS, sweeps: int = SWEEPS) -> tuple[Brown, DataFrame, DataFrame]:
@@ -359,20 +358,19 @@ def train(rows: DataFrame, top: int = TOP_WORDS, clustered: int = CLUSTERED, cla
     counts = stored(word_counts(rows.where(~F.col("held_out")).select("id", "t")))
     whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))).alias("e")).first()
     first = _frequent(counts.where(F.col("word") != F.lit(END)), top)
-    vocab = Vocabulary([bytes(x.word) for x in first], np.array([x.n for x in first], np.int64), min(clustered, len(first)), whole.e or 0)
+    vocab = Vocabulary([w for w, _ in first], np.array([n for _, n in first], np.int64), min(clustered, len(first)), whole.e or 0)
     tokens = stored(tokenise(rows, vocab))
     learned = tokens.where(~F.col("held_out"))
     of, table = exchange(durable(symbol_bigrams(learned, vocab)), vocab.symbols, classes, rounds)
     contexts = _contexts(learned, vocab, of, classes)
     used, inner, size = spread(contexts, table[: classes + 1, :classes], sweeps)
-    every = assign(contexts, used)
     own = np.concatenate([np.zeros(len(first), np.int64), of[vocab.clustered : vocab.symbols]])
-    for x in every.where(F.col("word").isNull()).select("w", "k").collect():  # at most ``top`` rows
-        own[x.w] = x.k
+    near = assign(contexts.where(F.col("word").isNull()), used).select("w", "k").toArrow()  # at most ``top`` rows
+    own[near["w"].to_numpy()] = near["k"].to_numpy()
     full = np.column_stack([inner, table[: classes + 1, classes + 1]])  # the end is the last column; nothing leads to the start
     smooth = np.log10((full + SMOOTH) / (full.sum(axis=1, keepdims=True) + SMOOTH * (classes + 1)))
     model = Brown(vocab, of, own, smooth, inner.sum(axis=0), size, whole.n or 0, whole.v)
-    return model, every.where(F.col("word").isNotNull()).select("word", "n", "k"), tokens
+    return model, assign(contexts.where(F.col("word").isNotNull()), used).select("word", "n", "k"), tokens
 
 
 def score(rows: DataFrame, model: Brown, rare: DataFrame) -> DataFrame:
