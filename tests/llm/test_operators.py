@@ -163,14 +163,51 @@ def test_bpe(docs, empty):
     assert bpe.encode_decode(empty, *bpe.vocabulary()).count() == 0
 
 
+def plain_digest(data):
+    """The length code and the 256 quartile codes, one triplet at a time."""
+    count = [0] * 256
+    for x, y, z in zip(data, data[1:], data[2:]):
+        count[((x + 256 * y + 65536 * z) * 2654435761 % 2**32) // 2**24] += 1
+    cut = [sorted(count)[q] for q in (64, 128, 192)]
+    return min(255, round(math.log(len(data) + 1) / math.log(1.1))), [sum(c > q for q in cut) for c in count]
+
+
+def plain_text(digest):
+    length, codes = digest
+    return f"{length:02x}" + "".join(f"{64 * a + 16 * b + 4 * c + d:02x}" for a, b, c, d in zip(*[iter(codes)] * 4, strict=True))
+
+
+def plain_likeness(one, two):
+    score = sum(abs(a - b) for a, b in zip(one[1], two[1], strict=True)) + 2 * min(abs(one[0] - two[0]), 32)
+    return 1 - min(score, 320) / 320
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 7, 40])
+def test_successors_over_ranges(spark, buckets):
+    ids = [3 * k - 20 for k in range(50)] + [2**40, -(2**50)]
+    table = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(5)
+    rows = [(r.part, r.b, r.ghost, r.id) for r in digests.with_next(table, buckets=buckets).withColumn("part", F.spark_partition_id()).collect()]
+    found, groups = {}, collections.defaultdict(list)
+    for part, b, ghost, i in rows:
+        groups[part, b].append((ghost, i))
+    assert len({b for _, b in groups}) == len(groups) == len({p for p, _ in groups})
+    for group in groups.values():
+        group.sort()
+        found |= {a[1]: b[1] for a, b in zip(group, group[1:])}
+    ids.sort()
+    assert found == dict(zip(ids, ids[1:] + ids[:1], strict=True))
+
+
 def test_digests(spark, rows, docs, empty):
     got = {r.id: r for r in digests.fingerprint_edits(spark.createDataFrame(rows, SCHEMA)).collect()}
     for k, t in enumerate(TEXTS):
         t, nxt = t or "", TEXTS[(k + 1) % len(TEXTS)] or ""
         half = len(t) // 2
         assert got[k].edited == t[: len(t) - half] + nxt[:half]
-        assert got[k].fingerprint == digests.digest(t.encode())
-        assert 0 <= got[k].near_next <= 1
+        one, two = plain_digest(t.encode()), plain_digest(nxt.encode())
+        assert got[k].fingerprint == plain_text(one)
+        assert got[k].near_next == pytest.approx(plain_likeness(one, two), abs=1e-12)
+        assert got[k].near_edited == pytest.approx(plain_likeness(one, plain_digest(got[k].edited.encode())), abs=1e-12)
     assert got[0].near_next == 1 and got[0].fingerprint == got[1].fingerprint
     assert digests.fingerprint_edits(docs).count() == len(rows) + 2
     assert digests.fingerprint_edits(empty).count() == 0

@@ -22,6 +22,8 @@ BOUND = BUCKETS * 1.25
 LENGTH_STEP, LENGTH_WEIGHT, LENGTH_CAP = 1.1, 2, 32
 #: Characters of a batch that a task hands back.
 BLOCK_CHARS = 1_000_000
+#: Bytes of text that a range of ids has on average, at most.
+RANGE_BYTES = 64 << 20
 
 
 def digest(data: bytes) -> str:
@@ -49,35 +51,43 @@ def likeness(one: str, two: str) -> float:
     return 1 - min(float(np.abs(a - b).sum()) + LENGTH_WEIGHT * min(abs(m - n), LENGTH_CAP), BOUND) / BOUND
 
 
-def _pick(key: Column, bounds: list, leaves: list[Column]) -> Column:
-    """The leaf of the interval that the key is in, by binary search."""
-    if len(leaves) == 1:
-        return leaves[0]
-    m = len(leaves) // 2
-    return F.when(key <= F.lit(bounds[m - 1]), _pick(key, bounds[: m - 1], leaves[:m])).otherwise(_pick(key, bounds[m:], leaves[m:]))
+def _listed(values: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _range_of(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds lie below the key, by binary search."""
+    steps = [1 << j for j in reversed(range(len(bounds).bit_length()))]
+    if not steps:
+        return F.lit(0)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: at + F.when(F.get(_listed(bounds), at + s - 1) < key, s).otherwise(0))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """Rows ``(b, ghost, k, id, t)``, dealt and sorted so that each row's successor by id follows it in its bucket.
 
-    Ids are cut into ranges; the first row of each range also goes to the range
-    before, as a ghost (the very first to the last range). Texts are shuffled
-    once. Only the bounds and first ids of the ranges reach the driver.
+    Ids are cut into ranges, one to a task and of about ``RANGE_BYTES`` of text
+    where the input has more than the session's shuffle partitions would hold;
+    the first row of each range also goes to the range before, as a ghost (the
+    very first to the last range). Texts are shuffled once. Only the bounds and
+    first ids of the ranges reach the driver.
     """
     low = -(2**63)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(low))
-    buckets = buckets or partitions(docs)
-    cuts = docs.select(key.alias("k")).agg(F.percentile_approx("k", [(i + 1) / buckets for i in range(buckets - 1)] or [0.5], 10_000)).first()[0]
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = buckets or max(partitions(docs), -(-size // RANGE_BYTES))
+    cuts = docs.select(key.alias("k")).agg(F.percentile_approx("k", [(i + 1) / buckets for i in range(buckets - 1)] or [0.5], max(10_000, 20 * buckets))).first()[0]
     bounds = sorted(set(cuts or [0]))
-    numbers = [F.lit(i) for i in range(len(bounds) + 1)]
-    heads = docs.groupBy(_pick(key, bounds, numbers).alias("b")).agg(F.min(key).alias("k")).orderBy("b").collect()
-    goal = {h.b: (h.k, heads[i - 1].b) for i, h in enumerate(heads)}
-    leaves = [F.struct(F.lit(i).alias("b"), F.lit(goal.get(i, (low, i))[0]).alias("first"), F.lit(goal.get(i, (low, i))[1]).alias("to")) for i in range(len(bounds) + 1)]
-    at = docs.select(key.alias("k"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), _pick(key, bounds, leaves).alias("at"))
-    home = F.struct(F.col("at.b").alias("b"), F.lit(False).alias("ghost"))
-    visit = F.struct(F.col("at.to").alias("b"), F.lit(True).alias("ghost"))
-    rows = at.select("k", "id", "t", F.explode(F.when(F.col("k") == F.col("at.first"), F.array(home, visit)).otherwise(F.array(home))).alias("z"))
-    return rows.select("z.b", "z.ghost", "k", "id", "t").repartition(buckets, "b").sortWithinPartitions("b", "ghost", "k", F.xxhash64("t"))
+    at = _range_of(F.col("k"), bounds)
+    heads = docs.select(key.alias("k")).groupBy(at.alias("b")).agg(F.min("k").alias("k")).orderBy("b").collect()
+    first, to = [low] * (len(bounds) + 1), list(range(len(bounds) + 1))
+    for i, h in enumerate(heads):
+        first[h.b], to[h.b] = h.k, heads[i - 1].b
+    rows = docs.select(key.alias("k"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("at", at)
+    home = F.struct(F.col("at").alias("b"), F.lit(False).alias("ghost"))
+    visit = F.struct(F.get(_listed(to), F.col("at")).cast("int").alias("b"), F.lit(True).alias("ghost"))
+    rows = rows.select("k", "id", "t", F.explode(F.when(F.col("k") == F.get(_listed(first), F.col("at")), F.array(home, visit)).otherwise(F.array(home))).alias("z"))
+    return rows.select("z.b", "z.ghost", "k", "id", "t").repartitionById(len(bounds) + 1, F.col("b")).sortWithinPartitions("b", "ghost", "k", F.xxhash64("t"))
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
