@@ -80,5 +80,29 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= {urls.REJE
 FROM x JOIN (SELECT host, shape, prefix, purity FROM {last} JOIN judged USING (host, prefix)) USING (host, shape)"""
 
 
+def audit() -> str:
+    letters = ", ".join(f"('{c}', {1 << k})" for k, c in enumerate("ABCDE"))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_words("coalesce(text, '')")} AS ws FROM documents),
+m AS (
+  SELECT doc_id, part, (len(ws) < 100)::INTEGER + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INTEGER
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INTEGER + 8 * regexp_matches(t, '[#$%&*|]')::INTEGER
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INTEGER AS mask
+  FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+h AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f(c, bit) AS (VALUES {letters}),
+p AS (
+  SELECT a.c || b.c || g.c || i.c || j.c AS filter_order, [a.bit, b.bit, g.bit, i.bit, j.bit] AS bits
+  FROM f a, f b, f g, f i, f j WHERE len(list_distinct([a.c, b.c, g.c, i.c, j.c])) = 5),
+o AS (SELECT filter_order, step::INTEGER AS step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before FROM p, range(1, 6) t(step)),
+r AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (mask & (own | before) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & own > 0 AND mask & before = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & own > 0 AND mask & before > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & own > 0 AND mask & before = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & own > 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+  FROM h, o GROUP BY ALL)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_count_min_substrings": passages(), "op8_line_quality": lines(), "op9_path_templates": templates()}
+    return {"op7_count_min_substrings": passages(), "op8_line_quality": lines(), "op9_path_templates": templates(), "op12_filter_audit": audit()}
