@@ -13,7 +13,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +29,6 @@ TOP_WORDS, CLUSTERED, CLASSES, ROUNDS = 262_144, 2_000, 32, 5
 #: Most sweeps of the exchange over all words.
 SWEEPS = 6
 SHAPES, SMOOTH = 24, 0.1
-#: Distinct words that a task sums up before it hands them on.
-FLUSH = 500_000
 END = b""
 
 
@@ -74,31 +71,26 @@ class Vocabulary:
         return np.array([*range(self.clustered), *tail, *range(self.clustered, self.clustered + SHAPES)], np.int64)
 
 
-def _words(batches, columns: int = 1):
-    for batch in batches:
-        for k in range(batch.num_rows):
-            yield (*(batch.column(c)[k] for c in range(columns)), batch.column(columns)[k].as_buffer().to_pybytes().lower().split())
+def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A-Z lower-cased, and how many there are up to the end of each text."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    ends, words = cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py(), cut.flatten()
+    whole = pc.greater(pc.binary_length(words), 0)  # blanks at an end leave an empty word
+    kept = np.r_[0, np.cumsum(whole.to_numpy(zero_copy_only=False))]
+    return words.filter(whole).view(pa.binary()), kept[ends]
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """``(word, n)`` over ``rows(id, t)``; the end of a text is the empty word. Tasks add up before the shuffle."""
-
-    def give(c: Counter):
-        items = list(c.items())
-        for o in range(0, len(items), 100_000):
-            w, n = zip(*items[o : o + 100_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(n, pa.int64())], names=["word", "n"])
+    """``(word, n)`` over ``rows(id, t)``; the end of a text is the empty word. Batches add up before the shuffle."""
 
     def count(batches):
-        c: Counter = Counter()
-        for _, words in _words(batches):
-            c.update(words)
-            c[END] += 1
-            if len(c) > FLUSH:
-                yield from give(c)
-                c.clear()
-        if c:
-            yield from give(c)
+        for b in batches:
+            words, _ = _cut(b.column(1))
+            found = words.value_counts()
+            ends = pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([b.num_rows], pa.int64())], names=["word", "n"])
+            for part in (pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["word", "n"]), ends):
+                for at in range(0, part.num_rows, 100_000):
+                    yield part.slice(at, 100_000)
 
     return rows.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -114,14 +106,18 @@ def tokenise(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
     def run(batches):
         v = shared.value
         get, top = v.ids().__getitem__, len(v.words)
-        end = np.array([top + SHAPES], np.int32)
         for batch in batches:
-            numbers, far = [], []
-            for *_, words in _words([batch], 3):
-                w = np.concatenate([np.fromiter(map(get, words), np.int32, len(words)), end])
-                numbers.append(w.tobytes())
-                far.append(b" ".join([words[k] for k in np.flatnonzero(w[:-1] >= top).tolist()]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(numbers, pa.binary()), pa.array(far, pa.binary())], names=["id", "h", "held_out", "w", "far"])
+            words, ends = _cut(batch.column(3))
+            told = words.dictionary_encode()
+            names = told.dictionary.to_numpy(zero_copy_only=False).tolist()
+            ids = np.fromiter(map(get, names), np.int32, len(names))[told.indices.to_numpy(zero_copy_only=False)]
+            rare = ids >= top
+            place = np.r_[0, np.cumsum(rare)][np.r_[0, ends]].astype(np.int32)
+            far = pc.binary_join(pa.ListArray.from_arrays(pa.array(place), words.filter(pa.array(rare))), b" ")
+            w = np.insert(ids, ends, top + SHAPES).astype("<i4")
+            places = np.r_[0, ends + np.arange(1, len(ends) + 1)] * 4
+            numbers = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(w.tobytes())])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], numbers, far], names=["id", "h", "held_out", "w", "far"])
 
     return rows.mapInArrow(run, f"id {kind}, h long, held_out boolean, w binary, far binary")
 
