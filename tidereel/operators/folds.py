@@ -1,17 +1,31 @@
-"""Sequential folds over one source's windows, streamed over sorted partitions.
+"""Sequential folds over one source's windows, spread over ranges of windows.
 
-A fold keeps a few values from row to row, so a source's rows are never held
-together, however many it has. Each fold hands on all columns of its input.
+Rows are cut into ranges of source and time, sorted, and written durably. A
+source may cover many ranges, and no task reads more than its range:
+
+- the classifier (W4) has four states, so a range is a map from state to state;
+  the maps are composed by an associative scan, which gives the state in which
+  each range begins;
+- smoothing and merging (W5, W6) carry a run of any length; a range is folded
+  from a guess, that its first source begins there, and again from the state of
+  the range before, until both folds agree. Run numbers are prefix sums.
+
+What the driver sees of a range is one or two small rows. Each fold hands on
+all columns of its input.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .layout import durable
+
 SLOW, MOVE, SUBJECT, STATIC = "SlowMotion", "GimbalMove", "StaticSubject", "Static"
 #: Thresholds of the classifier's two states, of smoothing and of merging: fixed values.
 PERSON_ENTER, PERSON_STAY = 1.0, 0.65
@@ -24,10 +38,15 @@ def _schema(df: DataFrame, more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), more])
 
 
-def _streamed(df: DataFrame, key: str, order: list[str], fold: Callable, schema: str) -> DataFrame:
-    """``fold`` over Arrow batches in which the rows of a key follow one another in order."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, key).sortWithinPartitions(key, *order).mapInArrow(fold, schema)
+def _ranged(df: DataFrame, key: str, order: list[str], ranges: int | None) -> DataFrame:
+    """``df`` in sorted ranges, with the number of the range as ``__range``; one row is in one range however often it is read."""
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(ranges, key, *order).sortWithinPartitions(key, *order)
+    return durable(cut.withColumn("__range", F.spark_partition_id()))
+
+
+def _lists(batch: pa.RecordBatch | pa.Table, names: tuple) -> list[list]:
+    return [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names]
 
 
 def next_kind(before: str | None, motion: float, zoom: float, confidence: float, person: float, slow: bool) -> str | None:
@@ -44,85 +63,211 @@ def next_kind(before: str | None, motion: float, zoom: float, confidence: float,
     return SUBJECT if present else None
 
 
-def classify(windows: DataFrame, key: str, order: str, person_threshold: float = 0.42) -> DataFrame:
+#: The classifier's states: the kind of the window before.
+STATES = (None, SLOW, MOVE, SUBJECT)
+
+
+def composed(maps: np.ndarray) -> np.ndarray:
+    """Each row is a map from state to state; gives what the first up to each row do one after another, in log2(n) steps."""
+    out, step = maps.copy(), 1
+    while step < len(out):
+        out[step:] = np.take_along_axis(out[step:], out[:-step], axis=1)
+        step *= 2
+    return out
+
+
+def _range_maps(ranged: DataFrame, key: str, names: tuple) -> list:
+    """For each range its first and last source and what its rows make of each state: ``(range, first, last, whole, ends)``.
+
+    ``whole``: the range has one source only, and ``ends`` goes by the state
+    before it; else all of ``ends`` is the state that the last source leaves.
+    """
+
+    def run(batches):
+        place, first, last, whole, ends = None, None, None, True, [0, 1, 2, 3]
+        for b in batches:
+            for who, where, *row in zip(*_lists(b, (key, "__range", *names)), strict=True):
+                if place is None:
+                    place, first, last = where, who, who
+                elif who != last:
+                    last, whole, ends = who, False, [0] * 4
+                after = {e: STATES.index(next_kind(STATES[e], *row)) for e in set(ends)}
+                ends = [after[e] for e in ends]
+        if place is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([first], kind), pa.array([last], kind), pa.array([whole]), pa.array([ends], pa.list_(pa.int32()))], names=["range", "first", "last", "whole", "ends"])
+
+    name = ranged.schema[key].dataType.simpleString()
+    kind = ranged.select(key).limit(0).toArrow().schema.field(0).type
+    return sorted(ranged.select(key, "__range", *names).mapInArrow(run, f"range int, first {name}, last {name}, whole boolean, ends array<int>").collect())
+
+
+def classify(windows: DataFrame, key: str, order: str, person_threshold: float = 0.42, ranges: int | None = None) -> DataFrame:
     """``windows(key, order, motion, zoom, confidence, person, threshold, slow)`` with the kind of each window, null for none.
 
-    A null score counts as 0, a null ``slow`` as false.
+    A null score counts as 0, a null ``slow`` as false. ``ranges``: into how
+    many ranges the rows are cut; absent, the session's shuffle partitions.
     """
     norm = lambda c: F.coalesce(F.when(F.col("threshold") > 0, F.col(c) / F.col("threshold")), F.lit(0.0)).cast("double")
     person = F.coalesce(F.col("person") / person_threshold if person_threshold > 0 else F.lit(0.0), F.lit(0.0)).cast("double")
     scores = {"__m": norm("motion"), "__z": norm("zoom"), "__c": F.coalesce("confidence", F.lit(0.0)).cast("double"), "__p": person, "__s": F.coalesce("slow", F.lit(False))}
-
     names = tuple(scores)
+    ranged = _ranged(windows.withColumns(scores), key, [order], ranges)
+    maps = _range_maps(ranged, key, names)
+    goes_on = [k > 0 and m.first == maps[k - 1].last for k, m in enumerate(maps)]
+    after = composed(np.array([m.ends if on or not m.whole else [m.ends[0]] * 4 for m, on in zip(maps, goes_on, strict=True)]).reshape(-1, 4))
+    begins = {m.range: STATES[after[k - 1][0]] for k, m in enumerate(maps) if goes_on[k]}
+    shared = ranged.sparkSession.sparkContext.broadcast(begins)  # a state for each range
 
     def fold(batches):
         last, kind = object(), None
         for b in batches:
             out = []
-            for who, *row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in (key, *names)), strict=True):
-                kind = next_kind(kind if who == last else None, *row)
-                last = who
+            for who, where, *row in zip(*_lists(b, (key, "__range", *names)), strict=True):
+                if who != last:
+                    kind = shared.value.get(where) if type(last) is object else None
+                kind, last = next_kind(kind, *row), who
                 out.append(kind)
-            kept = [k for k, n in enumerate(b.schema.names) if n not in names]
+            kept = [k for k, n in enumerate(b.schema.names) if n not in (*names, "__range")]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(out, pa.string())], names=[*(b.schema.names[k] for k in kept), "kind"])
 
-    return _streamed(windows.withColumns(scores), key, [order], fold, _schema(windows, "kind string"))
+    return ranged.mapInArrow(fold, _schema(windows, "kind string"))
 
 
-class _Runs:
+@dataclass
+class _Run:
     """What smoothing and merging remember of the row before."""
 
-    def __init__(self):
-        self.who, self.kind, self.end, self.since, self.run = object(), None, 0.0, 0.0, 0
-
-    def settle(self, t: pa.Table, key: str, rows: int) -> tuple[list, list]:
-        """Kind and run of the first ``rows`` rows; one row more may follow, which tells what comes next."""
-        who, start, end, n, kind = (t.column(c).to_pylist() for c in (key, "start_seconds", "end_seconds", "windows", "kind"))
-        kinds, runs = [], []
-        for k in range(rows):
-            own, fresh = kind[k], who[k] != self.who
-            if not fresh and n[k] == 1 and k + 1 < len(kind) and who[k + 1] == who[k]:
-                room = GAP * max(end[k] - start[k], LEAST_SPAN)
-                if self.kind == kind[k + 1] != own and abs(start[k] - self.end) <= room and abs(start[k + 1] - end[k]) <= room:
-                    own = self.kind
-            if fresh:
-                self.who, self.run, self.since = who[k], 0, start[k]
-            else:
-                span, gap = max(self.end - self.since, end[k] - start[k], LEAST_SPAN), start[k] - self.end
-                if own != self.kind or not -span <= gap <= GAP * span:
-                    self.run, self.since = self.run + 1, start[k]
-            self.kind, self.end = own, end[k]
-            kinds.append(own)
-            runs.append(self.run)
-        return kinds, runs
-
-
-def smooth_and_merge(segments: DataFrame, key: str) -> DataFrame:
+    who: object = None
+    kind: str | None = None
+    end: float = 0.0
+    since: float = 0.0
+    run: int = 0
+
+    def settle(self, row: tuple, after: tuple | None, fresh: bool) -> None:
+        """Takes ``row(who, start, end, windows, kind)``, with the row that follows it."""
+        who, start, end, n, own = row
+        if not fresh and n == 1 and after is not None and after[0] == who:
+            room = GAP * max(end - start, LEAST_SPAN)
+            if self.kind == after[4] != own and abs(start - self.end) <= room and abs(after[1] - end) <= room:
+                own = self.kind
+        if fresh:
+            self.who, self.run, self.since = who, 0, start
+        else:
+            span, gap = max(self.end - self.since, end - start, LEAST_SPAN), start - self.end
+            if own != self.kind or not -span <= gap <= GAP * span:
+                self.run, self.since = self.run + 1, start
+        self.kind, self.end = own, end
+
+
+_ROW = ("start_seconds", "end_seconds", "windows", "kind")
+
+
+def _followed(batches, key: str, heads: dict) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Batches with ``(row, the row after it)`` pairs; ``heads``: the first row of the range that follows each."""
+    held, rows = None, []
+    for b in batches:
+        found = list(zip(*_lists(b, (key, *_ROW)), strict=True))
+        if found:
+            if held is not None:
+                yield held, list(zip(rows, [*rows[1:], found[0]], strict=True))
+            held, rows = b, found
+    if held is not None:
+        yield held, list(zip(rows, [*rows[1:], heads.get(_lists(held.slice(0, 1), ("__range",))[0][0])], strict=True))
+
+
+def _exits(ranged: DataFrame, key: str, heads, entries: dict | None) -> dict:
+    """Range to ``(last source, whole, state)`` after its last row.
+
+    Without ``entries`` the first source of each range counts as new. With
+    them, only those ranges are folded, from their entry and from the guess side
+    by side until the two agree; from there on there is one fold again.
+    """
+    shared, names = ranged.sparkSession.sparkContext.broadcast((heads, entries)), ["range", "who", "whole", "kind", "end", "since", "run"]
+
+    def run(batches):
+        following, entered = shared.value
+        place, whole, state, true, begun = None, True, _Run(), None, True
+        for b, pairs in _followed(batches, key, following):
+            if place is None:
+                place = _lists(b.slice(0, 1), ("__range",))[0][0]
+                true = None if entered is None else replace(entered[place])
+            for row, after in pairs:
+                fresh = begun or row[0] != state.who
+                whole, begun = whole and (begun or not fresh), False
+                state.settle(row, after, fresh)
+                if true is not None:
+                    true.settle(row, after, False)
+                    if (true.kind, true.since) == (state.kind, state.since):
+                        state.run, true = true.run, None  # the folds agree from here on
+        if place is not None:
+            s = true or state
+            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([s.who], kind), pa.array([whole]), pa.array([s.kind], pa.string()), pa.array([s.end]), pa.array([s.since]), pa.array([s.run], pa.int64())], names=names)
+
+    kind = ranged.select(key).limit(0).toArrow().schema.field(0).type
+    seen = ranged.select(key, "__range", *(F.col(c).cast("double").alias(c) if c.endswith("seconds") else c for c in _ROW))
+    if entries is not None:
+        seen = seen.where(F.col("__range").isin(list(entries)))
+    out = seen.mapInArrow(run, f"range int, who {ranged.schema[key].dataType.simpleString()}, whole boolean, kind string, end double, since double, run long")
+    return {r["range"]: (r.who, r.whole, _Run(r.who, r.kind, r.end, r.since, r.run)) for r in out.collect()}
+
+
+def _entries(ranged: DataFrame, key: str, heads: dict, firsts: dict) -> dict:
+    """The state in which each range begins whose first source began before it.
+
+    Runs are counted from 0 in each range until the states stand still; a last
+    pass adds up the counts of the ranges before.
+    """
+    exits = _exits(ranged, key, heads, None)
+    order = sorted(exits)
+    goes_on = {r: before for before, r in zip(order, order[1:], strict=False) if exits[before][0] == firsts[r]}
+    used: dict = {}
+    while True:
+        wanted = {r: replace(exits[b][2], run=0) for r, b in goes_on.items()}
+        todo = {r: e for r, e in wanted.items() if exits[r][1] and used.get(r) != e}
+        if not todo:
+            break
+        exits |= _exits(ranged, key, heads, todo)
+        used |= todo
+    total: dict = {}  # runs of the last source up to the end of a range
+    for r in order:
+        total[r] = exits[r][2].run + (total[goes_on[r]] if r in goes_on and exits[r][1] else 0)
+    return {r: replace(exits[b][2], run=total[b]) for r, b in goes_on.items()}
+
+
+def smooth_and_merge(segments: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
     """``segments(key, pos, start_seconds, end_seconds, kind, windows)`` with the smoothed kind (W5) and a run number.
 
     A lone window between two of one other kind takes that kind, from left to
     right. A run goes on while the kind stays and the gap fits the longer of
-    the run so far and the next segment.
+    the run so far and the next segment. ``ranges`` as for ``classify``. A run
+    that covers many whole ranges takes a job for each of them.
     """
+    ranged = _ranged(segments, key, ["start_seconds", "pos"], ranges)
+    first = F.min(F.struct(F.col(key).alias("who"), F.col("start_seconds").cast("double").alias("start"), "pos", F.col("end_seconds").cast("double").alias("end"), "windows", "kind"))
+    found = {r["__range"]: r.row for r in ranged.groupBy("__range").agg(first.alias("row")).collect()}  # a row for each range
+    order = sorted(found)
+    heads = {a: (x.who, x.start, x.end, x.windows, x.kind) for a, x in zip(order, [found[r] for r in order[1:]], strict=False)}
+    entries = _entries(ranged, key, heads, {r: x.who for r, x in found.items()})
+    shared = ranged.sparkSession.sparkContext.broadcast((heads, entries))
 
     def fold(batches):
-        state, held = _Runs(), None
-
-        def give(t, rows):
-            kinds, runs = state.settle(t, key, rows)
-            done = t.slice(0, rows)
-            done = done.set_column(done.schema.get_field_index("kind"), "kind", pa.array(kinds, pa.string())).append_column("run", pa.array(runs, pa.int32()))
-            yield from done.combine_chunks().to_batches()
-
-        for b in batches:
-            t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
-            if t.num_rows > 1:
-                yield from give(t, t.num_rows - 1)
-            held = t.slice(max(t.num_rows - 1, 0))
-        if held is not None and held.num_rows:
-            yield from give(held, held.num_rows)
-
-    return _streamed(segments, key, ["start_seconds", "pos"], fold, _schema(segments, "run int"))
+        following, entered = shared.value
+        state, begun = None, False
+        for b, pairs in _followed(batches, key, following):
+            if state is None:
+                at = entered.get(b.column(b.schema.get_field_index("__range"))[0].as_py())
+                state, begun = (_Run(), True) if at is None else (replace(at), False)
+            kinds, runs = [], []
+            for row, after in pairs:
+                state.settle(row, after, begun or row[0] != state.who)
+                begun = False
+                kinds.append(state.kind)
+                runs.append(state.run)
+            t = b.set_column(b.schema.get_field_index("kind"), "kind", pa.array(kinds, pa.string()))
+            kept = [k for k, n in enumerate(t.schema.names) if n != "__range"]
+            yield pa.RecordBatch.from_arrays([*(t.column(k) for k in kept), pa.array(runs, pa.int32())], names=[*(t.schema.names[k] for k in kept), "run"])
+
+    return ranged.mapInArrow(fold, _schema(segments, "run int"))
 
 
 #: Rank of movement types for the dominant one: fixed order.

@@ -28,19 +28,20 @@ def type_score() -> Column:
 def window_scores(pairs: DataFrame, settings: Settings, people: DataFrame | None = None) -> DataFrame:
     """``pairs(source_path, frame_idx, motion, zoom, rotation, shear, confidence, movement)`` to one row for each window.
 
-    W1, W2, A1, A2, P3, P5: each frame but the first has a row; null scores are
-    skipped, a window without any is all zero. Scores but the confidence are
-    scaled to a rate of six frames a second. ``people(source_path, frame_idx,
+    W1, W2, A1, A2, P3, P5: each frame but the first, which is frame 0, has a
+    row; null scores are skipped, a window without any is all zero. Windows go
+    by the frames' numbers, so a frame that is left out moves no later window.
+    Scores but the confidence are scaled to a rate of six frames a second. ``people(source_path, frame_idx,
     person)`` has the detector's scores of centre frames (W3); without it the
     person is null (V7).
     """
     rows, step = windows.geometry(settings.fps, settings.window_seconds)
     line = Window.partitionBy("source_path").orderBy("frame_idx")
-    ring = line.rowsBetween(-(rows - 2), 0)
+    ring = line.rangeBetween(-(rows - 2), 0)
     rate = settings.fps / motion.BASE_FPS
     mean = lambda x: F.coalesce(F.avg(x).over(ring), F.lit(0.0))
     best = F.min_by("movement", F.struct(-c("speaks"), "frame_idx")).over(ring)
-    t = pairs.withColumn("speaks", type_score()).withColumn("i", F.row_number().over(line) + 1)
+    t = pairs.withColumn("speaks", type_score()).withColumn("i", F.col("frame_idx") + 1)
     t = t.select(
         "source_path", "i", "frame_idx", *[(mean(x) * rate).alias(x) for x in ("motion", "zoom", "rotation", "shear")], mean("confidence").alias("confidence"),
         F.when(F.max("speaks").over(ring) > 0, best).otherwise("PanTilt").alias("movement"),
