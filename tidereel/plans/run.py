@@ -7,12 +7,14 @@ more over all before layout, for fresh and stored rows alike.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidereel.functions import media, motion
 from tidereel.operators import folds, layout, selection, windows
-from tidereel.sources import store
+from tidereel.sources import catalog, frame_files, frames, store
 
 from .settings import Settings
 
@@ -91,30 +93,101 @@ def analyse(pairs: DataFrame, sources: DataFrame, settings: Settings, people: Da
     return selects(folds.merge_runs(segments, "source_path"), sources)
 
 
-def resume(pairs: DataFrame, sources: DataFrame, settings: Settings, path: str, people: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+#: What is stored of a source's probe, so that a timeline can be made from the store alone.
+PROBED = ["width", "height", "duration_seconds", "duration_frames", "timebase", "ntsc", "slow_motion"]
+
+
+def resume(pairs: DataFrame | Callable[[DataFrame], DataFrame], sources: DataFrame, settings: Settings, path: str, people: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Analyses what the store lacks, stores it, and gives all selects and one row of counts.
 
     ``sources(source_path, mtime, size, width, height, duration_seconds,
     duration_frames, timebase, ntsc, slow_motion[, error])``; rows with an
-    error count as failed and are left out.
+    error count as failed and are left out. ``pairs`` may be a function that
+    gives the pair scores of the sources that are left to analyse.
     """
     spark, marks = sources.sparkSession, ["source_path", "size", "mtime", "fingerprint"]
     sources = sources.withColumn("fingerprint", F.lit(settings.fingerprint))
     good = sources.where(c("error").isNull()) if "error" in sources.columns else sources
     stored = store.load_or_empty(spark, path, good.select(*marks).schema, SEGMENT)
     hit, miss = store.split_work(good, stored, marks)
-    fresh = analyse(pairs.join(miss.select("source_path"), "source_path", "left_semi"), miss, settings, people)
-    store.append(fresh.join(miss.select(*marks), "source_path"), path)
-    rows = store.load(spark, path).join(good.select(*marks), marks, "left_semi").select(*SEGMENT)
+    scored = pairs(miss) if callable(pairs) else pairs.join(miss.select("source_path"), "source_path", "left_semi")
+    fresh = analyse(scored, miss, settings, people)
+    fresh = fresh.join(miss.select(*marks, *PROBED), "source_path")
+    if not miss.isEmpty():  # each of these has a row at least; a run without any adds no batch
+        store.append(fresh, path)
+    rows = (store.load(spark, path) if store.exists(spark, path) else fresh).join(good.select(*marks), marks, "left_semi").select(*SEGMENT)
     chosen = selects(rows, good)
     counts = chosen.agg(F.count("*").alias("exported"))
     tally = sources.agg(F.count("*").alias("scanned")).crossJoin(good.agg(F.count("*").alias("analysed"))).crossJoin(hit.agg(F.count("*").alias("reused"))).crossJoin(counts)  # one row each
     return chosen, tally.select("scanned", "analysed", "reused", (c("scanned") - c("analysed")).alias("failed"), "exported")
 
 
-def timeline(chosen: DataFrame, sources: DataFrame) -> DataFrame:
+def sequence_format(chosen: DataFrame, sources: DataFrame) -> tuple[int, bool, int, int]:
+    """Timebase, drop rate, width and height of the sequence; without any clip 25 frames a second and 1920 x 1080."""
+    clips = sources.join(chosen.select("source_path").distinct(), "source_path", "left_semi")
+    seed = layout.sequence_seed(clips, "source_path").first()
+    if seed is None:
+        return 25, False, 1920, 1080
+    own = sources.where(c("source_path") == seed.source_path).select("timebase", "ntsc", "width", "height").first()
+    return own.timebase, bool(own.ntsc), own.width, own.height
+
+
+def timeline(chosen: DataFrame, sources: DataFrame, timebase: int | None = None) -> DataFrame:
     """Clip items in the sequence's frame rate, with what the XML needs of their sources."""
-    known = sources.select("source_path", c("duration_frames").alias("frames"), "timebase", "ntsc", "width", "height", "slow_motion")
-    seed = layout.sequence_seed(known.join(chosen.select("source_path").distinct(), "source_path", "left_semi"), "source_path").first()
+    known = sources.select("source_path", c("duration_frames").alias("frames"), c("timebase"), "ntsc", "width", "height", "slow_motion")
+    timebase = timebase or sequence_format(chosen, sources)[0]
     own = chosen.join(known, "source_path").where(F.round(F.greatest(c("end_seconds") - c("start_seconds"), F.lit(0.0)) * c("timebase")) > 0)
-    return layout.layout(own, "source_path", seed.timebase if seed else 25, keep=["start_seconds", "end_seconds", "kind", "movement", "frames", "timebase", "ntsc", "width", "height"])
+    return layout.layout(own, "source_path", timebase, keep=["start_seconds", "end_seconds", "kind", "movement", "frames", "timebase", "ntsc", "width", "height"])
+
+
+def export(chosen: DataFrame, sources: DataFrame, path: str, name: str = "Timeline") -> None:
+    """K1: the selects as an XML timeline below ``path``, always anew."""
+    base, ntsc, *_ = sequence_format(chosen, sources)
+    store.write_timeline_xml(store.described(timeline(chosen, sources, base)), path, base, ntsc, name)
+
+
+#: The summary of a run without any file.
+NOTHING = {"scanned": 0, "analysed": 0, "reused": 0, "failed": 0, "exported": 0}
+
+
+def run_folder(spark: SparkSession, folder: str, extensions: str, settings: Settings, stored: str, xml: str, pairs: Callable[[DataFrame], DataFrame], prober=catalog.PROBER) -> dict:
+    """From a folder of files to the XML: catalog, probe, analysis of what the store lacks, selection, layout, export.
+
+    ``pairs`` gives the pair scores of sources; see ``packed_pairs``. Gives the
+    summary (K10). No file at all leaves no XML; where all files fail it has no
+    clip. A file that fails is counted and doesn't end the run.
+    """
+    sources = layout.durable(catalog.sources(spark, folder, extensions, prober))
+    if sources.isEmpty():
+        return dict(NOTHING)
+    chosen, counts = resume(pairs, sources, settings, stored)
+    export(chosen, sources.where(c("error").isNull()), xml)
+    return counts.first().asDict()
+
+
+def packed_pairs(settings: Settings, **options) -> Callable[[DataFrame], DataFrame]:
+    """Pair scores of packed frame files, scaled and resampled as the settings say; only the files that are asked for are opened."""
+
+    def of(sources: DataFrame) -> DataFrame:
+        paths = [r.source_path for r in sources.select("source_path").toLocalIterator()]  # the plan of the source needs the names
+        spark = sources.sparkSession
+        if not paths:
+            return spark.createDataFrame([], frames.PAIRS)
+        return frames.pair_scores(frame_files.read_frames(spark, *paths, height=settings.height, fps=settings.fps, **options))
+
+    return of
+
+
+def recover(spark: SparkSession, stored: str, xml: str) -> dict:
+    """The timeline of all stored rows, without files, settings or stat: what was stored last of each source.
+
+    An empty store gives an empty summary and no XML.
+    """
+    rows = layout.durable(store.load(spark, stored, any_settings=True)) if store.exists(spark, stored) else None
+    if rows is None or rows.isEmpty():
+        return dict(NOTHING)
+    sources = rows.groupBy("source_path").agg(*[F.first(x).alias(x) for x in PROBED])
+    chosen = selects(rows.select(*SEGMENT), sources)
+    export(chosen, sources, xml)
+    n = sources.count()
+    return {**NOTHING, "scanned": n, "analysed": n, "reused": n, "exported": chosen.count()}

@@ -1,9 +1,11 @@
-"""File catalog and probe records: S1-S6, S8, S10-S14."""
+"""File catalog and probe records: S1-S6, S8-S17."""
 
 from __future__ import annotations
 
 import os
 import re
+import subprocess
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,8 @@ from tidereel.operators.layout import durable
 SKIPPED = (".cache", ".git", "target", "node_modules", "$RECYCLE.BIN", "System Volume Information")
 #: Bytes that are looked at from both ends of a file, and the mark of slow and quick motion. Fixed values.
 HEAD, TAIL, MARKER = 2 << 20, 6 << 20, "slowAndQuickMotion"
+#: The command that prints a file's streams and format as JSON; the path comes last. Fixed values.
+PROBER = ("ffprobe", "-v", "error", "-print_format", "json", "-show_streams", "-show_format")
 PROBE = "streams array<struct<codec_type:string,width:bigint,height:bigint,avg_frame_rate:string,r_frame_rate:string>>, format struct<duration:string>"
 
 
@@ -67,27 +71,72 @@ def catalog(spark: SparkSession, root: str, extensions: str) -> DataFrame:
     return files.where(media.has_extension(F.col("source_path"), wanted))
 
 
-def _head_tail(batches):
-    for b in batches:
-        capture, form, marked = [], [], []
-        for path in b.column(0).to_pylist():
-            try:
-                with open(path, "rb") as f:
-                    size = os.fstat(f.fileno()).st_size
-                    data = f.read() if size <= HEAD + TAIL else f.read(HEAD) + (f.seek(size - TAIL) and f.read(TAIL))
-            except OSError:
-                data = b""
-            text = data.decode("utf-8", "replace")
-            number = lambda name: (m := re.search(f'{name}="([0-9]*)', text)) and m[1] and int(m[1])  # noqa: E731, B023
-            capture.append(number("captureFps") or None)
-            form.append(number("formatFps") or None)
-            marked.append(MARKER in text)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(capture, pa.int64()), pa.array(form, pa.int64()), pa.array(marked, pa.bool_())], names=["source_path", "capture_fps", "format_fps", "marked"])
+def _added(files: DataFrame, columns: str, of: Callable[[str], tuple]) -> DataFrame:
+    """``files`` with more columns that ``of(path)`` gives, where the files are; nothing is shuffled."""
+    given = [f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema]
+    names = [c.split()[0] for c in columns.split(", ")]
+    kinds = [{"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}[c.split()[1]] for c in columns.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            found = [of(p) for p in b.column(b.schema.get_field_index("source_path")).to_pylist()]
+            more = [pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *names])
+
+    return files.mapInArrow(run, ", ".join([*given, columns]))
+
+
+def _marks(path: str) -> tuple:
+    try:
+        with open(path, "rb") as f:
+            size = os.fstat(f.fileno()).st_size
+            data = f.read() if size <= HEAD + TAIL else f.read(HEAD) + (f.seek(size - TAIL) and f.read(TAIL))
+    except OSError:
+        data = b""
+    text = data.decode("utf-8", "replace")
+    number = lambda name: (m := re.search(f'{name}="([0-9]*)', text)) and m[1] and int(m[1])
+    return number("captureFps") or None, number("formatFps") or None, MARKER in text
 
 
 def capture_marks(files: DataFrame) -> DataFrame:
-    """``(source_path, capture_fps, format_fps, marked)`` from the first and last bytes of each file; an unreadable one has none."""
-    return files.select("source_path").mapInArrow(_head_tail, "source_path string, capture_fps long, format_fps long, marked boolean")
+    """Adds ``capture_fps``, ``format_fps`` and ``marked`` from the first and last bytes of each file; an unreadable one has none."""
+    return _added(files, "capture_fps long, format_fps long, marked boolean", _marks)
+
+
+def prober_json(files: DataFrame, prober: list[str] | tuple[str, ...] = PROBER, seconds: float = 60.0) -> DataFrame:
+    """Adds ``json`` and ``prober_error``: what a prober prints for each file, run where the file is.
+
+    ``prober`` is the command before the path. A prober that isn't there, fails
+    or takes over ``seconds`` leaves an error.
+    """
+    command = list(prober)
+
+    def of(path: str) -> tuple:
+        try:
+            done = subprocess.run([*command, path], capture_output=True, timeout=seconds, check=False)
+        except (OSError, subprocess.TimeoutExpired) as e:
+            return None, f"prober: {type(e).__name__}"
+        if done.returncode:
+            return None, f"prober: exit code {done.returncode}"
+        return done.stdout.decode("utf-8", "replace"), None
+
+    return _added(files, "json string, prober_error string", of)
+
+
+def sources(spark: SparkSession, root: str, extensions: str, prober: list[str] | tuple[str, ...] = PROBER) -> DataFrame:
+    """The files below ``root`` as the sources of a run: S1 to S17 in one pass over the catalog.
+
+    ``(source_path, mtime, size, width, height, duration_seconds,
+    duration_frames, fps_num, fps_den, timebase, ntsc, varies, slow_motion,
+    capture_fps, format_fps, error)``; a file that can't be probed has an error.
+    """
+    files = prober_json(capture_marks(catalog(spark, root, extensions)), prober)
+    t = probe(files)
+    slow = media.slow_motion(F.col("capture_fps"), F.col("format_fps"), F.col("fps_num") / F.col("fps_den"), F.col("marked"))
+    return t.select(
+        "source_path", "mtime", F.col("length").alias("size"), "width", "height", "duration_seconds", "duration_frames", "fps_num", "fps_den", "timebase", "ntsc", "varies",
+        F.coalesce(slow, F.lit(False)).alias("slow_motion"), "capture_fps", "format_fps", F.coalesce("prober_error", "error").alias("error"),
+    )
 
 
 def probe(raw: DataFrame, json: str = "json") -> DataFrame:

@@ -14,7 +14,8 @@ Options: ``path`` (a file, a folder, or several joined by new lines);
 before the extension; ``extension`` (``bgr24``); ``task_bytes``: bytes that a
 task reads at most; ``pushdown``: ``true`` where the session has
 ``spark.sql.python.filterPushdown.enabled``, so that filters on
-``source_path`` and ``frame_idx`` choose files and ranges.
+``source_path`` and ``frame_idx`` choose files and ranges. Spark 4.1 keeps what
+one query pushed for later queries of the same frame, so load anew for each.
 """
 
 from __future__ import annotations
@@ -167,11 +168,7 @@ class FrameReader(DataSourceReader):
 
 class PushingReader(FrameReader):
     def pushFilters(self, filters: list[Filter]):
-        """Takes bounds of ``frame_idx`` and choices of ``source_path``.
-
-        All are handed back as well: a failed source's row has no frame number
-        and is not for the plan above to lose unseen.
-        """
+        """Bounds of ``frame_idx`` and choices of ``source_path`` decide what is planned; Spark still checks every row."""
         for f in filters:
             column = getattr(f, "attribute", None)
             if column == ("source_path",) and isinstance(f, EqualTo | In):
@@ -212,5 +209,5 @@ def read_frames(spark: SparkSession, *paths: str, height: int | None = None, fps
     executors.
     """
     spark.dataSource.register(FrameFiles)
-    given = {"path": "\n".join(paths), "height": height, "fps": fps, "pushdown": spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"), **options}
+    given = {"path": "\n".join(paths), "height": height, "fps": fps, **options}
     return spark.read.format("packed_frames").options(**{k: v for k, v in given.items() if v is not None}).load()

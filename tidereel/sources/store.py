@@ -24,22 +24,29 @@ def append(segments: DataFrame, path: str, batch: str | None = None) -> None:
     segments.select("*", F.lit(VERSION).alias("schema_version"), stamp).write.mode("overwrite").partitionBy("fingerprint").parquet(f"{path}/batch={name}")
 
 
-def load(spark: SparkSession, path: str, key: str = "source_path") -> DataFrame:
-    """The stored rows of this version (S21, O4: in the order of ``key``, if there is one); of each source and fingerprint those of the last batch."""
+def load(spark: SparkSession, path: str, key: str = "source_path", any_settings: bool = False) -> DataFrame:
+    """The stored rows of this version (S21, O4: in the order of ``key``, if there is one); of each source and fingerprint those of the last batch.
+
+    ``any_settings``: of each source those of the last batch, whatever its fingerprint.
+    """
     rows = spark.read.option("basePath", path).option("mergeSchema", True).parquet(path).where(f"schema_version = {VERSION}")
     if key in rows.columns:
-        last = rows.groupBy(F.col(key).alias("__k"), F.col("fingerprint").alias("__f")).agg(F.max(F.struct("stored_at", F.col("batch").cast("string"))).alias("__last"))
-        same = (F.col(key) == F.col("__k")) & (F.col("fingerprint") == F.col("__f")) & (F.struct("stored_at", F.col("batch").cast("string")) == F.col("__last"))
+        settings = F.lit("") if any_settings else F.col("fingerprint")
+        stamp = F.struct("stored_at", F.col("batch").cast("string"), *(["fingerprint"] if any_settings else []))
+        last = rows.groupBy(F.col(key).alias("__k"), settings.alias("__f")).agg(F.max(stamp).alias("__last"))
+        same = (F.col(key) == F.col("__k")) & (settings == F.col("__f")) & (stamp == F.col("__last"))
         rows = rows.join(last, same, "left_semi").orderBy(key)
     return rows.drop("schema_version", "stored_at", "batch")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def load_or_empty(spark: SparkSession, path: str, marks, columns: list[str]) -> DataFrame:
     """``load``, or a table of the mark columns without rows where nothing has been stored."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return load(spark, path)
-    return spark.createDataFrame([], marks)
+    return load(spark, path) if exists(spark, path) else spark.createDataFrame([], marks)
 
 
 def split_work(catalog: DataFrame, stored: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -83,6 +90,12 @@ def _clip(r, rate: str) -> str:
     )
 
 
+def text_of(spark: SparkSession, path: str) -> str:
+    """A document that ``write_timeline_xml`` wrote, put together on the driver."""
+    named = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("name"), "value")
+    return "".join(r.value for r in named.orderBy("name").toLocalIterator())
+
+
 def described(items: DataFrame, path: str = "source_path") -> DataFrame:
     """Adds the name, url, label and comment of each clip item."""
     return items.withColumns({
