@@ -63,21 +63,26 @@ def templates() -> str:
     for d in range(urls.DEPTH):
         child = f"seg[{d + 1}]" if d < urls.DEPTH - 1 else f"CASE WHEN len(seg) > {d} THEN array_to_string(seg[{d + 1}:], '/') END"
         levels.append(f"""
-c{d} AS (SELECT *, {child} AS child FROM t{d}),
-b{d} AS (SELECT host, prefix, child, sum(n) AS cn, sum(block) AS cb FROM c{d} WHERE child IS NOT NULL GROUP BY ALL),
-s{d} AS (SELECT *, (sum(cb) OVER f + 0.5::DOUBLE) / (sum(cn) OVER f + 1.0::DOUBLE) AS share FROM b{d} WINDOW f AS (PARTITION BY host, prefix)),
-k{d} AS (SELECT host, prefix, child, CASE WHEN cn = 0 THEN '-' WHEN cn >= {urls.SUPPORT} AND abs((cb + 0.5::DOUBLE) / (cn + 1.0::DOUBLE) - share) / sqrt(share * (1 - share) / greatest(cn, 1)) >= {urls.APART} THEN child ELSE '*' END AS name FROM s{d}),
-t{d + 1} AS (SELECT c.host, c.shape, c.n, c.block, c.seg, CASE WHEN name IS NULL THEN c.prefix ELSE c.prefix || '/' || name END AS prefix
-  FROM c{d} c LEFT JOIN k{d} k ON c.host = k.host AND c.prefix = k.prefix AND c.child = k.child),""")
+b{d} AS (
+  SELECT *, {child} AS child, (sum(block) OVER node + {urls.PRIOR}::DOUBLE * up) / (sum(n) OVER node + {urls.PRIOR}::DOUBLE) AS share,
+    sum(block) OVER branch AS cb, sum(n) OVER branch AS cn,
+    (sum(block) FILTER ({child} IS NOT NULL) OVER node + 0.5::DOUBLE) / (sum(n) FILTER ({child} IS NOT NULL) OVER node + 1.0::DOUBLE) AS beside
+  FROM t{d} WINDOW node AS (PARTITION BY host, prefix), branch AS (PARTITION BY host, prefix, {child})),
+t{d + 1} AS (
+  SELECT host, shape, n, block, seg, CASE WHEN child IS NULL THEN up ELSE share END AS up, CASE WHEN child IS NULL THEN prefix
+    WHEN cn >= {urls.SUPPORT} AND abs((cb + 0.5::DOUBLE) / (cn + 1.0::DOUBLE) - beside) / sqrt(beside * (1 - beside) / greatest(cn, 1)) >= {urls.APART} THEN prefix || '/' || child
+    ELSE prefix || '/*' END AS prefix
+  FROM b{d}),""")
     last = f"t{urls.DEPTH}"
     return f"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 x AS (SELECT *, {case(1)} AS rule, {case(2)} AS ruled, regexp_replace(path, '[0-9]+', '<n>', 'g') AS shape FROM p),
-t0 AS (SELECT host, shape, count(ruled) AS n, count(*) FILTER (ruled = 'block') AS block, string_split(regexp_replace(shape, '^/', ''), '/') AS seg, '' AS prefix FROM x GROUP BY host, shape),{"".join(levels)}
-judged AS (SELECT host, prefix, (sum(block) + {urls.PRIOR / 2}::DOUBLE) / (sum(n) + {urls.PRIOR}::DOUBLE) AS purity FROM {last} GROUP BY host, prefix)
+s AS (SELECT host, shape, count(ruled) AS n, count(*) FILTER (ruled = 'block') AS block FROM x GROUP BY host, shape),
+t0 AS (SELECT *, string_split(regexp_replace(shape, '^/', ''), '/') AS seg, '' AS prefix, 0.5::DOUBLE AS up FROM s),{"".join(levels)}
+judged AS (SELECT host, shape, prefix, (sum(block) OVER f + {urls.PRIOR}::DOUBLE * up) / (sum(n) OVER f + {urls.PRIOR}::DOUBLE) AS purity FROM {last} WINDOW f AS (PARTITION BY host, prefix))
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= {urls.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, prefix AS template, round(purity, 9) AS purity
-FROM x JOIN (SELECT host, shape, prefix, purity FROM {last} JOIN judged USING (host, prefix)) USING (host, shape)"""
+FROM x JOIN judged USING (host, shape)"""
 
 
 def audit() -> str:
