@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidereel.operators import folds
+from tidereel.operators import folds, ranges
 
 KINDS = [folds.MOVE, folds.SUBJECT, folds.SLOW, folds.STATIC]
 
@@ -90,7 +90,7 @@ def test_runs_over_ranges(spark, ranges, steady):
 def test_no_task_reads_a_whole_source(spark):
     """A source with nine tenths of all rows lies in many ranges of about the same size."""
     df = spark.range(20_000).selectExpr("if(id % 10 = 0, concat('s', id % 70), 'hot') k", "id pos", "cast(id as double) start_seconds", "id + 1.0d end_seconds", "if(id % 700 < 350, 'GimbalMove', 'Static') kind", "1L windows")
-    sizes = sorted(folds._ranged(df, "k", ["start_seconds", "pos"], 16).groupBy("__range").count().toPandas()["count"])
+    sizes = sorted(ranges.ranged(df, "k", ["start_seconds", "pos"], 16).groupBy("__range").count().toPandas()["count"])
     assert len(sizes) > 12 and sizes[-1] < 2 * sizes[len(sizes) // 2]
     assert folds.smooth_and_merge(df.where("false"), "k").count() == 0
 
@@ -99,3 +99,52 @@ def test_null_source_has_its_own_runs(spark):
     rows = [(None, k, k * 1.0, k + 1.0, "A", 2) for k in range(5)] + [("a", k, k * 1.0, k + 1.0, "A", 2) for k in range(5)]
     df = spark.createDataFrame(rows, "k string, pos long, start_seconds double, end_seconds double, kind string, windows long")
     assert {(r.k, r.run) for r in folds.smooth_and_merge(df, "k", 4).collect()} == {(None, 0), ("a", 0)}
+
+
+def test_numbers_chunks_and_islands_over_ranges(spark):
+    """Against sequential code, with a source that has most rows, a null one, ties, and chunks shorter than a window."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot"] * 8 + ["a", None]), rng.randrange(400) / 4.0, rng.randrange(1, 30) / 4.0, k, rng.choice([None, 0.0, 1.0, 2.0])) for k in range(1500)]
+    df = spark.createDataFrame([(k, s, s + e, p, v) for k, s, e, p, v in rows], "k string, s double, e double, pos long, v double")
+    by = {k: sorted((r for r in df.collect() if r.k == k), key=lambda r: (r.s, r.e, r.pos)) for k in {r[0] for r in rows}}
+    got = ranges.numbered(df, "k", ["s", "e", "pos"], 9).collect()
+    assert {(r.k, r.pos): (r.i, r.n) for r in got} == {(k, r.pos): (i, len(own)) for k, own in by.items() for i, r in enumerate(own, 1)}
+    cut = ranges.chunked(df, "k", ["s", "e", "pos"], 11, 40, 9).collect()
+    assert {(r.k, r.i, r.part, r.own) for r in cut} == {(k, i, (i - 1) // 40 + more, not more) for k, own in by.items() for i in range(1, len(own) + 1) for more in (0, 1) if not more or (i - 1) % 40 >= 29}
+    want = {}
+    for k, own in by.items():
+        top, island = None, 0
+        for r in own:
+            island += top is None or r.s > top
+            top = r.e if top is None else max(top, r.e)
+            want[k, r.pos] = island
+    assert {(r.k, r.pos): r.island for r in ranges.islands(df, "k", "s", "e", "pos", 9).collect()} == want
+    assert ranges.islands(df.where("false"), "k", "s", "e", "pos").count() == 0
+
+
+def test_windows_in_chunks(spark, monkeypatch):
+    """Means, centres, dominant labels and the order statistic of a long source, cut into short chunks."""
+    from tidereel.operators import windows
+
+    monkeypatch.setattr(windows, "_chunks", lambda df, key, order, rows: ranges.chunked(df, key, order, rows - 1, 20, 5))
+    rng = random.Random(6)
+    rows = [("hot" if k % 9 else f"s{k % 4}", k, rng.choice("xyz"), rng.choice([None, -1.0, 0.0, 1.0, 2.0, 3.0])) for k in range(600)]
+    df = spark.createDataFrame(rows, "k string, t long, label string, v double")
+    want_means, want_best, want_centre = {}, {}, {}
+    for k in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == k]
+        for w, at in enumerate(range(12, len(own) + 1, 3)):
+            window = own[at - 12 : at]
+            values = [r[3] for r in window if r[3] is not None]
+            want_means[k, w] = round(sum(values) / len(values), 6) if values else 0.0
+            top = max(values, default=0.0)
+            want_best[k, w] = next(r[2] for r in window if r[3] == top) if top > 0 else "none"
+            want_centre[k, w] = window[6][1]
+    assert {(r.k, r.window_idx): round(r.mean_v, 6) for r in windows.hop_means(df, "k", ["t"], ["v"]).collect()} == want_means
+    assert {(r.k, r.window_idx): r.dominant for r in windows.dominant(df, "k", ["t"], "label", "v", "none").collect()} == want_best
+    assert {(r.k, r.window_idx): r.centre for r in windows.centre_rows(df, "k", ["t"], "t").collect()} == want_centre
+    low = {k: sorted(r[3] for r in rows if r[0] == k and r[3] is not None) for k in {r[0] for r in rows}}
+    got = {r.k: r.baseline for r in windows.auto_threshold(df, "k", "v").collect()}
+    assert got == {k: min(v[len(v) * 10 // 100], 1.2) for k, v in low.items()}
+    bare = windows.auto_threshold(spark.createDataFrame([("a", None)], "k string, v double"), "k", "v").first()
+    assert (bare.baseline, bare.threshold) == (0.5, 1.25)

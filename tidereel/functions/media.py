@@ -115,7 +115,21 @@ def cache_key(path: Column) -> Column:
     return F.concat(F.substring(F.regexp_replace(base_name(path), "[^A-Za-z0-9._-]", ""), 1, 48), F.lit("-"), F.substring(F.sha2(path, 256), 1, 16))
 
 
-def person_score(rows: Column) -> Column:
-    """A10 on rows of attributes: class column 4, or objectness times class where a row has 6 or at least 85; the largest, not under 0."""
-    one = lambda a: F.when(F.size(a) < 5, F.lit(None)).when((F.size(a) == 6) | (F.size(a) >= 85), F.get(a, F.lit(4)) * F.get(a, F.lit(5))).otherwise(F.get(a, F.lit(4)))
-    return F.greatest(F.array_max(F.transform(rows, one)), F.lit(0.0))
+def person_score(matrix: Column) -> Column:
+    """A10 on an array of equally long rows: the best person, not under 0; null without five attributes.
+
+    Attributes lie along the shorter axis if both have five or more, else along
+    the rows if they are five or more, else along the columns. With 6 or at
+    least 85 of them objectness counts times class, else column 4 alone.
+    """
+    rows, columns = F.size(matrix), F.coalesce(F.size(F.get(matrix, F.lit(0))), F.lit(0))
+    by_rows = F.when((rows >= 5) & (columns >= 5), rows < columns).otherwise(rows >= 5)
+    n = F.when(by_rows, rows).otherwise(columns)
+    line = lambda k: F.when(by_rows, F.get(matrix, F.lit(k))).otherwise(F.transform(matrix, lambda r: F.get(r, F.lit(k))))
+    scores = F.when((n == 6) | (n >= 85), F.zip_with(line(4), line(5), lambda a, b: a * b)).otherwise(line(4))
+    return F.when(n >= 5, F.greatest(F.array_max(scores), F.lit(0.0)))
+
+
+def distinct_lines(text: Column) -> Column:
+    """The trimmed lines that aren't empty, each once, in order."""
+    return F.array_distinct(F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != ""))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .layout import durable
+from .ranges import ranged as _ranged
 
 SLOW, MOVE, SUBJECT, STATIC = "SlowMotion", "GimbalMove", "StaticSubject", "Static"
 #: Thresholds of the classifier's two states, of smoothing and of merging: fixed values.
@@ -38,13 +38,6 @@ def _schema(df: DataFrame, more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), more])
 
 
-def _ranged(df: DataFrame, key: str, order: list[str], ranges: int | None) -> DataFrame:
-    """``df`` in sorted ranges, with the number of the range as ``__range``; one row is in one range however often it is read."""
-    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(ranges, key, *order).sortWithinPartitions(key, *order)
-    return durable(cut.withColumn("__range", F.spark_partition_id()))
-
-
 def _lists(batch: pa.RecordBatch | pa.Table, names: tuple) -> list[list]:
     return [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names]
 

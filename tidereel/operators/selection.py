@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .folds import MOVE, SLOW, STATIC, SUBJECT, movement_rank
+from .ranges import islands
 
 #: Seconds, scores and counts of the rules: fixed values.
 EDGE, EDGE_LONGEST, JERK_LONGEST, TAIL_LONGEST, TAIL_START = 1.5, 3.2, 2.4, 3.2, 3.6
@@ -103,10 +104,7 @@ def edge_noise(segments: DataFrame) -> DataFrame:
 def coalesce_overlaps(segments: DataFrame, key: str) -> DataFrame:
     """Touching or overlapping segments of a source become one."""
     order = ["start_seconds", "end_seconds", "pos"]
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    flagged = segments.withColumn("__top", F.max("end_seconds").over(before))
-    fresh = F.when(c("__top").isNull() | (c("start_seconds") > c("__top")), 1).otherwise(0)
-    isles = flagged.withColumn("__new", fresh).withColumn("island", F.sum("__new").over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    isles = islands(segments, key, *order)
     w = c("windows")
     kind = F.when(F.count("*") == 1, F.min("kind")).when(F.bool_or(c("kind") == SLOW), SLOW).when(F.bool_or(c("person").isNotNull()), SUBJECT).otherwise(MOVE)
     out = isles.groupBy(key, "island").agg(

@@ -234,10 +234,19 @@ def rate_parse(spark, d):
     return p.select("p_partkey", num.alias("num"), den.alias("den"), base.alias("timebase"), drop.alias("ntsc"), media.duration_frames(c("p_size").cast("double"), num, den).alias("frames"), cap.alias("capture"), media.slow_motion(cap, form, num / den, F.lit(False)).alias("slow"))
 
 
+#: Rows of the detector's output that stands in each vector, in turn by id: both orientations, with and without objectness, and one without attributes.
+HEADS = (8, 4, 16, 11, 6, 64)
+
+
 def person_head(spark, d):
+    """A10: each vector, filled up with zeros, as an output tensor of one of several shapes."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    rows = F.transform(F.sequence(F.lit(0), F.ceil(F.size("embedding") / 6).cast("int") - 1), lambda i: F.slice("embedding", i * 6 + 1, F.lit(6)))
-    return e.select("vec_id", F.round(media.person_score(rows).cast("double"), 5).alias("person"))
+    rows = F.element_at(F.array(*map(F.lit, HEADS)), (c("vec_id") % len(HEADS) + 1).cast("int"))
+    wide = F.ceil(F.size("embedding") / rows).cast("int")
+    filled = F.concat(c("embedding").cast("array<double>"), F.array_repeat(F.lit(0.0), rows * wide - F.size("embedding")))
+    matrix = F.transform(F.sequence(F.lit(0), rows - 1), lambda i: F.slice(filled, i * wide + 1, wide))
+    few = F.when(c("vec_id") % 7 == 0, F.transform(F.slice(matrix, 1, 4), lambda r: F.slice(r, 1, 4))).otherwise(matrix)  # too small a tensor
+    return e.select("vec_id", F.round(media.person_score(few), 5).alias("person"))
 
 
 def ext_filter(spark, d):
@@ -288,7 +297,14 @@ ORACLES = {
     "labels": f"WITH {SEG} SELECT user_id, pos, CASE kind WHEN 'GimbalMove' THEN 4 WHEN 'StaticSubject' THEN 1 WHEN 'SlowMotion' THEN 5 ELSE 2 END::BIGINT AS label, printf('%02dm%02ds', start_seconds::BIGINT // 60, start_seconds::BIGINT % 60) AS at, round(end_seconds * 24)::BIGINT AS frame, {NAMED('text')} AS text, {NAMED('colour')} AS colour, 'Selects: ' || {NAMED('text')} || ' | source in ' || printf('%02dm%02ds', start_seconds::BIGINT // 60, start_seconds::BIGINT % 60) || ' out ' || printf('%02dm%02ds', round(end_seconds)::BIGINT // 60, round(end_seconds)::BIGINT % 60) || ' | duration ' || printf('%.2f', end_seconds - start_seconds) || 's' AS comment FROM g",
     "path_url": f"SELECT page_id, 'file://localhost/' || list_aggregate(list_transform(string_split(url, '/'), lambda x: {ENC.format('x')}), 'string_agg', '/') AS file_url, substr(regexp_replace(string_split(url, '/')[-1], '[^A-Za-z0-9._-]', '', 'g'), 1, 48) || '-' || substr(sha256(url), 1, 16) AS cache_key, string_split(url, '/')[-1] AS base FROM pages",
     "rate_parse": "WITH t AS (SELECT p_partkey, p_size, CASE p_partkey % 7 WHEN 0 THEN 30000 WHEN 1 THEN 25 WHEN 3 THEN 24000 WHEN 4 THEN 60000 WHEN 5 THEN 50 END::BIGINT AS num, CASE p_partkey % 7 WHEN 0 THEN 1001 WHEN 1 THEN 1 WHEN 3 THEN 1001 WHEN 4 THEN 1001 WHEN 5 THEN 2 END::BIGINT AS den FROM part) SELECT p_partkey, num, den, CASE WHEN num IS NULL THEN 1 WHEN den = 1001 THEN num // 1000 WHEN den = 1 THEN num ELSE 25 END::BIGINT AS timebase, den = 1001 AS ntsc, greatest(round(p_size::DOUBLE * num / den), 0)::BIGINT AS frames, p_size::BIGINT AS capture, p_size >= 50 AS slow FROM t",
-    "person_head": "SELECT vec_id, round(greatest(list_max(list_transform(range(0, (len(embedding) + 5) // 6), lambda i: CASE WHEN i * 6 + 6 <= len(embedding) THEN embedding[i * 6 + 5] * embedding[i * 6 + 6] WHEN i * 6 + 5 <= len(embedding) THEN embedding[i * 6 + 5] END)), 0)::DOUBLE, 5) AS person FROM embeddings",
+    "person_head": """
+WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS e, [8, 4, 16, 11, 6, 64][vec_id % 6 + 1] AS r FROM embeddings),
+w AS (SELECT *, (len(e) + r - 1) // r AS c FROM s),
+o AS (SELECT *, CASE WHEN vec_id % 7 = 0 THEN least(r, 4) ELSE r END AS rows, CASE WHEN vec_id % 7 = 0 THEN least(c, 4) ELSE c END AS cols FROM w),
+t AS (SELECT *, CASE WHEN rows >= 5 AND cols >= 5 THEN rows < cols ELSE rows >= 5 END AS lying FROM o),
+a AS (SELECT *, CASE WHEN lying THEN rows ELSE cols END AS n, unnest(range(CASE WHEN lying THEN cols ELSE rows END)) AS k FROM t),
+v AS (SELECT vec_id, n, coalesce(e[CASE WHEN lying THEN 4 * c + k ELSE k * c + 4 END + 1], 0) AS x, coalesce(e[CASE WHEN lying THEN 5 * c + k ELSE k * c + 5 END + 1], 0) AS y FROM a)
+SELECT vec_id, CASE WHEN min(n) >= 5 THEN round(greatest(max(CASE WHEN n = 6 OR n >= 85 THEN x * y ELSE x END), 0), 5) END AS person FROM v GROUP BY vec_id""",
     "ext_filter": "SELECT page_id, coalesce(contains(string_split(url, '/')[-1], '.') AND lower(string_split(url, '.')[-1]) IN ('html', 'htm', 'mov'), false) AS wanted, 'htm,html,mov' AS exts FROM pages",
     "affine_lsq": "WITH l AS (SELECT l_suppkey, l_quantity::DOUBLE AS x, l_discount::DOUBLE AS y, l_extendedprice::DOUBLE AS v FROM lineitem), m AS (SELECT l_suppkey, count(*) AS n, covar_pop(x, x) AS a, covar_pop(y, y) AS b, covar_pop(x, y) AS ab, covar_pop(x, v) AS av, covar_pop(y, v) AS bv FROM l GROUP BY 1) SELECT l_suppkey, n, round((av * b - bv * ab) / (a * b - ab * ab), 4) AS ax, round((bv * a - av * ab) / (a * b - ab * ab), 4) AS ay FROM m WHERE n > 2 AND a * b - ab * ab > 1e-9",
 }
