@@ -120,3 +120,54 @@ def test_continuous_run(spark, tmp_path):
     assert go() == 1
     spark.createDataFrame([("b", 1.0), ("c", 2.0)], "source string, v double").write.mode("append").parquet(f"{tmp_path}/in")
     assert go() == 3
+
+
+def one_by_one(pos, d, w, h):
+    """The robust fit with its triples solved and judged in turn."""
+    from itertools import combinations, islice
+
+    a = np.column_stack([np.ones(len(pos)), pos])
+
+    def judged(rows):
+        g = a[rows].T @ a[rows]
+        if np.linalg.matrix_rank(g, tol=1e-6) < 3:
+            return None
+        m = np.linalg.solve(g, a[rows].T @ d[rows])
+        r = np.hypot(*(d - a @ m).T)
+        return (m, r <= 1.5, int((r <= 1.5).sum()), float(r[r <= 1.5].mean()) if (r <= 1.5).any() else 0.0)
+
+    best = judged(np.arange(len(pos)))
+    best = best if best and best[2] else None
+    far = (pos**2).sum(1)
+    quarter = [(p[0] >= 0) + 2 * (p[1] >= 0) for p in pos]
+    lead = [max((i for i in range(len(pos)) if quarter[i] == q), key=lambda i: (far[i], i)) for q in range(4) if q in quarter]
+    seeds = [*lead, *(i for i in sorted(range(len(pos)), key=lambda i: (-far[i], i)) if i not in lead)][:16]
+    for t in islice(combinations(seeds, 3), 200):
+        (ux, uy), (vx, vy) = pos[t[1]] - pos[t[0]], pos[t[2]] - pos[t[0]]
+        if abs(ux * vy - uy * vx) / 2 < 10:
+            continue
+        new = judged(list(t))
+        if new and new[2] and (best is None or new[2] > best[2] or (new[2] == best[2] and new[3] + 1e-4 < best[3])):
+            best = new
+    if best is None or best[2] < 10 or (np.ptp(pos[best[1]], axis=0) < 0.25 * np.array([w, h])).any():
+        return None
+    m = judged(np.flatnonzero(best[1]))[0]
+    r = np.hypot(*(d - a @ m).T)[best[1]]
+    return (m, int((r <= 1.5).sum())) if (r <= 1.5).sum() >= 10 else None
+
+
+def test_fits_together_equal_fits_one_by_one():
+    w, h = 256, 144
+    grid = motion.patch_centres(w, h) - np.array([(w - 1) / 2, (h - 1) / 2])
+    rng, found = np.random.default_rng(8), 0
+    for share in (0.2, 0.6, 1.0) * 12:
+        pos = grid[rng.random(len(grid)) < share]
+        d = np.round(pos @ rng.normal(0, 0.03, (2, 2)) + rng.normal(0, 4, 2) + rng.normal(0, 0.4, pos.shape))
+        off = rng.random(len(pos)) < rng.choice([0.0, 0.4])
+        d[off] = rng.integers(-10, 11, (off.sum(), 2))
+        got, want = motion.fit_affine(pos, d, w, h), one_by_one(pos, d, w, h)
+        assert (got is None) == (want is None)
+        if want is not None:
+            found += 1
+            assert got[1] == want[1] and np.allclose(got[0], want[0], atol=1e-8)
+    assert found > 20 and motion.fit_affine(grid[:0], grid[:0], w, h) is None

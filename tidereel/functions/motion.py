@@ -82,49 +82,68 @@ def patch_shifts(one: np.ndarray, two: np.ndarray, centres: np.ndarray) -> np.nd
     return shift
 
 
-def _solve(a: np.ndarray, d: np.ndarray) -> np.ndarray | None:
-    """Both three-parameter fits share one matrix, eliminated with partial pivots; none if a pivot is too small."""
-    gram, out = a.T @ a, a.T @ d
-    for k in range(len(gram)):
-        best = k + int(np.abs(gram[k:, k]).argmax())
-        if abs(gram[best, k]) < LEAST_PIVOT:
-            return None
-        gram[[k, best]], out[[k, best]] = gram[[best, k]], out[[best, k]]
-        pivot = gram[k, k]
-        gram[k], out[k] = gram[k] / pivot, out[k] / pivot
-        factor = gram[:, k].copy()
-        factor[k] = 0
-        gram, out = gram - np.outer(factor, gram[k]), out - np.outer(factor, out[k])
-    return out
+def _solve(gram: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Many 3 x 3 systems at once by elimination with partial pivots; also which have no pivot that is too small."""
+    gram, out, each = gram.copy(), right.copy(), np.arange(len(gram))
+    sound = np.ones(len(gram), bool)
+    for k in range(gram.shape[1]):
+        best = k + np.abs(gram[:, k:, k]).argmax(1)
+        for x in (gram, out):
+            x[each, k], x[each, best] = x[each, best].copy(), x[each, k].copy()
+        pivot = gram[:, k, k]
+        sound &= np.abs(pivot) >= LEAST_PIVOT
+        pivot = np.where(sound, pivot, 1.0)[:, None]
+        gram[:, k], out[:, k] = gram[:, k] / pivot, out[:, k] / pivot
+        factor = gram[:, :, k].copy()
+        factor[:, k] = 0
+        gram, out = gram - factor[:, :, None] * gram[:, None, k], out - factor[:, :, None] * out[:, None, k]
+    return out, sound
+
+
+def _fits(a: np.ndarray, d: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Models of groups of rows, both fits of a group sharing one matrix."""
+    own, to = a[groups], d[groups]
+    turned = own.transpose(0, 2, 1)
+    return _solve(turned @ own, turned @ to)
 
 
 def fit_affine(pos: np.ndarray, d: np.ndarray, w: int, h: int) -> tuple[np.ndarray, int, float] | None:
-    """V3: parameters (3 x 2: shift, by x, by y), inliers and their mean residual; ``pos`` is relative to the centre."""
+    """V3: parameters (3 x 2: shift, by x, by y), inliers and their mean residual; ``pos`` is relative to the centre.
+
+    The model of all rows and those of all triples of seeds are solved and
+    judged together; the first of the best stays.
+    """
     if not len(pos):
         return None
     a = np.column_stack([np.ones(len(pos)), pos])
-
-    def judged(m):
-        if m is None:
-            return None
-        r = np.hypot(*(d - a @ m).T)
-        ok = r <= TOLERANCE
-        return (m, ok, int(ok.sum()), float(r[ok].mean())) if ok.any() else None
-
-    best = judged(_solve(a, d))
     far = (pos**2).sum(1)
     quarter = (pos[:, 0] >= 0) + 2 * (pos[:, 1] >= 0)
     lead = [int(np.flatnonzero(quarter == q)[::-1][far[quarter == q][::-1].argmax()]) for q in range(4) if (quarter == q).any()]
     seeds = [*lead, *(i for i in np.argsort(-far, kind="stable").tolist() if i not in lead)][:SEEDS]
-    for t in islice(combinations(seeds, 3), TRIPLES):
-        (ux, uy), (vx, vy) = pos[t[1]] - pos[t[0]], pos[t[2]] - pos[t[0]]
-        if abs(ux * vy - uy * vx) / 2 >= LEAST_AREA and (found := judged(_solve(a[list(t)], d[list(t)]))) and (best is None or found[2] > best[2] or (found[2] == best[2] and found[3] + 1e-4 < best[3])):
-            best = found
-    if best is None or best[2] < LEAST_INLIERS or (np.ptp(pos[best[1]], axis=0) < SPREAD * np.array([w, h])).any():
+    triples = np.array(list(islice(combinations(seeds, 3), TRIPLES)), np.int64).reshape(-1, 3)
+    one, two = pos[triples[:, 1]] - pos[triples[:, 0]], pos[triples[:, 2]] - pos[triples[:, 0]]
+    triples = triples[np.abs(one[:, 0] * two[:, 1] - one[:, 1] * two[:, 0]) / 2 >= LEAST_AREA]
+    models, sound = (np.concatenate(x) for x in zip(_fits(a, d, np.arange(len(pos))[None]), _fits(a, d, triples), strict=True))
+    models = models[sound]
+    if not len(models):
+        return None
+    left = d - a @ models
+    left = np.hypot(left[..., 0], left[..., 1])
+    inside = left <= TOLERANCE
+    count = inside.sum(1)
+    mean = (left * inside).sum(1) / np.maximum(count, 1)
+    best = None
+    for k, (n, r) in enumerate(zip(count.tolist(), mean.tolist(), strict=True)):
+        if n and (best is None or n > best[1] or (n == best[1] and r + 1e-4 < best[2])):
+            best = (k, n, r)
+    if best is None or best[1] < LEAST_INLIERS:
+        return None
+    model, ok = models[best[0]], inside[best[0]]
+    if (np.ptp(pos[ok], axis=0) < SPREAD * np.array([w, h])).any():
         return None
-    m = _solve(a[best[1]], d[best[1]])
-    m = best[0] if m is None else m
-    left = np.hypot(*(d - a @ m).T)[best[1]]
+    again, sound = _fits(a, d, np.flatnonzero(ok)[None])
+    m = again[0] if sound[0] else model
+    left = np.hypot(*(d - a @ m).T)[ok]
     left = left[left <= TOLERANCE]  # those that the refined model still explains
     return (m, len(left), float(left.mean())) if len(left) >= LEAST_INLIERS else None
 
