@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidereel.functions import media, motion
 from tidereel.operators import folds, layout, selection, windows
 from tidereel.sources import catalog, frame_files, frames, store
 
+from .progress import Progress
 from .settings import Settings
 
 c = F.col
@@ -97,31 +98,55 @@ def analyse(pairs: DataFrame, sources: DataFrame, settings: Settings, people: Da
 PROBED = ["width", "height", "duration_seconds", "duration_frames", "timebase", "ntsc", "slow_motion"]
 
 
-def resume(pairs: DataFrame | Callable[[DataFrame], DataFrame], sources: DataFrame, settings: Settings, path: str, people: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Analyses what the store lacks, stores it, and gives all selects and one row of counts.
+def resume(pairs: DataFrame | Callable[[DataFrame], DataFrame], sources: DataFrame, settings: Settings, path: str, people: DataFrame | None = None, progress: Progress | None = None, slices: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Analyses what the store lacks, stores it, and gives all selects and one row of counts.
 
     ``sources(source_path, mtime, size, width, height, duration_seconds,
     duration_frames, timebase, ntsc, slow_motion[, error])``; rows with an
     error count as failed and are left out. ``pairs`` may be a function that
-    gives the pair scores of the sources that are left to analyse.
+    gives the pair scores of the sources that are left to analyse. ``slices``:
+    how many commits the analysis is cut into, by a hash of the path; a run
+    that ends early keeps those that are done.
     """
-    spark, marks = sources.sparkSession, ["source_path", "size", "mtime", "fingerprint"]
-    sources = sources.withColumn("fingerprint", F.lit(settings.fingerprint))
+    spark, marks, mark = sources.sparkSession, ["source_path", "size", "mtime", "fingerprint"], settings.fingerprint
+    progress = progress or Progress(spark)
+    sources = sources.withColumn("fingerprint", F.lit(mark))
     good = sources.where(c("error").isNull()) if "error" in sources.columns else sources
-    stored = store.load_or_empty(spark, path, good.select(*marks).schema, SEGMENT)
+    stored = store.load_or_empty(spark, path, good.select(*marks).schema, mark)
     hit, miss = store.split_work(good, stored, marks)
-    scored = pairs(miss) if callable(pairs) else pairs.join(miss.select("source_path"), "source_path", "left_semi")
-    fresh = analyse(scored, miss, settings, people)
-    fresh = fresh.join(miss.select(*marks, *PROBED), "source_path")
-    if not miss.isEmpty():  # each of these has a row at least; a run without any adds no batch
-        store.append(fresh, path)
-    rows = (store.load(spark, path) if store.exists(spark, path) else fresh).join(good.select(*marks), marks, "left_semi").select(*SEGMENT)
-    chosen = selects(rows, good)
+
+    def analysed(part: DataFrame) -> DataFrame:
+        scored = pairs(part) if callable(pairs) else pairs.join(part.select("source_path"), "source_path", "left_semi")
+        return analyse(scored, part, settings, people).join(part.select(*marks, *PROBED), "source_path")
+
+    with progress.phase("analyse") as counts:
+        counts.update(slices=0, segments=0)
+        for k in range(slices):
+            part = miss.where(F.pmod(F.xxhash64("source_path"), F.lit(slices)) == k) if slices > 1 else miss
+            if part.isEmpty():  # each source has a row at least; a slice without any adds no batch
+                continue
+            with progress.phase(f"slice {k + 1} of {slices}") as own:
+                seen = Observation()
+                store.append(analysed(part).observe(seen, F.count("*").alias("segments")), path, before=progress.check)
+                own["segments"] = seen.get["segments"]
+            counts.update(slices=counts["slices"] + 1, segments=counts["segments"] + own["segments"])
+    kept = store.load(spark, path, fingerprint=mark) if store.exists(spark, path, mark) else analysed(miss)
+    chosen = selects(kept.join(good.select(*marks), marks, "left_semi").select(*SEGMENT), good)
+    progress.outcomes(outcomes(sources, hit, chosen))
     counts = chosen.agg(F.count("*").alias("exported"))
     tally = sources.agg(F.count("*").alias("scanned")).crossJoin(good.agg(F.count("*").alias("analysed"))).crossJoin(hit.agg(F.count("*").alias("reused"))).crossJoin(counts)  # one row each
     return chosen, tally.select("scanned", "analysed", "reused", (c("scanned") - c("analysed")).alias("failed"), "exported")
 
 
+def outcomes(sources: DataFrame, hit: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Of each source whether it succeeded, its error, its number of segments and whether they were in the store before (K9)."""
+    error = c("error") if "error" in sources.columns else F.lit(None)
+    known = sources.select("source_path", error.cast("string").alias("error"))
+    parts = chosen.groupBy("source_path").agg(F.count("*").alias("segments"))
+    t = known.join(parts, "source_path", "left").join(hit.select("source_path", F.lit(True).alias("held")), "source_path", "left")
+    return t.select("source_path", c("error").isNull().alias("ok"), "error", F.coalesce("segments", F.lit(0).cast("long")).alias("segments"), F.coalesce("held", F.lit(False)).alias("from_store"))
+
+
 def sequence_format(chosen: DataFrame, sources: DataFrame) -> tuple[int, bool, int, int]:
     """Timebase, drop rate, width and height of the sequence; without any clip 25 frames a second and 1920 x 1080."""
     clips = sources.join(chosen.select("source_path").distinct(), "source_path", "left_semi")
@@ -150,19 +175,28 @@ def export(chosen: DataFrame, sources: DataFrame, path: str, name: str = "Timeli
 NOTHING = {"scanned": 0, "analysed": 0, "reused": 0, "failed": 0, "exported": 0}
 
 
-def run_folder(spark: SparkSession, folder: str, extensions: str, settings: Settings, stored: str, xml: str, pairs: Callable[[DataFrame], DataFrame], prober=catalog.PROBER) -> dict:
+def run_folder(
+    spark: SparkSession, folder: str, extensions: str, settings: Settings, stored: str, xml: str, pairs: Callable[[DataFrame], DataFrame], prober=catalog.PROBER, progress: Progress | None = None, slices: int = 1
+) -> dict:
     """From a folder of files to the XML: catalog, probe, analysis of what the store lacks, selection, layout, export.
 
     ``pairs`` gives the pair scores of sources; see ``packed_pairs``. Gives the
     summary (K10). No file at all leaves no XML; where all files fail it has no
-    clip. A file that fails is counted and doesn't end the run.
+    clip. A file that fails is counted and doesn't end the run. ``progress``
+    keeps the events of the run and can cancel it; see ``resume`` for ``slices``.
     """
-    sources = layout.durable(catalog.sources(spark, folder, extensions, prober))
-    if sources.isEmpty():
+    progress = progress or Progress(spark)
+    with progress.phase("scan") as counts:
+        seen = Observation()
+        sources = layout.durable(catalog.sources(spark, folder, extensions, prober).observe(seen, F.count("*").alias("scanned"), F.count("error").alias("failed")))
+        counts.update(seen.get)
+    if not counts["scanned"]:
         return dict(NOTHING)
-    chosen, counts = resume(pairs, sources, settings, stored)
-    export(chosen, sources.where(c("error").isNull()), xml)
-    return counts.first().asDict()
+    chosen, tally = resume(pairs, sources, settings, stored, None, progress, slices)
+    with progress.phase("export") as counts:
+        export(chosen, sources.where(c("error").isNull()), xml)
+        counts.update(tally.first().asDict())
+    return dict(counts)
 
 
 def packed_pairs(settings: Settings, **options) -> Callable[[DataFrame], DataFrame]:

@@ -1,52 +1,186 @@
-"""Result store and timeline export: K1-K7, S21, J1, F9, O4."""
+"""Result store and timeline export: K1-K7, S21, J1, F9, O4.
+
+A store is a folder of data folders and one of numbered manifests. A manifest
+names the data folders of a snapshot in the order of their commits, so a
+reader sees all of a batch or none of it, and no file that is read is ever
+written again. Batches are merged by ``compact`` and removed by ``vacuum``.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field
+from urllib.parse import unquote
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidereel.functions import media
 
+from . import files
+
 VERSION = 1
 
 
-def append(segments: DataFrame, path: str, batch: str | None = None) -> None:
+@dataclass(frozen=True)
+class Snapshot:
+    """``folders``: name, number of the commit and fingerprints of each data folder; ``streams``: the last batch number of each stream."""
+
+    number: int = 0
+    folders: tuple[dict, ...] = ()
+    streams: dict[str, int] = field(default_factory=dict)
+
+
+def _manifest(path: str, number: int) -> str:
+    return f"{path}/_snapshots/{number:012d}.json"
+
+
+def snapshots(spark: SparkSession, path: str) -> list[int]:
+    return [int(n.split(".")[0]) for n in files.names(spark, f"{path}/_snapshots") if not n.startswith(".")]
+
+
+def snapshot(spark: SparkSession, path: str, number: int | None = None) -> Snapshot:
+    """A snapshot by its number, or the last one; without any an empty one of number 0."""
+    number = number or max(snapshots(spark, path), default=0)
+    if not number:
+        return Snapshot()
+    known = json.loads(files.read(spark, _manifest(path, number)))
+    return Snapshot(known["number"], tuple(known["folders"]), known["streams"])
+
+
+def _commit(spark: SparkSession, path: str, change: Callable[[Snapshot], Snapshot | None]) -> Snapshot:
+    """Writes what ``change`` makes of the last snapshot under the next number, and starts again from a newer one where another writer was first; None: nothing to do."""
+    while True:
+        now = snapshot(spark, path)
+        then = change(now)
+        if then is None or files.write_new(spark, _manifest(path, then.number), json.dumps(asdict(then))):
+            return then or now
+
+
+def _write(rows: DataFrame, path: str) -> tuple[str, list[str]]:
+    """A new data folder, not yet part of the store, and its fingerprints."""
+    name, spark = uuid.uuid4().hex, rows.sparkSession
+    rows.write.partitionBy("fingerprint").parquet(f"{path}/data/folder={name}")
+    made = files.names(spark, f"{path}/data/folder={name}")
+    return name, [unquote(m.removeprefix("fingerprint=")) for m in made if m.startswith("fingerprint=")]
+
+
+def append(segments: DataFrame, path: str, stream: str | None = None, batch: int = 0, before: Callable[[], None] | None = None) -> Snapshot:
     """Whole segment rows, with ``fingerprint``; so a resumed run equals a fresh one.
 
-    The rows of one ``batch`` are a folder of their own that a retry writes
-    over; without a name each call is a batch.
+    Readers see the rows from the commit on. A ``batch`` of a ``stream`` whose
+    number isn't above the last one committed is there already and isn't
+    written again. No rows add no folder. ``before`` is called once the rows are
+    written; if it raises, nothing is committed.
     """
-    name = batch or uuid.uuid4().hex
+    spark = segments.sparkSession
+    known = snapshot(spark, path).streams
+    if stream is not None and known.get(stream, -1) >= batch:
+        return snapshot(spark, path)
     stamp = F.current_timestamp().alias("stored_at")
-    segments.select("*", F.lit(VERSION).alias("schema_version"), stamp).write.mode("overwrite").partitionBy("fingerprint").parquet(f"{path}/batch={name}")
+    name, marks = _write(segments.select("*", F.lit(VERSION).alias("schema_version"), stamp), path)
+    if before is not None:
+        before()
+
+    def change(now: Snapshot) -> Snapshot | None:
+        if stream is not None and now.streams.get(stream, -1) >= batch:
+            return None
+        more = ({"folder": name, "commit": now.number + 1, "fingerprints": marks},) if marks else ()
+        streams = now.streams if stream is None else {**now.streams, stream: batch}
+        return Snapshot(now.number + 1, now.folders + more, streams) if more or stream is not None else None
+
+    return _commit(spark, path, change)
+
+
+def _rows(spark: SparkSession, path: str, folders: tuple[dict, ...], key: str, fingerprint: str | None, any_settings: bool) -> DataFrame:
+    """All columns of the rows of the last commit of each source, or of each source and fingerprint."""
+    read = spark.read.option("basePath", f"{path}/data").option("mergeSchema", True)
+    rows = read.schema(_schema(read, path, folders)).parquet(*[f"{path}/data/folder={f['folder']}" for f in folders]).where(f"schema_version = {VERSION}")
+    if fingerprint is not None:
+        rows = rows.where(F.col("fingerprint") == fingerprint)
+    if key not in rows.columns or len(folders) == 1 and not (any_settings and len(folders[0]["fingerprints"]) > 1):
+        return rows
+    rows = rows.join(spark.createDataFrame([(f["folder"], f["commit"]) for f in folders], "folder string, __commit long"), "folder")
+    settings = F.lit("") if any_settings else F.col("fingerprint")
+    stamp = F.struct("__commit", *(["stored_at", "fingerprint"] if any_settings else []))
+    last = rows.groupBy(F.col(key).alias("__k"), settings.alias("__f")).agg(F.max(stamp).alias("__last"))
+    same = F.col(key).eqNullSafe(F.col("__k")) & (settings == F.col("__f")) & (stamp == F.col("__last"))
+    return rows.join(last, same, "left_semi").drop("__commit")
+
+
+def _schema(read, path: str, folders: tuple[dict, ...]):
+    """The columns of all folders; names of folders and fingerprints stay text, whatever they look like."""
+    found = read.parquet(*[f"{path}/data/folder={f['folder']}" for f in folders]).schema
+    for f in found.fields:
+        if f.name in ("folder", "fingerprint"):
+            f.dataType = StringType()
+    return found
+
+
+def load(spark: SparkSession, path: str, key: str = "source_path", any_settings: bool = False, fingerprint: str | None = None, number: int | None = None) -> DataFrame:
+    """The stored rows of this version (S21, O4: in the order of ``key``, if there is one); of each source and fingerprint those of the last commit.
+
+    ``any_settings``: of each source those of the last commit, whatever its
+    fingerprint. ``fingerprint``: only folders that hold it are listed, and of
+    them only its partition is read. ``number``: an older snapshot.
+    """
+    folders = tuple(f for f in snapshot(spark, path, number).folders if fingerprint is None or fingerprint in f["fingerprints"])
+    rows = _rows(spark, path, folders, key, fingerprint, any_settings)
+    return (rows.orderBy(key) if key in rows.columns else rows).drop("schema_version", "stored_at", "folder")
+
+
+def compact(spark: SparkSession, path: str, key: str = "source_path", file_bytes: int = 128 << 20) -> Snapshot:
+    """Merges the folders of the last snapshot into one of files of about ``file_bytes``, by ranges of fingerprint and source; rows that a later commit replaced are left out.
+
+    Batches that are committed meanwhile stay, and stay later than the merged ones.
+    """
+    old = snapshot(spark, path)
+    if len(old.folders) < 2:
+        return old
+    whole = sum(files.size(spark, f"{path}/data/folder={f['folder']}") for f in old.folders)
+    rows = _rows(spark, path, old.folders, key, None, False).drop("folder")
+    by = ["fingerprint", *([key] if key in rows.columns else [])]
+    name, marks = _write(rows.repartitionByRange(max(1, -(-whole // file_bytes)), *by).sortWithinPartitions(*by), path)
+    gone = {f["folder"] for f in old.folders}
+    merged = ({"folder": name, "commit": max(f["commit"] for f in old.folders), "fingerprints": marks},)
+
+    def change(now: Snapshot) -> Snapshot | None:
+        if not gone <= {f["folder"] for f in now.folders}:
+            return None  # another call has merged them
+        return Snapshot(now.number + 1, merged + tuple(f for f in now.folders if f["folder"] not in gone), now.streams)
+
+    return _commit(spark, path, change)
 
 
-def load(spark: SparkSession, path: str, key: str = "source_path", any_settings: bool = False) -> DataFrame:
-    """The stored rows of this version (S21, O4: in the order of ``key``, if there is one); of each source and fingerprint those of the last batch.
+def vacuum(spark: SparkSession, path: str, keep: int = 1) -> int:
+    """Removes all but the last ``keep`` snapshots, and the folders that only those held; gives the number of folders.
 
-    ``any_settings``: of each source those of the last batch, whatever its fingerprint.
+    Readers of a removed snapshot fail, so ``keep`` should cover those that are
+    under way. A folder that no snapshot holds may belong to a writer and stays.
     """
-    rows = spark.read.option("basePath", path).option("mergeSchema", True).parquet(path).where(f"schema_version = {VERSION}")
-    if key in rows.columns:
-        settings = F.lit("") if any_settings else F.col("fingerprint")
-        stamp = F.struct("stored_at", F.col("batch").cast("string"), *(["fingerprint"] if any_settings else []))
-        last = rows.groupBy(F.col(key).alias("__k"), settings.alias("__f")).agg(F.max(stamp).alias("__last"))
-        same = (F.col(key) == F.col("__k")) & (settings == F.col("__f")) & (stamp == F.col("__last"))
-        rows = rows.join(last, same, "left_semi").orderBy(key)
-    return rows.drop("schema_version", "stored_at", "batch")
+    numbers = snapshots(spark, path)
+    old, new = numbers[:-keep], numbers[-keep:]
+    held = {f["folder"] for n in new for f in snapshot(spark, path, n).folders}
+    gone = {f["folder"] for n in old for f in snapshot(spark, path, n).folders} - held
+    for name in sorted(gone):
+        files.delete(spark, f"{path}/data/folder={name}")
+    for n in old:
+        files.delete(spark, _manifest(path, n))
+    return len(gone)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+def exists(spark: SparkSession, path: str, fingerprint: str | None = None) -> bool:
+    """Whether the store holds a row, of one fingerprint or of any."""
+    return any(fingerprint is None or fingerprint in f["fingerprints"] for f in snapshot(spark, path).folders)
 
 
-def load_or_empty(spark: SparkSession, path: str, marks, columns: list[str]) -> DataFrame:
+def load_or_empty(spark: SparkSession, path: str, marks, fingerprint: str | None = None) -> DataFrame:
     """``load``, or a table of the mark columns without rows where nothing has been stored."""
-    return load(spark, path) if exists(spark, path) else spark.createDataFrame([], marks)
+    return load(spark, path, fingerprint=fingerprint) if exists(spark, path, fingerprint) else spark.createDataFrame([], marks)
 
 
 def split_work(catalog: DataFrame, stored: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,7 @@ def run_new(spark: SparkSession, folder: str, schema: str, analyse: Callable[[Da
     """Analyses what came since the last call; ``analyse`` gives rows with ``fingerprint``. The checkpoint remembers the files."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        store.append(analyse(rows), out, f"{name}-{number}")  # a batch that is tried again writes over itself
+        store.append(analyse(rows), out, name, number)  # a batch that is tried again is stored once
 
     name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
     return spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
