@@ -115,22 +115,25 @@ def resume(pairs: DataFrame | Callable[[DataFrame], DataFrame], sources: DataFra
     stored = store.load_or_empty(spark, path, good.select(*marks).schema, mark)
     hit, miss = store.split_work(good, stored, marks)
 
-    def analysed(part: DataFrame) -> DataFrame:
-        scored = pairs(part) if callable(pairs) else pairs.join(part.select("source_path"), "source_path", "left_semi")
+    def scores(part: DataFrame) -> DataFrame:
+        return pairs(part) if callable(pairs) else pairs.join(part.select("source_path"), "source_path", "left_semi")
+
+    def analysed(scored: DataFrame, part: DataFrame) -> DataFrame:
         return analyse(scored, part, settings, people).join(part.select(*marks, *PROBED), "source_path")
 
     with progress.phase("analyse") as counts:
         counts.update(slices=0, segments=0)
         for k in range(slices):
             part = miss.where(F.pmod(F.xxhash64("source_path"), F.lit(slices)) == k) if slices > 1 else miss
+            scored = scores(part)
             if part.isEmpty():  # each source has a row at least; a slice without any adds no batch
                 continue
             with progress.phase(f"slice {k + 1} of {slices}") as own:
                 seen = Observation()
-                store.append(analysed(part).observe(seen, F.count("*").alias("segments")), path, before=progress.check)
+                store.append(analysed(scored, part).observe(seen, F.count("*").alias("segments")), path, before=progress.check)
                 own["segments"] = seen.get["segments"]
             counts.update(slices=counts["slices"] + 1, segments=counts["segments"] + own["segments"])
-    kept = store.load(spark, path, fingerprint=mark) if store.exists(spark, path, mark) else analysed(miss)
+    kept = store.load(spark, path, fingerprint=mark) if store.exists(spark, path, mark) else analysed(scores(miss), miss)
     chosen = selects(kept.join(good.select(*marks), marks, "left_semi").select(*SEGMENT), good)
     progress.outcomes(outcomes(sources, hit, chosen))
     counts = chosen.agg(F.count("*").alias("exported"))
