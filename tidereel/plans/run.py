@@ -43,7 +43,7 @@ def window_scores(pairs: DataFrame, settings: Settings, people: DataFrame | None
     ring = line.rangeBetween(-(rows - 2), 0)
     rate = settings.fps / motion.BASE_FPS
     mean = lambda x: F.coalesce(F.avg(x).over(ring), F.lit(0.0))
-    best = F.min_by("movement", F.struct(-c("speaks"), "frame_idx")).over(ring)
+    best = F.min_by("movement", F.when(c("speaks").isNotNull(), F.struct(-c("speaks"), "frame_idx"))).over(ring)
     t = pairs.withColumn("speaks", type_score()).withColumn("i", F.col("frame_idx") + 1)
     t = t.select(
         "source_path", "i", "frame_idx", *[(mean(x) * rate).alias(x) for x in ("motion", "zoom", "rotation", "shear")], mean("confidence").alias("confidence"),
