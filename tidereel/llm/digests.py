@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from .common import partitions
+from .common import durable, partitions
 
 BUCKETS = 256
 #: The mean difference of two independent quartile codes is 1.25; at or beyond that nothing is alike.
@@ -63,27 +64,45 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: at + F.when(F.get(_listed(bounds), at + s - 1) < key, s).otherwise(0))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def _numbers(rows: DataFrame) -> DataFrame:
+    """``(id, h, k)``: each pair of an id and a hash of the text has a number ``k`` in the order of both, nulls first."""
+    pairs = rows.select("id", F.xxhash64("t").alias("h")).distinct()
+    return durable(pairs.repartitionByRange(partitions(rows), "id", "h").sortWithinPartitions("id", "h").withColumn("k", F.monotonically_increasing_id()))
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Rows ``(b, ghost, k, id, t)``, dealt and sorted so that each row's successor by id follows it in its bucket.
 
-    Ids are cut into ranges, one to a task and of about ``RANGE_BYTES`` of text
+    Ids are cut into ranges, one to a task and of about ``range_bytes`` of text
     where the input has more than the session's shuffle partitions would hold;
     the first row of each range also goes to the range before, as a ghost (the
     very first to the last range). Texts are shuffled once. Only the bounds and
     first ids of the ranges reach the driver.
+
+    Ids that aren't whole numbers, and tables where the rows of one id have
+    more than ``range_bytes`` of text, are cut by numbers that stand for id and
+    text; texts are shuffled once more to get them. Only rows alike in both
+    are then bound to one range.
     """
     low = -(2**63)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(low))
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = buckets or max(partitions(docs), -(-size // RANGE_BYTES))
-    cuts = docs.select(key.alias("k")).agg(F.percentile_approx("k", [(i + 1) / buckets for i in range(buckets - 1)] or [0.5], max(10_000, 20 * buckets))).first()[0]
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    size, most = rows.groupBy("id").agg(F.sum(F.octet_length("t")).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    if isinstance(docs.schema[id_col].dataType, (ByteType, ShortType, IntegerType, LongType)) and (most or 0) <= range_bytes:
+        rows = rows.withColumn("k", F.coalesce(F.col("id").cast("long"), F.lit(low)))
+        keys = rows.select("k")
+    else:
+        numbers = _numbers(rows)
+        keys, n = numbers.select("k"), numbers.select(F.col("id").alias("__id"), "h", "k")
+        rows = rows.join(n, F.col("id").eqNullSafe(F.col("__id")) & (F.xxhash64("t") == F.col("h"))).select("id", "t", "k")
+    buckets = buckets or max(partitions(docs), -(-(size or 0) // range_bytes))
+    cuts = keys.agg(F.percentile_approx("k", [(i + 1) / buckets for i in range(buckets - 1)] or [0.5], max(10_000, 20 * buckets))).first()[0]
     bounds = sorted(set(cuts or [0]))
     at = _range_of(F.col("k"), bounds)
-    heads = docs.select(key.alias("k")).groupBy(at.alias("b")).agg(F.min("k").alias("k")).orderBy("b").collect()
+    heads = keys.groupBy(at.alias("b")).agg(F.min("k").alias("k")).orderBy("b").collect()
     first, to = [low] * (len(bounds) + 1), list(range(len(bounds) + 1))
     for i, h in enumerate(heads):
         first[h.b], to[h.b] = h.k, heads[i - 1].b
-    rows = docs.select(key.alias("k"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("at", at)
+    rows = rows.withColumn("at", at)
     home = F.struct(F.col("at").alias("b"), F.lit(False).alias("ghost"))
     visit = F.struct(F.get(_listed(to), F.col("at")).cast("int").alias("b"), F.lit(True).alias("ghost"))
     rows = rows.select("k", "id", "t", F.explode(F.when(F.col("k") == F.get(_listed(first), F.col("at")), F.array(home, visit)).otherwise(F.array(home))).alias("z"))
@@ -93,10 +112,12 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next)`` for each row.
 
-    The edited text ends in the beginning of the next document's. A null text
-    is empty; rows of one id follow one another in the order of a hash of the
-    text; a null id comes first; a lone row is its own successor; an empty
-    table gives no row. Texts are taken whole.
+    The edited text ends in the beginning of the next document's. Ids may be of
+    any type that can be sorted. A null text is empty; rows of one id, repeated
+    rows too, follow one another in the order of a hash of the text; a null id
+    comes first; a lone row is its own successor; an empty table gives no row.
+    Texts are taken whole, however long; other columns, of any name, are left
+    behind.
     """
     names = ["id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
