@@ -425,7 +425,9 @@ def score_corpus(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_
     Learns from the rows whose CRC32 of the id as text leaves a rest by
     ``folds``; a null id counts as an empty text, and so is held out. A null
     text is an empty one: one token, its end. With no training row every
-    base score is 0. Repeated rows each keep their row.
+    base score is 0. Repeated rows each keep their row; an empty table gives
+    an empty result; other columns may have any names; long texts are read
+    whole.
     """
     text = text_bytes(text_col)
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0

@@ -65,7 +65,9 @@ def _repeat_words(hashes: Column, window: int) -> Column:
 def measure(docs: DataFrame, text_col: str = "text", window: int = 5, **keep: Column) -> DataFrame:
     """Adds to the ``keep`` columns: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed, kept_text.
 
-    A null text has no word, line or symbol; its kept_text is empty. Repeated
+    A null text has no word, line or symbol; its kept_text is empty. An empty
+    table gives no row, repeated rows each keep theirs, columns that aren't
+    kept may have any names, and very long texts are read whole. Repeated
     windows are found by XXH64 of their words; work and memory are those of
     sorting one document's windows, and only where some repeat.
     """

@@ -304,7 +304,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, id
     """``(id, fp, component_id)`` for every row of ``docs``; other columns may have any names.
 
     Null and empty texts have fingerprint zero and link like any other. An
-    empty table gives an empty result; repeated rows each keep their row.
+    empty table gives an empty result; repeated rows each keep their row; very
+    long texts are read whole, a text at a time in its task.
     """
     return link_components(durable(fingerprints(docs, shingle, id_col, text_col)), max_distance)
 
