@@ -3,6 +3,7 @@
 import collections
 import math
 import re
+import zlib
 
 import pytest
 import xxhash
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_operators import SCHEMA, TEXTS, base_spans
-from tidereel.llm import digests, quality, secrets
+from tidereel.llm import brown, digests, quality, secrets
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -157,3 +158,46 @@ def test_whole_result_of_a_shared_id(spark):
     rows = [(1, t, "en", "s", 1, "x", 1, 2, 3, "w", "f", 4, 5, 6) for t in TEXTS[:7]]
     table = spark.createDataFrame(rows, SCHEMA)
     assert digests.fingerprint_edits(table).count() == 7
+
+
+@pytest.mark.parametrize("sizes", [dict(top=60, clustered=20, classes=5, rounds=2, sweeps=2), dict(top=10**6, clustered=40, classes=3, rounds=1, sweeps=1)])
+def test_class_model_scores_equal_brute_force(spark, table, sizes):
+    """Tables and scores counted anew from the class that each word was given."""
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    docs = [(r.doc_id, r.text or "") for r in table.collect()]
+    rows = table.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("h"), F.udf(held, "boolean")("doc_id").alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("t"))
+    model, rare, _ = brown.train(rows, **sizes)
+    vocab, start, smooth = model.vocab, sizes["classes"], brown.SMOOTH
+    rank, far = {bytes(w): k for k, w in enumerate(vocab.words)}, {bytes(r.word): (r.n, r.k) for r in rare.collect()}
+    assert not rank.keys() & far.keys() and len(rank) <= sizes["top"]
+
+    def own(w):
+        return int(model.own[rank[w]] if w in rank else far[w][1] if w in far else model.own[len(rank) + brown.shape(w)])
+
+    def before(w):
+        return int(model.before[rank[w] if rank.get(w, vocab.clustered) < vocab.clustered else vocab.clustered + brown.shape(w)])
+
+    tokens = {(i, t): t.encode().lower().split() for i, t in docs}
+    count, follows, total, kinds = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
+    for i, t in docs:
+        if not held(i):
+            w = tokens[i, t]
+            count.update(w)
+            follows.update(zip([start, *map(before, w)], [*map(own, w), start], strict=True))
+    for w, n in count.items():
+        total[own(w)] += n
+        kinds[own(w)] += 1
+    assert all(n == count[w] for w, (n, _) in far.items()) and set(count) == rank.keys() | far.keys()
+    sums = [sum(follows[c, o] for o in range(start + 1)) for c in range(start + 1)]
+    step = lambda c, o: math.log10((follows[c, o] + smooth) / (sums[c] + smooth * (start + 1)))
+    want = collections.defaultdict(list)
+    for i, t in docs:
+        w = tokens[i, t]
+        moves = sum(step(c, o) for c, o in zip([start, *map(before, w)], [*map(own, w), start], strict=True))
+        want[i].append(moves + sum(math.log10((count[x] + smooth) / (total[own(x)] + smooth * (kinds[own(x)] + 1))) for x in w))
+    got = collections.defaultdict(list)
+    for r in brown.score_corpus(table, **sizes).collect():
+        got[r.id].append(r.score)
+    assert got.keys() == want.keys() and len({own(w) for w in count}) > 1
+    for i, scores in want.items():
+        assert sorted(got[i]) == pytest.approx(sorted(scores), rel=1e-9)
