@@ -460,6 +460,20 @@ def test_sharding(spark, rows, docs, empty):
     assert sharding.curve_shards(empty).count() == 0
 
 
+def test_rank_bounds_count_all_values(spark):
+    """Bounds are those of all distinct values, or of all rows, however many there are, and values that differ late are told apart."""
+    words = [f"{'x' * 70}{k * 7919 % 9001:05}" for k in range(9001)]
+    many = spark.createDataFrame([(w, k % 4500 if k < 9000 else k) for k, w in enumerate(words)], "source string, size long")
+    one = spark.createDataFrame([("a", 5)] * 40 + [("b", 7)], "source string, size long")
+    for d in (many, one):
+        rows = d.collect()
+        named = d.select(sharding._named("source").alias("source"), "size")
+        distinct, sizes = sorted({"=" + r.source for r in rows}), sorted(r.size for r in rows)
+        assert sharding._rank_bounds(named, "source") == [distinct[k * len(distinct) // 32] for k in range(1, 32)]
+        assert sharding._rank_bounds(named, "size", weighed=True) == [sizes[k * len(sizes) // 32] for k in range(1, 32)]
+    assert sharding._rank_bounds(one.where("false"), "source") == []
+
+
 def test_files_of_shards_can_be_skipped(spark, tmp_path):
     import pyarrow.parquet as pq
 

@@ -21,8 +21,6 @@ from .common import durable, partitions
 BITS = 5
 #: A group of equal texts above one part of so many of a shard, by bytes or rows, is large: at most 2 x shards x PARTS groups are.
 PARTS = 64
-#: Distinct values of a metadata column that are ranked to find its quantiles, at most, and characters of a value that count.
-RANKED, PREFIX = 4096, 64
 
 
 def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
@@ -56,21 +54,35 @@ def _curve(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series(hilbert_index(np.stack([a.to_numpy(), b.to_numpy(), c.to_numpy()], axis=1), BITS))
 
 
-def _above(x: Column, bounds: list, touch: bool) -> Column:
-    """How many of the bounds lie below ``x``, or at it if ``touch``."""
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: (b <= x) if touch else (b < x))) if bounds else F.lit(0)
+def _above(x: Column, bounds: list) -> Column:
+    """How many of the bounds lie below ``x`` or at it."""
+    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= x)) if bounds else F.lit(0)
 
 
 def _named(c: str) -> Column:
-    """A metadata value without nulls, of bounded length."""
-    return F.coalesce(F.concat(F.lit("="), F.substring(F.col(c).cast("string"), 1, PREFIX)), F.lit(""))
+    """A metadata value without nulls."""
+    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
 
 
-def _rank_bounds(rows: DataFrame, c: str) -> list[str]:
-    """Values that cut the sorted distinct ones into even ranks, repeated where there are few."""
-    found = sorted(r[0] for r in rows.select(c).distinct().orderBy(F.xxhash64(c), c).limit(RANKED).collect())
+def _rank_bounds(rows: DataFrame, c: str, weighed: bool = False) -> list:
+    """Values that cut the sorted distinct ones (all rows, if ``weighed``) into even ranks, repeated where there are few.
+
+    All values are counted, in ranges of their order: only a sum for each range and the bounds reach the driver.
+    """
     levels = 1 << BITS
-    return [found[k * len(found) // levels] for k in range(1, levels)] if found else []
+    tally = _ranged(rows.groupBy(c).agg((F.count("*") if weighed else F.lit(1).cast("long")).alias("n")), [c])
+    total, before = 0, {}
+    for x in tally.groupBy("pid").agg(F.sum("n").alias("n")).orderBy("pid").collect():
+        before[x.pid] = total
+        total += x.n
+    if not total:
+        return []
+    wanted = [k * total // levels for k in range(1, levels)]
+    starts = rows.sparkSession.createDataFrame(list(before.items()), "pid int, n0 long")
+    end = F.col("n0") + F.sum("n").over(Window.partitionBy("pid").orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
+    placed = tally.join(F.broadcast(starts), "pid").select(c, "n", end.alias("end"))
+    met = F.filter(F.array(*[F.lit(w) for w in wanted]), lambda w: (w >= F.col("end") - F.col("n")) & (w < F.col("end")))
+    return sorted(r[0] for r in placed.select(F.col(c).alias("v"), F.explode(met)).collect())
 
 
 def level_of(used: list[int], more: int) -> float:
@@ -110,8 +122,8 @@ def curve_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_
     Nulls in a metadata column are one more value, a null text is an empty
     one; repeated rows take slots of their own; an empty table gives an empty
     result; other columns may have any names; a very long text counts by its
-    size alone and is never shuffled. Metadata values are ranked by their first
-    64 characters, which only touches the order. Ranges are cut by all sort
+    size alone and is never shuffled. Metadata values and sizes are ranked whole
+    and over all rows, however many there are. Ranges are cut by all sort
     columns and the row's number, so neither a crowded cell of the curve nor a
     group of copies lands in one task.
     """
@@ -122,12 +134,11 @@ def curve_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_
             F.xxhash64(text).alias("h"), _named(source_col).alias("source"), _named(lang_col).alias("lang"), F.monotonically_increasing_id().alias("row"),
         )
     )
-    group, levels = ["h", "text_crc32", "size"], 1 << BITS
-    sizes = rows.agg(F.percentile_approx("size", [i / levels for i in range(1, levels)], 10_000)).first()[0]
+    group = ["h", "text_crc32", "size"]
     cell = _curve(
-        _above(F.col("source"), _rank_bounds(rows, "source"), True).cast("long"),
-        _above(F.col("lang"), _rank_bounds(rows, "lang"), True).cast("long"),
-        _above(F.col("size"), sorted(set(sizes or [])), False).cast("long"),
+        _above(F.col("source"), _rank_bounds(rows, "source")).cast("long"),
+        _above(F.col("lang"), _rank_bounds(rows, "lang")).cast("long"),
+        _above(F.col("size"), _rank_bounds(rows, "size", weighed=True)).cast("long"),
     )
     groups = rows.groupBy(*group).agg(F.min("source").alias("source"), F.min("lang").alias("lang"), F.sum("size").alias("bytes"), F.count("*").alias("n"))
     groups = durable(groups.select(*group, "bytes", "n", cell.alias("curve")))
@@ -152,7 +163,7 @@ def curve_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_
     sums = small.groupBy("pid").agg(F.sum("bytes").alias("b")).select("pid", F.coalesce(F.sum("b").over(each), F.lit(0)).alias("b0"))  # a row for each range
     inside = Window.partitionBy("pid").orderBy(*line).rowsBetween(Window.unboundedPreceding, 0)
     at = F.col("b0") + F.sum("bytes").over(inside) - F.col("bytes")
-    small = small.join(F.broadcast(sums), "pid").select(*line, _above(at.cast("double"), ends, True).cast("int").alias("shard"))
+    small = small.join(F.broadcast(sums), "pid").select(*line, _above(at.cast("double"), ends).cast("int").alias("shard"))
 
     big = F.broadcast(big)
     rows = rows.select("id", "row", *group)
