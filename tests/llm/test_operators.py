@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -272,6 +273,30 @@ def test_many_spans_are_placed_right(spark):
     assert [(s.start, s.end) for s in got] == [m.span() for m in re.finditer(secrets.ASSIGN.replace("(?i:", "(?i:"), text) if len(m[2]) >= 6] and len(got) > 400
 
 
+def test_words_are_counted_in_slices(spark, monkeypatch):
+    """No more than a slice, and one long text, is cut into words at once, and counts add up over slices and batches."""
+
+    class Task:
+        def mapInArrow(self, run, _):
+            self.run = run
+            return spark.createDataFrame([], "word binary, n long")
+
+    task, most, cut = Task(), [], brown._cut
+    monkeypatch.setattr(brown, "_cut", lambda texts: most.append([len(t) for t in texts.to_pylist()]) or cut(texts))
+    monkeypatch.setattr(brown, "CUT_BYTES", 2_000)
+    monkeypatch.setattr(brown, "HELD_WORDS", 50)
+    brown.word_counts(task)
+    texts = [f"Word{k % 31} w{k * k % 409}  b\n".encode() * (1 + k % 5) for k in range(900)] + [b"", b" ", b"long " * 3000, b"a"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(t))), pa.array(t, pa.binary())], names=["id", "t"]) for t in (texts[:500], [], texts[500:])]
+    got = collections.Counter()
+    for b in task.run(iter(batches)):
+        for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            got[word] += n
+    assert got == collections.Counter(w for t in texts for w in t.lower().split()) + collections.Counter({b"": len(texts)})
+    assert all(sum(x) - max(x) <= 2_000 for x in most) and len(most) > 10
+    assert list(task.run(iter([]))) == []
+
+
 def test_brown(spark, docs, empty):
     base = [f"w{k % 7} the w{k % 5} of q{k % 3}." for k in range(300)]
     d = spark.createDataFrame([(k, t) for k, t in enumerate(base)], "doc_id long, text string")

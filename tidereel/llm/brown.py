@@ -29,6 +29,8 @@ TOP_WORDS, CLUSTERED, CLASSES, ROUNDS = 262_144, 2_000, 32, 5
 #: Most sweeps of the exchange over all words.
 SWEEPS = 6
 SHAPES, SMOOTH = 24, 0.1
+#: What a task works on at once: bytes of text that are cut into words, tokens that are counted, distinct words that are kept until they are handed on.
+CUT_BYTES, HELD_TOKENS, HELD_WORDS = 2 << 20, 2_000_000, 400_000
 END = b""
 
 
@@ -80,17 +82,40 @@ def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(whole).view(pa.binary()), kept[ends]
 
 
+def _slices(batches, at: int):
+    """Slices whose texts, in column ``at``, have about ``CUT_BYTES``: a whole batch cut into words takes many times its size. A text is never cut."""
+    for b in batches:
+        part = np.cumsum(pc.binary_length(b.column(at)).to_numpy(zero_copy_only=False).astype(np.int64)) // CUT_BYTES
+        cut = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)]).tolist(), len(part)]
+        for x, y in zip(cut, cut[1:], strict=False):
+            yield b.slice(x, y - x)
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds nothing
+
+
+def _added(held: list[pa.Table]) -> pa.Table:
+    """The tables ``(word, n)`` as one, with a row for each word."""
+    return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
-    """``(word, n)`` over ``rows(id, t)``; the end of a text is the empty word. Batches add up before the shuffle."""
+    """``(word, n)`` over ``rows(id, t)``; the end of a text is the empty word. A task's words add up before the shuffle, ``HELD_WORDS`` at a time."""
 
     def count(batches):
-        for b in batches:
-            words, _ = _cut(b.column(1))
-            found = words.value_counts()
-            ends = pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([b.num_rows], pa.int64())], names=["word", "n"])
-            for part in (pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["word", "n"]), ends):
-                for at in range(0, part.num_rows, 100_000):
-                    yield part.slice(at, 100_000)
+        held, size, due, ends = [], 0, HELD_WORDS, 0
+        for b in _slices(batches, 1):
+            found = _cut(b.column(1))[0].value_counts()
+            held.append(pa.table([found.field(0), found.field(1)], names=["word", "n"]))
+            size, ends = size + len(found), ends + b.num_rows
+            if size > due:
+                held = [_added(held)]
+                if held[0].num_rows > HELD_WORDS:
+                    yield from held[0].to_batches(max_chunksize=100_000)
+                    held = []
+                size = sum(t.num_rows for t in held)
+                due = size + HELD_WORDS
+        held.append(pa.table([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["word", "n"]))
+        if ends:
+            yield from _added(held).to_batches(max_chunksize=100_000)
 
     return rows.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -106,7 +131,7 @@ def tokenise(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
     def run(batches):
         v = shared.value
         get, top = v.ids().__getitem__, len(v.words)
-        for batch in batches:
+        for batch in _slices(batches, 3):
             words, ends = _cut(batch.column(3))
             told = words.dictionary_encode()
             names = told.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -157,7 +182,7 @@ def symbol_bigrams(tokens: DataFrame, vocab: Vocabulary) -> DataFrame:
             s = symbol[w]
             held.append(_previous(s, first, v.symbols) * width + s)
             size += len(s)
-            if size > 4_000_000:
+            if size > HELD_TOKENS:
                 yield give()
                 held, size = [], 0
         if held:
@@ -257,7 +282,7 @@ def _contexts(tokens: DataFrame, vocab: Vocabulary, of: np.ndarray, classes: int
             words += b" ".join(piece.column(1).to_pylist()).split()
             after.append(c[rare])
             size += len(w)
-            if size > 4_000_000:
+            if size > HELD_TOKENS:
                 yield from give()
                 held, words, after, size = [], [], [], 0
         if held:
