@@ -1,5 +1,6 @@
 """The Merkle manifest, the filter audit and the token files against brute force."""
 
+import gc
 import hashlib
 import random
 import zlib
@@ -236,6 +237,20 @@ def test_encoder_equals_the_library():
         assert [x.tolist() for x in own.encode(pa.array(texts))] == want
 
 
+def test_encoding_searches_for_no_cycles():
+    """New pieces make many lists at once, which Python's collector would walk again and again; pieces of all texts are looked up together."""
+    own, calls, found = tokenfiles.Encoder(tokenfiles.vocabulary()), [], []
+    ids = own._ids
+    own._ids = lambda pieces: calls.append(len(pieces)) or ids(pieces)
+    gc.callbacks.append(lambda phase, info: found.append(info["generation"]))
+    try:
+        got = own.encode(pa.array([f"{k:x}qz k{k * 7919:x}, {k} \n" for k in range(5000)]))
+        quiet = not found
+    finally:
+        gc.callbacks.pop()
+    assert quiet and gc.isenabled() and len(got) == 5000 and len(calls) <= 3
+
+
 def in_files(rows):
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     library.encode_special_tokens = True

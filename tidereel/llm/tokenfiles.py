@@ -14,7 +14,9 @@ between checkpoints are decoded at once, and a lost task is run again alone.
 
 from __future__ import annotations
 
+import gc
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import islice
 
@@ -30,8 +32,9 @@ from .common import _shared, partitions
 
 #: Tokens of a block (a longer document is a block of its own) and of a chunk.
 BLOCK_TOKENS, CHUNK_TOKENS = 1 << 16, 1 << 22
-#: Bytes of text that a range has on average at most; words and pieces that a Python worker remembers; characters handed on at once.
-RANGE_BYTES, MEMO_WORDS, BLOCK_CHARS = 64 << 20, 400_000, 2_000_000
+#: Bytes of text that a range has on average at most; pieces that a Python worker remembers; characters encoded at once, so that a word
+#: of many texts is cut once; tokens handed on at once.
+RANGE_BYTES, MEMO_WORDS, ENCODE_CHARS, READ_TOKENS = 64 << 20, 400_000, 8_000_000, 2_000_000
 #: Pieces of a byte-level vocabulary: fixed by the tokenizers library.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Blanks by Unicode's White_Space property: fixed values.
@@ -44,6 +47,18 @@ def _listed(words: pa.Array) -> list[str]:
     return words.to_numpy(zero_copy_only=False).tolist()
 
 
+@contextmanager
+def _uncollected():
+    """No search for cycles: hundreds of thousands of live lists make it cost as much as the encoding, and none is in a cycle."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class Encoder:
     """What ``tokenizers`` gives for whole texts.
 
@@ -70,14 +85,15 @@ class Encoder:
     def _ids(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece; the memo keeps its first half when it is full: those are the frequent ones."""
         memo, size = self.memo, np.dtype(self.kind).itemsize
-        fresh = list({p for p in pieces if p not in memo})
+        out = list(map(memo.get, pieces))
+        fresh = list(dict.fromkeys(p for p, x in zip(pieces, out, strict=True) if x is None))
         if fresh:
             shown = "\n".join(fresh).encode().decode("latin-1").translate(self.letters).split(self.letters[10]) if not any("\n" in p for p in fresh) else [p.encode().decode("latin-1").translate(self.letters) for p in fresh]
             got = [self.tokenize(p) for p in shown]
             flat, ends = np.array([t.id for g in got for t in g], self.kind).tobytes(), np.cumsum([len(g) * size for g in got]).tolist()
             for p, a, b in zip(fresh, [0, *ends], ends, strict=False):
                 memo[p] = flat[a:b]
-        out = list(map(memo.__getitem__, pieces))
+            out = [memo[p] if x is None else x for p, x in zip(pieces, out, strict=True)]
         if len(memo) > self.most:
             for k in list(islice(memo, self.most // 2, None)):
                 del memo[k]
@@ -93,6 +109,13 @@ class Encoder:
         places = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1)[np.r_[0, ends]]
         return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(places.astype(np.int32)), ids.buffers()[2]])
 
+    def _each(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, all their pieces looked up together."""
+        cut = list(map(self.find, texts))
+        ids = iter(self._ids([p for pieces in cut for p in pieces]))
+        return [b"".join(islice(ids, len(pieces))) for pieces in cut]
+
+    @_uncollected()
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
@@ -100,7 +123,7 @@ class Encoder:
         cut = pc.split_pattern(plain, " ")
         ends, words = cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py(), cut.flatten()
         first = np.r_[0, ends].astype(np.int64)[: len(plain)]
-        head = [b"".join(self._ids(self.find(w))) for w in _listed(words.take(pa.array(first)))]
+        head = self._each(_listed(words.take(pa.array(first))))
         rest = np.ones(len(words), bool)
         rest[first] = False
         told = words.filter(pa.array(rest)).dictionary_encode()
@@ -109,8 +132,8 @@ class Encoder:
         data = memoryview(data) if data is not None else b""
         tail = places[np.r_[0, ends - np.arange(1, len(plain) + 1)]]
         parts = iter([h + bytes(data[a:b]) for h, a, b in zip(head, tail[:-1].tolist(), tail[1:].tolist(), strict=True)])
-        whole = iter(_listed(texts.filter(pa.array(odd))))
-        return [np.frombuffer(b"".join(self._ids(self.find(next(whole)))) if o else next(parts), self.kind) for o in odd.tolist()]
+        whole = iter(self._each(_listed(texts.filter(pa.array(odd)))))
+        return [np.frombuffer(next(whole) if o else next(parts), self.kind) for o in odd.tolist()]
 
 
 @lru_cache(maxsize=2)
@@ -133,7 +156,7 @@ def _chunks(batches, encode, kind: str, end: int, block_tokens: int, chunk_token
 
     stop = np.array([end], kind)
     for batch in batches:
-        step = max(1, int(batch.num_rows * BLOCK_CHARS / max(batch.nbytes, 1)))
+        step = max(1, int(batch.num_rows * ENCODE_CHARS / max(batch.nbytes, 1)))
         for at in range(0, batch.num_rows, step):
             piece, low = batch.slice(at, step), 0
             for k, x in enumerate(encode(piece.column(1))):
@@ -203,7 +226,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 if ends[-1] != len(flat):
                     raise ValueError("a chunk's lengths don't fit its ids")
                 starts = start.as_py() + ends - length
-                step = max(1, len(length) * BLOCK_CHARS // len(flat))
+                step = max(1, len(length) * READ_TOKENS // len(flat))
                 for at in range(0, len(length), step):
                     own = slice(at, at + step)
                     lo, hi = int((ends - length)[at]), int(ends[own][-1])
